@@ -69,7 +69,7 @@ def edited_pairs(records: DataFrame, level: Threshold = LEVEL) -> DataFrame:
     joined = edited_records(records, level)
     m = joined.members
     copies = m.select("rep", F.col("record_id").alias("record_a")).join(m.select("rep", F.col("record_id").alias("record_b")), "rep")
-    return expanded(joined).unionByName(copies.where("record_a < record_b").select("record_a", "record_b"))
+    return expanded(joined).select("record_a", "record_b").unionByName(copies.where("record_a < record_b").select("record_a", "record_b"))
 
 
 def edited_groups(records: DataFrame, level: Threshold = LEVEL) -> DataFrame:

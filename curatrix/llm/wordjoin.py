@@ -326,14 +326,18 @@ def _verified(texts: DataFrame, candidates: DataFrame, level: Threshold) -> Data
     return candidates.join(a, "a").join(b, "b").select("a", "b", "qa", "oa", "qb", "ob").mapInArrow(check, "a long, b long, overlap int, size_a int, size_b int")
 
 
-def expanded(joined: Joined, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs (record_a < record_b) of records from pairs of representatives: copies stand for each other."""
+def expanded(joined: Joined) -> DataFrame:
+    """Pairs (record_a < record_b) of records from pairs of representatives, since copies stand for each other, with
+    their overlap and the sizes of both."""
     members = joined.members
     ma = members.select(F.col("rep").alias("a"), F.col("record_id").alias("ra"))
     mb = members.select(F.col("rep").alias("b"), F.col("record_id").alias("rb"))
     full = joined.pairs.join(ma, "a", "left").join(mb, "b", "left")
     x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-    return full.select(F.least(x, y).alias("record_a"), F.greatest(x, y).alias("record_b"), *extra)
+    return full.select(
+        F.least(x, y).alias("record_a"), F.greatest(x, y).alias("record_b"), "overlap",
+        F.when(x < y, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(x < y, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"),
+    )
 
 
 __all__ = ["BROADCAST_ROWS", "Joined", "Threshold", "compare", "distance", "expanded", "similar_records"]
