@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import p1_overlap, p2_edits
+from curatrix.llm import p1_overlap, p2_edits, p5_neighbours, p7_tokens, p8_leaks
 from curatrix.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,10 +23,19 @@ def _p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_overlap.cross_split_pairs(table(spark, folder, "vqa_records")).select("record_a", "record_b")
 
 
+def _p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
         "p1_report": _over(p1_overlap.overlap_report, "vqa_records"),
         "p2_found": _over(p2_edits.edited_pairs, "vqa_records"),
         "p2_groups": _over(p2_edits.edited_groups, "vqa_records"),
+        "p5_found": _over(p5_neighbours.neighbour_pairs, "record_vectors"),
+        "p5_recall": _over(p5_neighbours.recall, "record_vectors"),
+        "p7_ids": _over(p7_tokens.token_ids, "documents"),
+        "p8_found": _p8_found,
+        "p8_items": _over(p8_leaks.leaked_items, "documents", "benchmark_items"),
     }
