@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import p1_overlap, p2_edits, p3_quota, p4_cutoffs, p5_neighbours, p7_tokens, p8_leaks
+from curatrix.llm import p1_overlap, p2_edits, p3_quota, p4_cutoffs, p5_neighbours, p7_tokens, p8_leaks, p9_residue
 from curatrix.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def _p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).select("doc_id", "item_id")
 
 
+def _p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_residue.residue(table(spark, folder, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
@@ -46,5 +50,7 @@ def queries() -> dict[str, Query]:
         "p5_recall": _over(p5_neighbours.recall, "record_vectors"),
         "p7_ids": _over(p7_tokens.token_ids, "documents"),
         "p8_found": _p8_found,
+        "p9_found": _p9_found,
+        "p9_validation": _over(p9_residue.validation, "documents"),
         "p8_items": _over(p8_leaks.leaked_items, "documents", "benchmark_items"),
     }
