@@ -66,9 +66,7 @@ def pivots_of(vectors: DataFrame, pivots: int, dim: int) -> dict[str, np.ndarray
 
 def _represent(pivots, prefix: int, dim: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             unit, spaces = _unit(_matrix(batch.column("vec"), dim)), batch.column("space").to_pylist()
             order = np.full((len(unit), prefix), -1, np.int32)
             for space in set(spaces):
@@ -127,7 +125,7 @@ def _search(k: int, rerank: int, dim: int) -> Callable:
             posted = group[index[group]]
             if not len(posted) or len(group) < 2:
                 continue
-            step = max(1, 2_000_000 // len(posted))
+            step = max(1, 1_000_000 // len(posted))
             for at in range(0, len(group), step):
                 asked = group[at : at + step]
                 near = units[asked] @ units[posted].T
