@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import p1_overlap, p2_edits, p3_quota, p4_cutoffs, p5_neighbours, p7_tokens, p8_leaks, p9_residue
+from curatrix.llm import p1_overlap, p2_edits, p3_quota, p4_cutoffs, p5_neighbours, p6_defects, p7_tokens, p8_leaks, p9_residue
 from curatrix.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,8 @@ def queries() -> dict[str, Query]:
         "p4_cutoffs": _over(p4_cutoffs.cutoffs, "verified_mcq", "keep_targets"),
         "p5_found": _over(p5_neighbours.neighbour_pairs, "record_vectors"),
         "p5_recall": _over(p5_neighbours.recall, "record_vectors"),
+        "p6_found": _over(p6_defects.defective_pairs, "generated_mcq"),
+        "p6_counts": _over(p6_defects.defect_counts, "generated_mcq"),
         "p7_ids": _over(p7_tokens.token_ids, "documents"),
         "p8_found": _p8_found,
         "p9_found": _p9_found,
