@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs the field is trained on, hashed features, steps and strength of regularisation.
-SAMPLE, BITS, STEPS, RIDGE = 3_000, 18, 90, 1e-6
+SAMPLE, BITS, STEPS, RIDGE = 3_000, 18, 90, 1e-5
+#: A feature of fewer clauses than this in the sample is left out.
+SEEN = 3
 #: Share of an answer's characters that clauses of a tag must cover.
 COVER = 0.5
 
@@ -73,7 +75,7 @@ _REFUSE = {
 }
 _DECLINE = re.compile(
     r"""\bi(?:['’]m|\sam)?\s(?:cannot|can['’]?t|won['’]?t|will\snot|must\sdecline|not\sable\sto|unable\sto|not\sallowed) | \bnot\spossible\sfor\sme\b | ^\W*(?:sorry|apologies|unfortunately|i\sapologi[sz]e|as\san\s(?:ai|assistant))\b
-    | \b(?:ich\s(?:kann|darf)|(?:kann|darf)\sich)\b.*\b(?:nicht|keine)\b | \bje\sne\s(?:peux|suis)\b | \bno\spuedo\b | \blo\ssiento\b | \bdésolée?\b | \bnon\sposso\b | \bnão\s(?:posso|consigo)\b | 无法|抱歉|不能回答|не\sмогу|извините""",
+    | \b(?:ich\s(?:kann|darf)|(?:kann|darf)\sich)\b.*\b(?:nicht|keine)\b | \bje\sne\s(?:peux|suis)\b | \bm['’]est\simpossible\b | \bno\spuedo\b | \bno\sme\ses\sposible\b | ^\W*tut\smir\sleid\b | \blo\ssiento\b | \bdésolée?\b | \bnon\sposso\b | \bnão\s(?:posso|consigo)\b | 无法|抱歉|不能回答|не\sмогу|извините""",
     re.X | re.I,
 )
 
@@ -178,6 +180,13 @@ def strangeness(pair: Pair) -> float:
     return max((v for k, v in found.items() if k != tongue), default=0.0) - found.get(tongue, 0.0) if tongue else 0.0
 
 
+def _alien(pair: Pair) -> bool:
+    """Little evidence for the question's language against that for another."""
+    tongue = language(pair.question)
+    found = languages(pair.answer)
+    return bool(tongue) and found.get(tongue, 0.0) <= 0.3 * max((v for k, v in found.items() if k != tongue), default=0.0) and bool(found)
+
+
 def pair_features(pair: Pair, vocabulary: frozenset, endings: frozenset) -> list[list[str]]:
     """Features of every clause of a pair's answer; ``endings`` are those of last words of complete texts."""
     parts = clauses(pair.answer)
@@ -205,7 +214,7 @@ def pair_features(pair: Pair, vocabulary: frozenset, endings: frozenset) -> list
         f = ["bias", f"place:{'only' if len(parts) == 1 else 'last' if last else 'first' if not k else 'inner'}"]
         f += [f"w:{n}" for n in names] + [f"ww:{a} {b}" for a, b in zip(names, names[1:])]
         f += [f"echo:{int(4 * sum(own) / max(1, len(own)))}", f"echoes:{int(5 * share)}", f"echoes:{int(5 * share)}:{min(4, len(flat) // 4)}"]
-        f += [f"tongue:{margin}", f"same:{bool(tongue) and whole.get(tongue, 0) > 0}:{margin > 0}", f"decline:{bool(_DECLINE.search(clause))}"]
+        f += [f"tongue:{margin}", f"same:{bool(tongue) and whole.get(tongue, 0) > 0.3 * others}:{margin > 0}", f"decline:{bool(_DECLINE.search(clause))}"]
         found = languages(clause)
         f.append(f"clause:{bool(found) and tongue not in found}")
         if last:
@@ -302,6 +311,8 @@ def fit(sequences: list[list[list[str]]], gold: list[list[int]], vocabulary: fro
     for g in gold:
         for a, b in zip(g, g[1:]):
             moved[a, b] += 1
+    often = np.bincount(feature, minlength=1 << BITS) >= SEEN
+    feature, owner = feature[often[feature]], owner[often[feature]]
     used, at = np.unique(feature, return_inverse=True)
     w, trans = np.zeros((len(used), tags)), np.zeros((tags, tags))
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)
@@ -439,13 +450,19 @@ def fit_examples(pairs: list[Pair], gold: list[list[int]]) -> Field:
 
 
 def defect(pair: Pair, p: np.ndarray, cover: float = COVER) -> str | None:
-    """The defect of a pair from the tag probabilities of its clauses. A foreign tag is checked against the evidence for
-    languages: without any the next likely tags hold, and an answer in another language is not called unfinished."""
+    """The defect of a pair from the tag probabilities of its clauses. Tags are checked against evidence: a foreign
+    one needs some for another language; where there is much of that and hardly any for the question's language, the
+    clause is no answer and not just unfinished; a clause that declines is neither answer nor unfinished nor foreign."""
     parts = clauses(pair.answer)
     strange = strangeness(pair)
+    p = p.copy()
     if strange <= 0:
-        p = p.copy()
         p[:, 3] = 0
+    elif strange >= 1.5 and _alien(pair):
+        p[:, 0] = 0
+    for k, part in enumerate(parts):
+        if _DECLINE.search(part):
+            p[k, [0, 3, 4]] = 0
     tags, size = p.argmax(1), np.array([len(c) for c in parts], float)
     share = np.bincount(tags, size, len(TAGS)) / size.sum()
     if share[1] >= 0.3:
