@@ -78,4 +78,5 @@ def assemble(images: DataFrame, drawn: DataFrame, key: str = "mini_rec") -> Data
     last = wanted.groupBy("article", "caption", "category", "image_id").agg(F.max_by(F.struct("title", *fields), "row_id").alias("v"))
     held = F.array_sort(F.collect_list(F.struct("image_id", "v")))
     one = last.groupBy("article", "caption", "category").agg(held.alias("g"))
-    return one.select("article", "caption", "category", F.col("g.image_id").alias("image_ids"), F.get("g", F.lit(0))["v"]["title"].alias("article_title"), *(F.transform("g", lambda x, f=f: x["v"][f]).alias(f) for f in fields))
+    column = lambda f: F.transform("g", lambda x: x["v"][f]).alias(f)
+    return one.select("article", "caption", "category", F.col("g.image_id").alias("image_ids"), F.get("g", F.lit(0))["v"]["title"].alias("article_title"), *map(column, fields))

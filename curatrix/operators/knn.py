@@ -20,7 +20,7 @@ def _blocked(queries: DataFrame, rows: DataFrame, value: str, search: Callable,
     blocks = max(1, -(-queries.count() // BLOCK))
     slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
     asked = queries.select(F.col("id"), F.col(value), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"))
-    held = rows.select(F.col("id"), F.col(value), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"))
+    held = rows.select(F.col("id"), F.col(value), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"))
     near = asked.unionByName(held).repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", F.desc("asks")).mapInArrow(search, shape)
     top = F.slice(F.array_sort(F.collect_list(F.struct(*order, F.col("r").alias("r"), F.col("score").alias("score")))), 1, k)
     return near.groupBy("q").agg(top.alias("t")).select("q", F.posexplode("t").alias("rank", "t")).select(F.col("q").alias("query_id"), F.col("t.r").alias("train_id"), F.col("t.score").alias("score"), (F.col("rank") + 1).alias("rank"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import char_ngrams, levenshtein_similarity, normalize_text
+from curatrix.functions.text import levenshtein_similarity, normalize_text
 from curatrix.plans.stages import materialize, small_side
 
 PRIME = 2_147_483_647
@@ -73,6 +73,24 @@ def band_hashes(texts: DataFrame, key: str, text: str, n: int, bands: int, rows:
     return texts.select(key, text).mapInArrow(sign, f"{key} long, band int, hash string")
 
 
+def window_hashes(df: DataFrame, key: str, text: str, n: int, wrap: bool = False) -> DataFrame:
+    """(key, gram): hashes of the distinct windows of ``n`` characters of every text. Cut in Python, since a substring of
+    a UTF-8 string is found by counting from its start, which makes all windows of a long text quadratic."""
+    import xxhash
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = f"^{t}$" if wrap and t is not None else t or ""
+                if len(s) >= n:
+                    keys.append(k)
+                    lists.append([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in {s[i : i + n] for i in range(len(s) - n + 1)}])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], [key, "grams"])
+
+    return df.select(key, text).mapInArrow(cut, f"{key} long, grams array<long>").select(key, F.explode("grams").alias("gram"))
+
+
 def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, copies): one row a distinct text, that of the least key. The text itself never is a shuffle key."""
     hashed = df.where(F.col(text).isNotNull()).select(key, F.col(text), F.md5(text).alias("_h"))
@@ -103,11 +121,11 @@ def contained(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str
     """(doc, item, shared, size, containment): share of an item's distinct windows that a text holds, from ``least`` on.
     Items' windows are broadcast while they number within the checked limit; texts' windows are cut by them before
     anything is shuffled."""
-    grams = items.select(F.col(item), F.explode(F.array_distinct(char_ngrams(normalize_text(F.col(text)), n, wrap=False))).alias("_g")).select(item, F.xxhash64("_g").alias("_g"))
-    grams = materialize(grams.distinct(), "windows")
+    windows = lambda df, key: window_hashes(df.select(key, normalize_text(F.col(text)).alias("norm")), key, "norm", n)
+    grams = materialize(windows(items, item), "windows")
     sizes = F.broadcast(grams.groupBy(item).agg(F.count("*").alias("size")))
-    held = docs.select(F.col(doc), F.explode(F.array_distinct(char_ngrams(normalize_text(F.col(text)), n, wrap=False))).alias("_g")).select(doc, F.xxhash64("_g").alias("_g"))
-    shared = held.join(small_side(grams, grams.count()), "_g").groupBy(doc, item).agg(F.count("*").alias("shared"))
+    held = windows(docs, doc)
+    shared = held.join(small_side(grams, grams.count()), "gram").groupBy(doc, item).agg(F.count("*").alias("shared"))
     return shared.join(sizes, item).select(doc, item, "shared", "size", F.round(F.col("shared") / F.col("size"), 6).alias("containment")).where(F.col("containment") >= least)
 
 

@@ -30,7 +30,7 @@ def required_check(rubric: Column, titles: tuple[str, ...] = REQUIRED) -> tuple[
     """(passed, reason): every title is there with a positive weight and its full score; of several items of one title
     the last holds. The reason lists what is missing, else what is not full."""
     items = F.filter(rubric, lambda i: i.isNotNull() & i["title"].isNotNull())
-    item = lambda t: F.element_at(F.filter(items, lambda i: F.lower(strip(i["title"])) == t.strip().lower()), -1)
+    item = lambda t: F.try_element_at(F.filter(items, lambda i: F.lower(strip(i["title"])) == t.strip().lower()), F.lit(-1))
     present = lambda t: F.exists(items, lambda i: F.lower(strip(i["title"])) == t.strip().lower())
     full = lambda t: F.coalesce((item(t)["weight"] > 0) & (item(t)["score"] == item(t)["weight"]), F.lit(False))
     listed = lambda test: F.array_compact(F.array(*(F.when(test(t), F.lit(t)) for t in titles)))

@@ -151,7 +151,7 @@ def phash(data: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in data], dtype="Int64")
 
 
-@F.pandas_udf("struct<width: int, height: int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def picture_size(data: pd.Series) -> pd.DataFrame:
     found = [pixels(bytes(x)) if x is not None else None for x in data]
     return pd.DataFrame({"width": pd.array([None if p is None else p.shape[1] for p in found], "Int32"), "height": pd.array([None if p is None else p.shape[0] for p in found], "Int32")})
