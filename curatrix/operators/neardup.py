@@ -70,7 +70,9 @@ def band_hashes(texts: DataFrame, key: str, text: str, n: int, bands: int, rows:
                     hashed.append(hashlib.md5(",".join(map(str, values[i * rows : (i + 1) * rows])).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(band, pa.int32()), pa.array(hashed, pa.string())], [key, "band", "hash"])
 
-    return texts.select(key, text).mapInArrow(sign, f"{key} long, band int, hash string")
+    # Spread first: texts that were just grouped may lie in few partitions, and signing them is the costly step.
+    spread = texts.select(key, text).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return spread.mapInArrow(sign, f"{key} long, band int, hash string")
 
 
 def window_hashes(df: DataFrame, key: str, text: str, n: int, wrap: bool = False) -> DataFrame:
