@@ -28,14 +28,10 @@ def collapse(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """Lower case, blanks collapsed, odd punctuation to blanks, free-standing numbers to ``<NUM>``; null stays null.
 
-    The boundary of a number is any character that is no letter, digit or underscore. Numbers are replaced twice since
-    neighbouring ones share a boundary.
+    A number stands free if no letter, digit or underscore is next to it.
     """
     c = F.regexp_replace(collapse(F.lower(c)), KEPT, " ")
-    c = F.concat(F.lit(" "), F.trim(collapse(c)), F.lit(" "))
-    for _ in range(2):
-        c = F.regexp_replace(c, r"([^\p{L}\p{N}_])[0-9]+(\.[0-9]+)?([^\p{L}\p{N}_])", r"$1<NUM>$3")
-    return F.trim(c)
+    return F.regexp_replace(F.trim(collapse(c)), r"(?<![\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?(?![\p{L}\p{N}_])", "<NUM>")
 
 
 def char_ngrams(c: Column, n: int = 13, wrap: bool = True) -> Column:

@@ -10,13 +10,17 @@ from curatrix.plans.tables import table
 from curatrix.sources import images
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
-NUMBER = r"'([^\p{L}\p{N}_])[0-9]+(\.[0-9]+)?([^\p{L}\p{N}_])', '\1<NUM>\3', 'g'"
 
 
 def sql_normalized(column: str) -> str:
+    """The engine's patterns cannot look around, so numbers are replaced with their neighbours, fractions before whole
+    ones and each twice, since neighbouring numbers share a character."""
     plain = rf"regexp_replace(regexp_replace(lower({column}), '{WS}+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,\-+()/#:%;'']', ' ', 'g')"
-    padded = rf"' ' || trim(regexp_replace({plain}, '{WS}+', ' ', 'g')) || ' '"
-    return f"trim(regexp_replace(regexp_replace({padded}, {NUMBER}), {NUMBER}))"
+    out = rf"' ' || trim(regexp_replace({plain}, '{WS}+', ' ', 'g')) || ' '"
+    for number in (r"[0-9]+\.[0-9]+", r"[0-9]+"):
+        for _ in range(2):
+            out = rf"regexp_replace({out}, '([^\p{{L}}\p{{N}}_]){number}([^\p{{L}}\p{{N}}_])', '\1<NUM>\2', 'g')"
+    return f"trim({out})"
 
 
 def sql_strip(column: str) -> str:
