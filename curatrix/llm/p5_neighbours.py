@@ -212,18 +212,21 @@ def recall(vectors: DataFrame, k: int = K, dim: int = DIM, every: int = 50, **op
         t = pa.Table.from_batches(held)
         unit, ids, asks = _unit(_matrix(t.column("vec"), dim)), t.column("vec_id").to_numpy(), t.column("asks").to_numpy().astype(bool)
         place = np.array([f"{b} {s}" for b, s in zip(t.column("block").to_pylist(), t.column("slice").to_pylist())])
-        space = np.array(t.column("space").to_pylist(), object)
+        space, single = np.array(t.column("space").to_pylist(), object), unit.astype(np.float32)
         for p in np.unique(place):
             for s in set(space[place == p]):
                 at = (place == p) & (space == s)
                 q, r = np.flatnonzero(at & asks), np.flatnonzero(at & ~asks)
                 for i in range(0, len(q) if len(r) else 0, 256):
-                    c = np.round(unit[q[i : i + 256]] @ unit[r].T, 9)
-                    c[ids[q[i : i + 256]][:, None] == ids[r][None, :]] = -2
-                    best = np.argsort(-c, axis=1, kind="stable")[:, :k]
-                    rows_, cols = np.repeat(np.arange(len(c)), best.shape[1]), best.ravel()
-                    keep = c[rows_, cols] > -2
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q[i : i + 256]][rows_[keep]]), pa.array(ids[r[cols[keep]]]), pa.array(c[rows_, cols][keep])], ["q", "r", "cosine"])
+                    at = q[i : i + 256]
+                    near = single[at] @ single[r].T
+                    near[ids[at][:, None] == ids[r][None, :]] = -2
+                    take = min(k + 5, len(r))
+                    best = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                    a, b = np.repeat(np.arange(len(at)), take), best.ravel()
+                    real = near[a, b] > -2
+                    a, b = at[a[real]], r[b[real]]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.round((unit[a] * unit[b]).sum(1), 9))], ["q", "r", "cosine"])
 
     true = questions.unionByName(rows).repartition(blocks * slices, "block", "slice").mapInArrow(brute, "q long, r long, cosine double")
     kth = true.groupBy("q").agg(F.element_at(F.slice(F.array_sort(F.collect_list(-F.col("cosine"))), 1, k), -1).alias("d"), F.least(F.count("*"), F.lit(k)).alias("wanted"))
