@@ -206,3 +206,34 @@ def coerced_bytes(raw: Column, hexed: Column, base64: Column, numbers: Column) -
     listed = F.when(whole, F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")))
     some = lambda c: F.when(F.length(c) > 0, c)
     return F.coalesce(some(raw), some(F.when(digits.rlike("^([0-9a-f]{2})+$"), F.unhex(digits))), some(F.try_to_binary(base64, F.lit("base64"))), some(listed))
+
+
+def first_of(c: Column, *names: str) -> Column:
+    """Text of the first of several keys of a JSON object that has one, at top level or within ``generated_vqa``."""
+    paths = [f"$.{p}{n}" for n in names for p in ("", "generated_vqa.")]
+    return F.coalesce(*(F.nullif(strip(F.get_json_object(c, p)), F.lit("")) for p in paths))
+
+
+def mcq_fields(c: Column) -> tuple[Column, Column]:
+    """(question, options) of a JSON record, under any of their names."""
+    return first_of(c, "question", "stem", "prompt"), first_of(c, "options", "choices")
+
+
+def mcq_signature(question: Column, options: Column) -> Column:
+    """Question without case and extra blanks, and the sorted option texts likewise: equal for records that differ in
+    spelling of blanks, case, and order of options."""
+    key = lambda x: F.lower(strip(F.regexp_replace(x, r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+", " ")))
+    texts = F.array_sort(F.transform(F.filter(F.map_values(options), lambda v: v.isNotNull()), key))
+    return F.concat_ws("\n", key(question), F.array_join(texts, "|"))
+
+
+def packed_images(images: Column, skip_missing: bool = True) -> Column:
+    """Images with bytes; others are dropped, or kept as empty places."""
+    if skip_missing:
+        return with_bytes(images)
+    empty = F.lit(None).cast("struct<bytes:binary,path:string>")
+    return F.transform(F.coalesce(images, F.array().cast("array<struct<bytes:binary,path:string>>")), lambda x: F.when(F.length(x["bytes"]) > 0, x).otherwise(empty))
+
+
+def record_uid(dataset: Column, index: Column) -> Column:
+    return F.concat(F.coalesce(dataset, F.lit("")), F.lit("#"), F.coalesce(index.cast("string"), F.lit("-1")))

@@ -73,3 +73,14 @@ def not_yet(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def merge_counts(df: DataFrame, **conditions: Column) -> DataFrame:
     """Number of rows for each condition."""
     return df.agg(*(F.count_if(c).alias(name) for name, c in conditions.items()))
+
+
+def attach_reasoning(records: DataFrame, rollouts: DataFrame, key: str = "record_id") -> DataFrame:
+    """(record, reasoning) by equal signature. ``rollouts`` has signature, letter, reasoning and an order ``at``; of
+    several the one with the record's answer letter is taken, else the first. They are cut to one for each signature and
+    letter before the join."""
+    best = rollouts.where("reasoning is not null").groupBy("signature", "letter").agg(F.min_by(F.struct("reasoning", "at"), "at").alias("r"))
+    first = best.groupBy("signature").agg(F.min_by("r", "r.at").alias("any_letter"))
+    own = best.select("signature", F.col("letter").alias("answer_label"), F.col("r").alias("same_letter"))
+    joined = records.join(own, ["signature", "answer_label"], "left").join(first, "signature", "left")
+    return joined.select(key, F.coalesce("same_letter", "any_letter")["reasoning"].alias("reasoning"), F.col("same_letter").isNotNull().alias("letter_matched")).where("reasoning is not null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import parsing, records
 
 from curatrix.operators import balance, curation, exports, filters, merging, rubric
-from curatrix.plans.q_text import sql_strip
+from curatrix.plans.q_text import WS, sql_strip
 from curatrix.plans.tables import table
 
 TITLES = ("Stem stands alone", "Plain vocabulary", "No answer leak", "One correct option", "Options of one kind", "Clinically sound", "Picture and text agree")
@@ -271,6 +271,41 @@ def context_size(spark, d):
     return table(spark, d, "curated_images").select("row_id", F.size(c).alias("contexts"), F.md5(F.array_join(c, "|")).alias("contexts_md5"), filters.size_between(F.col("mini_rec.image_secondary_label")).alias("labelled"))
 
 
+def cot_attach(spark, d):
+    """Reasoning of training records attached to other records of the same question and options."""
+    r = table(spark, d, "vqa_records").select("record_id", "answer_label", "reasoning", "split", records.mcq_signature(F.col("question"), records.options_map(F.col("options"))).alias("signature")).where("signature <> ''")
+    given = r.select("signature", F.col("answer_label").alias("letter"), "reasoning", F.col("record_id").alias("at"))
+    out = merging.attach_reasoning(r.where("reasoning is null").select("record_id", "answer_label", "signature"), given)
+    return out.select("record_id", F.md5("reasoning").alias("reasoning_md5"), "letter_matched")
+
+
+def mcq_fields(spark, d):
+    q, o = records.mcq_fields(F.col("j"))
+    return table(spark, d, "generated_mcq").select("mcq_id", parsing.model_json(F.col("raw_model_output")).alias("j")).select("mcq_id", F.md5(q).alias("question_md5"), o.isNotNull().alias("has_options"))
+
+
+def image_meta(spark, d):
+    i = F.col("images")
+    return table(spark, d, "vqa_records").select(
+        records.record_uid(F.col("dataset_name"), F.col("dataset_index")).alias("uid"), F.size(records.packed_images(i)).alias("packed"), F.size(records.packed_images(i, False)).alias("places"), F.md5(F.get(records.packed_images(i), F.lit(0))["bytes"]).alias("first_md5")
+    )
+
+
+def resume_stream(spark, d):
+    """Events copied by a stream of available files, run twice over the same checkpoint: the second run adds nothing."""
+    import uuid
+
+    from curatrix.plans.stages import shared_folder
+    from curatrix.streaming.resume import run_available
+
+    base = f"{shared_folder(spark)}/curatrix/stream-{uuid.uuid4().hex}"
+    source, shape = f"{base}/in", "event_id long, user_id long"
+    table(spark, d, "events").select("event_id", "user_id").write.parquet(source)
+    for _ in range(2):
+        run_available(spark, source, shape, f"{base}/out", f"{base}/state", lambda df: df, key="event_id")
+    return spark.read.schema(shape).parquet(f"{base}/out")
+
+
 _ITEMS = rf"""
 items AS (SELECT verify_id, unnest(rubric_verification.rubric) AS i, generate_subscripts(rubric_verification.rubric, 1) AS pos FROM verified_mcq WHERE rubric_verification.error IS NULL),
 parts AS (SELECT verify_id, pos, {sql_strip('i.title')} AS title, lower({sql_strip('i.category')}) AS category, i.weight AS weight, i.score AS score, coalesce(lower({sql_strip('i.category')}) = 'pitfall', false) AS pitfall, coalesce(i.weight, 0) AS w, coalesce(i.score, 0) AS s FROM items),
@@ -416,4 +451,14 @@ Q = {
     "paginate": (paginate, "SELECT record_id, dataset_name FROM vqa_records ORDER BY dataset_name NULLS FIRST, record_id LIMIT 20 OFFSET 40"),
     "lookup_first": (lookup_first, "SELECT record_id, answer_label FROM vqa_records WHERE dataset_name = 'openfig_mcq' AND dataset_index = 5 ORDER BY record_id LIMIT 1"),
     "context_size": (context_size, None),
+    "cot_attach": (
+        cot_attach,
+        f"""WITH s AS (SELECT record_id, answer_label, reasoning, concat_ws(chr(10), lower({sql_strip(f"regexp_replace(question, '{WS}+', ' ', 'g')")}),
+          array_to_string(list_sort(list_transform(list_filter(list_transform(json_keys({_JSON}), lambda k: json_extract_string({_JSON}, '$."' || k || '"')), lambda v: v IS NOT NULL), lambda v: lower({sql_strip(f"regexp_replace(v, '{WS}+', ' ', 'g')")}))), '|')) AS g FROM vqa_records),
+        r AS (SELECT * FROM s WHERE g <> ''), b AS (SELECT g, answer_label AS l, arg_min(reasoning, record_id) AS reasoning, min(record_id) AS seq FROM r WHERE reasoning IS NOT NULL GROUP BY 1, 2), f AS (SELECT g, arg_min(reasoning, seq) AS reasoning FROM b GROUP BY 1)
+        SELECT record_id, md5(coalesce(b.reasoning, f.reasoning)) AS reasoning_md5, b.g IS NOT NULL AS letter_matched FROM r LEFT JOIN b ON r.g = b.g AND r.answer_label = b.l LEFT JOIN f ON r.g = f.g WHERE r.reasoning IS NULL AND coalesce(b.reasoning, f.reasoning) IS NOT NULL""",
+    ),
+    "mcq_fields": (mcq_fields, None),
+    "image_meta": (image_meta, "WITH r AS (SELECT coalesce(dataset_name, '') || '#' || coalesce(dataset_index::VARCHAR, '-1') AS uid, images, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i FROM vqa_records) SELECT uid, len(i) AS packed, len(coalesce(images, [])) AS places, md5(i[1].bytes) AS first_md5 FROM r"),
+    "resume_stream": (resume_stream, "SELECT event_id, user_id FROM events"),
 }
