@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatrix.functions.binding import let
+
 #: Whitespace as Unicode defines it, spelled out because engines disagree on ``\s``.
 WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 # Fixed value: texts of a missing label.
@@ -36,10 +38,9 @@ def normalize_text(c: Column) -> Column:
 
 def char_ngrams(c: Column, n: int = 13, wrap: bool = True) -> Column:
     """All windows of ``n`` characters of ``^text$``; shorter texts have none."""
-    s = F.concat(F.lit("^"), c, F.lit("$")) if wrap else c
-    size = F.length(s)
-    windows = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(s, i, n))
-    return F.when(size >= n, windows).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    cut = lambda s: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))).otherwise(none)
+    return let(F.concat(F.lit("^"), c, F.lit("$")) if wrap else c, cut)
 
 
 @F.pandas_udf(T.StringType())

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.functions.binding import let
 from curatrix.functions.parsing import answer_last, grade, predicted_letter
 
 
 def graded(outputs: Column, answer: Column, label: Column, options: Column | None = None, extract=answer_last) -> Column:
     """array<struct<output_text, pred_letter, is_correct>> of an array of output texts."""
 
-    def one(text: Column) -> Column:
-        said = extract(text)
+    def one(text: Column, said: Column) -> Column:
         letter = predicted_letter(said, options) if options is not None else F.lit(None).cast("string")
         return F.struct(text.alias("output_text"), F.coalesce(letter, said).alias("pred_letter"), grade(said, answer, label).alias("is_correct"))
 
-    return F.transform(outputs, one)
+    return F.transform(outputs, lambda text: let(extract(text), lambda said: one(text, said)))
 
 
 def majority(values: Column) -> Column:
     """The commonest element, ties to the first seen; null of an empty array."""
-    counted = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x.eqNullSafe(v))).alias("n"), (-F.array_position(values, v)).alias("at"), v.alias("v")))
-    return F.array_max(counted)["v"]
+    counted = lambda a: F.transform(F.array_distinct(a), lambda v: F.struct(F.size(F.filter(a, lambda x: x.eqNullSafe(v))).alias("n"), (-F.array_position(a, v)).alias("at"), v.alias("v")))
+    return let(values, lambda a: F.array_max(counted(a))["v"])
 
 
 def regraded(df: DataFrame, parsed: str = "parsed", label: str = "answer_label") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.functions.binding import let
 from curatrix.functions.text import strip
 
 # Fixed value: titles a rubric must have in full, where the caller names no others.
@@ -29,14 +30,15 @@ def scores(rubric: Column) -> Column:
 def required_check(rubric: Column, titles: tuple[str, ...] = REQUIRED) -> tuple[Column, Column]:
     """(passed, reason): every title is there with a positive weight and its full score; of several items of one title
     the last holds. The reason lists what is missing, else what is not full."""
-    items = F.filter(rubric, lambda i: i.isNotNull() & i["title"].isNotNull())
-    item = lambda t: F.try_element_at(F.filter(items, lambda i: F.lower(strip(i["title"])) == t.strip().lower()), F.lit(-1))
-    present = lambda t: F.exists(items, lambda i: F.lower(strip(i["title"])) == t.strip().lower())
-    full = lambda t: F.coalesce((item(t)["weight"] > 0) & (item(t)["score"] == item(t)["weight"]), F.lit(False))
-    listed = lambda test: F.array_compact(F.array(*(F.when(test(t), F.lit(t)) for t in titles)))
-    missing, short = listed(lambda t: ~present(t)), listed(lambda t: present(t) & ~full(t))
-    reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing_titles:"), F.array_join(missing, ";"))).when(F.size(short) > 0, F.concat(F.lit("essential_not_full:"), F.array_join(short, ";"))).otherwise("")
-    return (F.size(missing) == 0) & (F.size(short) == 0), reason
+    keyed = F.transform(F.filter(rubric, lambda i: i.isNotNull() & i["title"].isNotNull()), lambda i: F.struct(F.lower(strip(i["title"])).alias("k"), i["weight"].alias("w"), i["score"].alias("s")))
+    # 0 is missing, 1 not full, 2 full; one state a title, found in one pass over the items each.
+    last = lambda items, t: F.try_element_at(F.filter(items, lambda i: i["k"] == t.strip().lower()), F.lit(-1))
+    state = lambda items, t: let(last(items, t), lambda i: F.when(i.isNull(), 0).when(F.coalesce((i["w"] > 0) & (i["s"] == i["w"]), F.lit(False)), 2).otherwise(1))
+    states = let(keyed, lambda items: F.array(*(state(items, t) for t in titles)))
+    listed = lambda held, n: F.array_join(F.array_compact(F.array(*(F.when(F.get(held, F.lit(k)) == n, F.lit(t)) for k, t in enumerate(titles)))), ";")
+    why = lambda held: F.when(F.array_contains(held, 0), F.concat(F.lit("missing_titles:"), listed(held, 0))).when(F.array_contains(held, 1), F.concat(F.lit("essential_not_full:"), listed(held, 1))).otherwise("")
+    reason = let(states, why)
+    return reason == "", reason
 
 
 def annotated(verified: DataFrame, titles: tuple[str, ...] = REQUIRED) -> DataFrame:
