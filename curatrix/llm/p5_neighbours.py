@@ -28,6 +28,8 @@ K, DIM = 5, 64
 PIVOTS, PREFIX, POSTS = 2048, 8, 5
 #: Vectors indexed in one part of an inverted file; a longer file has several parts and is asked in all of them.
 PART_ROWS = 4096
+#: Vectors that ask in one part; for a longer file they are split as well, so a part is bounded on both sides.
+ASKING_ROWS = 100_000
 #: Candidates of a file that are reranked by cosine, in footrule order.
 RERANK = 256
 #: Postings one task of the search reads.
@@ -115,19 +117,19 @@ def _search(k: int, rerank: int, dim: int) -> Callable:
             return
         table = pa.Table.from_batches(rows)
         shard, ids = table.column("shard").to_numpy(), table.column("vec_id").to_numpy()
-        index = table.column("indexed").to_numpy().astype(bool)
+        index, asks = table.column("indexed").to_numpy().astype(bool), table.column("asks").to_numpy().astype(bool)
         units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(len(ids), dim)
         orders = _matrix(table.column("pivots"), len(table.column("pivots")[0]))
         del table, rows
         by = np.argsort(shard, kind="stable")
         start = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1]))
         for group in np.split(by, start[1:]):
-            posted = group[index[group]]
+            posted, asking = group[index[group]], group[asks[group]]
             if not len(posted) or len(group) < 2:
                 continue
             step = max(1, 1_000_000 // len(posted))
-            for at in range(0, len(group), step):
-                asked = group[at : at + step]
+            for at in range(0, len(asking), step):
+                asked = asking[at : at + step]
                 near = units[asked] @ units[posted].T
                 near[ids[asked][:, None] == ids[posted][None, :]] = -2
                 if len(posted) > rerank:
@@ -161,11 +163,15 @@ def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, pivots: int = PIV
     indexed = materialize(single.mapInArrow(_represent(held, prefix, dim), shape), "permutations")
     first = indexed.select("vec_id", "space", "unit", "pivots", F.explode(F.slice("pivots", 1, posts)).alias("pivot")).where("pivot >= 0")
     files = first.groupBy("space", "pivot").agg(F.count("*").alias("n"))
-    files = F.broadcast(files.select("space", "pivot", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")))
-    spread = first.join(files, ["space", "pivot"])
-    own = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-    spread = spread.select("vec_id", "space", "pivot", "unit", "pivots", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    posted = spread.select(F.xxhash64("space", "pivot", "part").alias("shard"), "vec_id", (F.col("own") == F.col("part")).cast("int").alias("indexed"), "unit", "pivots")
+    split = lambda rows: F.ceil(F.col("n") / rows).cast("int")
+    files = F.broadcast(files.select("space", "pivot", split(PART_ROWS).alias("parts"), split(ASKING_ROWS).alias("blocks")))
+    # A vector asks in one block, all its parts, and is indexed in one part, in all its blocks.
+    own, home = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col("blocks")).cast("int")
+    asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), home.alias("block"), F.lit(1).alias("asks"), (p == own).cast("int").alias("indexed")))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != home)
+    held = F.transform(others, lambda b: F.struct(own.alias("part"), b.alias("block"), F.lit(0).alias("asks"), F.lit(1).alias("indexed")))
+    spread = first.join(files, ["space", "pivot"]).select("vec_id", "space", "pivot", "unit", "pivots", F.explode(F.concat(asking, held)).alias("p"))
+    posted = spread.select(F.xxhash64("space", "pivot", "p.part", "p.block").alias("shard"), "vec_id", "p.indexed", "p.asks", "unit", "pivots")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-indexed.count() * (posts + 1) // TASK_ROWS))
     near = posted.repartition(tasks, "shard").mapInArrow(_search(k, rerank, dim), "q long, r long, cosine double")
     return _ranked(near, members, k)

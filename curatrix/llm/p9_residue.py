@@ -210,8 +210,13 @@ def fit(rows: list[tuple[str, bool, bool]], labels: list[bool], steps: int = STE
     return Linear(w.astype(np.float32), float(b))
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of a batch with their weak labels; at most ``SAMPLE`` of each label a task, those of the least hash."""
+def _labelled(limits: dict[bool, int]) -> Callable:
+    return lambda batches: _label(batches, dict(limits))
+
+
+def _label(batches: Iterator[pa.RecordBatch], limit: dict[bool, int]) -> Iterator[pa.RecordBatch]:
+    """Segments of a batch with their weak labels; at most ``SAMPLE`` of each label a task, those of the least hash, and
+    none above the limits."""
     held: dict[bool, list] = {True: [], False: []}
     seen: dict[bool, set] = {True: set(), False: set()}
 
@@ -220,7 +225,6 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         del held[label][SAMPLE:]
         seen[label] = {h for h, *_ in held[label]}
 
-    limit = {True: 1 << 64, False: 1 << 64}
     for batch in batches:
         for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist()):
             parts = segments(text)
@@ -247,7 +251,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_sample(documents: DataFrame, size: int = SAMPLE) -> list:
     """At most ``size`` distinct segments of each label, those whose hash is least."""
-    rows = documents.select("text", "source").mapInArrow(_labelled, "hash long, segment string, source string, first boolean, only boolean, label boolean")
+    # Hash limits that are expected to leave several times ``size`` segments of each label: texts have a segment or more,
+    # and one in a hundred is taken to hold a labelled one. They keep what tasks send in proportion to the sample.
+    texts = max(1, documents.count())
+    limits = {label: int(min(1.0, share * size / texts) * (1 << 64)) for label, share in ((True, 800.0), (False, 8.0))}
+    rows = documents.select("text", "source").mapInArrow(_labelled(limits), "hash long, segment string, source string, first boolean, only boolean, label boolean")
     out = []
     for label in (True, False):
         out += rows.where(F.col("label") == label).dropDuplicates(["hash"]).orderBy("hash").limit(size).collect()

@@ -28,6 +28,8 @@ from curatrix.plans.stages import BROADCAST_ROWS, keep_keys, materialize
 SKETCH_BITS = 20
 #: Records a word may be posted for in one shard; a commoner word is split into several shards.
 SHARD_ROWS = 20_000
+#: Records that ask in one shard; for a commoner word they are split as well, so a shard is bounded on both sides.
+ASKING_ROWS = 1_000_000
 #: Postings one task of the shard stage reads.
 TASK_ROWS = 400_000
 
@@ -147,7 +149,7 @@ def _fingerprints(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
 
 
 def posting(sketch, level: Threshold) -> Callable:
-    """Postings (shard, id, meta, f1, f2): meta is size * 4 + side * 2 + (posted as the smaller record)."""
+    """Postings (shard, id, meta, f1, f2): meta is size * 8 + side * 4 + asks * 2 + (posted as the smaller record)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, counts = _Words(), sketch.value
@@ -165,13 +167,20 @@ def posting(sketch, level: Threshold) -> Callable:
             ids = batch.column("record_id").to_numpy(zero_copy_only=False)[row]
             side = batch.column("side").to_numpy(zero_copy_only=False)[row].astype(np.int64)
             smaller = (place < level.index(size)).astype(np.int64)
-            # A word commoner than a shard may hold is split: a record is indexed in one part and asks all of them.
-            parts = 1 + often // SHARD_ROWS
-            copy = np.repeat(np.arange(len(row)), parts)
-            part = np.arange(len(copy)) - np.repeat(np.cumsum(parts) - parts, parts)
-            own = (_mix(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-            meta = (size[copy] * 4 + side[copy] * 2 + smaller[copy] * (own[copy] == part)).astype(np.int64)
-            shard = _mix(token[copy] + part.astype(np.uint64) * _GOLD)
+            # A word commoner than a shard may hold is split into parts by blocks: a record is indexed in one part, in all
+            # its blocks, and asks in one block, all its parts.
+            parts, blocks = 1 + often // SHARD_ROWS, 1 + often // ASKING_ROWS
+            slots = parts + blocks - 1
+            copy = np.repeat(np.arange(len(row)), slots)
+            slot = np.arange(len(copy)) - np.repeat(np.cumsum(slots) - slots, slots)
+            mixed = _mix(ids.astype(np.uint64))
+            own = (mixed % parts.astype(np.uint64)).astype(np.int64)[copy]
+            home = ((mixed >> np.uint64(32)) % blocks.astype(np.uint64)).astype(np.int64)[copy]
+            asks = slot < parts[copy]
+            other = slot - parts[copy]
+            part, block = np.where(asks, slot, own), np.where(asks, home, other + (other >= home))
+            meta = (size[copy] * 8 + side[copy] * 4 + asks * 2 + smaller[copy] * (own == part)).astype(np.int64)
+            shard = _mix(token[copy] + part.astype(np.uint64) * _GOLD + block.astype(np.uint64) * _M2)
             yield pa.RecordBatch.from_arrays([_int64(shard), _int64(ids[copy]), _int64(meta), _int64(prints[row[copy], 0]), _int64(prints[row[copy], 1])], ["shard", "id", "meta", "f1", "f2"])
 
     return run
@@ -182,11 +191,12 @@ def distance(f: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.bitwise_count(f ^ g).sum(-1, dtype=np.int64)
 
 
-def _join(level: Threshold, two_sided: bool, size, side, ids, smaller, prints, i, j) -> np.ndarray:
-    """Which of the candidate rows (i, j) may reach the threshold; the smaller record must be posted as such."""
+def _join(level: Threshold, two_sided: bool, size, side, ids, smaller, asks, prints, i, j) -> np.ndarray:
+    """Which of the candidate rows (i, j) may reach the threshold; the smaller record must be posted as such and the
+    other must ask."""
     swap = (size[i] > size[j]) | ((size[i] == size[j]) & (ids[i] > ids[j]))
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    ok = smaller[i] & level.sizes(size[i], size[j]) & (ids[i] != ids[j])
+    ok = smaller[i] & asks[j] & level.sizes(size[i], size[j]) & (ids[i] != ids[j])
     if two_sided:
         ok &= side[i] != side[j]
     at = np.flatnonzero(ok)
@@ -208,15 +218,15 @@ def pairs_in_shards(level: Threshold, two_sided: bool, search: Callable | None =
         shard, ids, meta = (table.column(c).to_numpy() for c in ("shard", "id", "meta"))
         prints = np.stack([table.column("f1").to_numpy().view(np.uint64), table.column("f2").to_numpy().view(np.uint64)], 1)
         del table
-        order = np.lexsort((ids, meta >> 2, shard))
+        order = np.lexsort((ids, meta >> 3, shard))
         shard, ids, meta, prints = shard[order], ids[order], meta[order], prints[order]
-        size, side, smaller = meta >> 2, (meta >> 1) & 1, (meta & 1).astype(bool)
+        size, side, asks, smaller = meta >> 3, (meta >> 2) & 1, (meta & 2).astype(bool), (meta & 1).astype(bool)
         start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         length = np.diff(np.append(start, len(shard)))
         found: list[np.ndarray] = []
 
         def add(i: np.ndarray, j: np.ndarray) -> None:
-            at = _join(level, two_sided, size, side, ids, smaller, prints, i, j)
+            at = _join(level, two_sided, size, side, ids, smaller, asks, prints, i, j)
             if len(at):
                 a, b = ids[i[at]], ids[j[at]]
                 found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
@@ -230,12 +240,8 @@ def pairs_in_shards(level: Threshold, two_sided: bool, search: Callable | None =
         for s, n in zip(start[length > tiny], length[length > tiny]):
             at = np.arange(s, s + n)
             points = at[smaller[at]]
-            if not len(points):
-                continue
-            if search is not None:
-                search(prints, size, points, at, level, add)
-            else:
-                compare(prints, size, points, at, level, add)
+            if len(points):
+                (search or compare)(prints, size, points, at[asks[at]], level, add)
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([_int64(pairs[:, 0]), _int64(pairs[:, 1])], ["a", "b"])

@@ -72,6 +72,7 @@ def test_cross_split_pairs_equal_brute_force(spark, seed):
 def test_split_shards_lose_nothing(spark, monkeypatch):
     """A word far commoner than a shard may hold is split over shards."""
     monkeypatch.setattr(wordjoin, "SHARD_ROWS", 7)
+    monkeypatch.setattr(wordjoin, "ASKING_ROWS", 13)
     rows = random_rows(5)
     assert found(p2_edits.edited_pairs(table(spark, rows))) == brute(rows)
 

@@ -53,6 +53,7 @@ def test_unusable_repeated_and_few_vectors(spark):
 
 def test_long_files_are_split(spark, monkeypatch):
     monkeypatch.setattr(p5, "PART_ROWS", 16)
+    monkeypatch.setattr(p5, "ASKING_ROWS", 25)
     rng = np.random.default_rng(4)
     x = (rng.normal(size=64) + 0.3 * rng.normal(size=(150, 64))).astype(np.float32)
     vectors = frame(spark, [(i, "s", v.tolist()) for i, v in enumerate(x)])
