@@ -13,6 +13,7 @@ columns are ignored; needed are record_id, split, question, options and images (
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.wordjoin import Threshold, expanded, similar_records
+from curatrix.llm.wordjoin import Threshold, similar_records
 from curatrix.plans.stages import keep_keys, materialize
 
 LEVEL = Threshold(7, 10)
@@ -109,14 +110,52 @@ def _training(column: str = "split"):
     return F.coalesce((F.lower(F.trim(column)) == "train").cast("int"), F.lit(0))
 
 
-def cross_split_pairs(records: DataFrame, level: Threshold = LEVEL, grey: float = GREY) -> DataFrame:
-    """record_a < record_b of which exactly one is in training, with their overlap and sizes, same texts and pictures."""
-    joined = similar_records(records.select("record_id", "question", "options", _training().alias("side")), level, two_sided=True)
-    pairs = materialize(expanded(joined), "overlaps")
-    ids = pairs.select(F.explode(F.array("record_a", "record_b")).alias("record_id")).distinct()
-    pictures = materialize(keep_keys(records.select("record_id", F.col("images.bytes").alias("pictures")), ids, "record_id"), "pictures")
-    a = pictures.select(F.col("record_id").alias("record_a"), F.col("pictures").alias("pa"))
-    b = pictures.select(F.col("record_id").alias("record_b"), F.col("pictures").alias("pb"))
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record_id, side, n, low, high, digest, pictures): number of pictures, their least and greatest mean grey, and a
+    digest of their bytes in any order. A picture that cannot be decoded has a mean made from its bytes, so that equal
+    bytes have equal means."""
+    for batch in batches:
+        rows = []
+        for pictures in batch.column("pictures").to_pylist():
+            held = sorted(p for p in pictures or [] if p)
+            means = []
+            for p in held:
+                seen = decode(p)
+                means.append(np.frombuffer(seen[2], np.uint8).mean() if seen else zlib.crc32(p) % 256)
+            rows.append((len(held), float(min(means, default=-1)), float(max(means, default=-1)), hashlib.md5(b"".join(hashlib.md5(p).digest() for p in held)).hexdigest(), held))
+        cols = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("side"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["record_id", "side", "n", "low", "high", "digest", "pictures"])
+
+
+def _matched_classes(records: DataFrame, level: Threshold, grey: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, classes of records). A class is all records of one multiset of words, one side and the same
+    pictures, named by its least record_id; classes are compared, not their records.
+
+    Pictures that are alike differ by at most ``grey`` in their mean, so two records whose pictures are the same differ by
+    at most that in the least and in the greatest mean of theirs. Classes meet by number of pictures and bucket of the
+    least mean, which keeps a text that very many records share from being compared with all of them.
+    """
+    records = records.select("record_id", "question", "options", _training().alias("side"), F.col("images.bytes").alias("pictures"))
+    joined = similar_records(records, level, two_sided=True)
+    pairs = materialize(joined.pairs, "overlaps")
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = materialize(reps.join(joined.members.select("rep", "record_id"), "rep", "left").select("rep", F.coalesce("record_id", "rep").alias("record_id")), "wanted")
+    shape = "record_id long, side int, n int, low double, high double, digest string, pictures array<binary>"
+    chosen = keep_keys(records.select("record_id", "side", "pictures"), wanted.select("record_id"), "record_id")
+    outlines = materialize(chosen.mapInArrow(_outline, shape), "pictures")
+    placed = wanted.join(outlines.drop("pictures"), "record_id")
+    names = placed.groupBy("rep", "digest").agg(F.min("record_id").alias("class"))
+    members = materialize(placed.join(names, ["rep", "digest"]).select("class", "record_id", "side", "rep", "n", "low", "high"), "classes")
+    classes = members.where("class = record_id").withColumn("bucket", F.floor(F.col("low") / (max(grey, 1.0) + 1e-6)))
+
+    def end(k: str) -> DataFrame:
+        return classes.select(F.col("rep").alias(k), F.col("class").alias(f"class_{k}"), "n", "bucket", F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"), F.col("side").alias(f"side_{k}"))
+
+    near = end("b").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)))
+    met = pairs.join(end("a"), "a").join(near, ["b", "n", "bucket"]).where((F.abs(F.col("low_a") - F.col("low_b")) <= grey + 1e-6) & (F.abs(F.col("high_a") - F.col("high_b")) <= grey + 1e-6))
+    looks = lambda k: outlines.select(F.col("record_id").alias(f"class_{k}"), F.col("pictures").alias(f"p{k}"))
+    kept = ["class_a", "class_b", "side_a", "side_b", "overlap", "size_a", "size_b"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,21 +163,37 @@ def cross_split_pairs(records: DataFrame, level: Threshold = LEVEL, grey: float
             keep = pa.array([same_pictures(p, q, grey) for p, q in zip(x, y)], pa.bool_())
             yield batch.drop_columns(["pa", "pb"]).filter(keep)
 
-    both = pairs.join(a, "record_a").join(b, "record_b").select("record_a", "record_b", "overlap", "size_a", "size_b", "pa", "pb")
-    return both.mapInArrow(check, "record_a long, record_b long, overlap int, size_a int, size_b int")
+    both = met.join(looks("a"), "class_a").join(looks("b"), "class_b").select(*kept, "pa", "pb")
+    shape = "class_a long, class_b long, side_a int, side_b int, overlap int, size_a int, size_b int"
+    return materialize(both.mapInArrow(check, shape), "matched"), members.select("class", "record_id", "side")
+
+
+def cross_split_pairs(records: DataFrame, level: Threshold = LEVEL, grey: float = GREY) -> DataFrame:
+    """record_a < record_b of which exactly one is in training, with like texts and the same pictures, their overlap in
+    words and its share of the evaluation record (containment)."""
+    matched, members = _matched_classes(records, level, grey)
+    a, b = (members.select(F.col("class").alias(f"class_{k}"), F.col("record_id").alias(f"r{k}")) for k in "ab")
+    size = F.when(F.col("side_a") == 0, F.col("size_a")).otherwise(F.col("size_b"))
+    return matched.join(a, "class_a").join(b, "class_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "overlap", (F.col("overlap") / size).alias("containment"))
 
 
 def overlap_report(records: DataFrame, level: Threshold = LEVEL, grey: float = GREY) -> DataFrame:
     """Per split and dataset_name of the evaluation side: its records, those found in training, the pairs, and the mean
-    over found records of the greatest containment in a training record."""
-    pairs = cross_split_pairs(records, level, grey)
+    over found records of the greatest containment in a training record. Pairs are counted by class sizes, never formed."""
+    matched, members = _matched_classes(records, level, grey)
+    sizes = members.groupBy("class").agg(F.count("*").alias("members"))
+    held_a = F.col("side_a") == 0
+    turned = matched.select(
+        F.when(held_a, F.col("class_a")).otherwise(F.col("class_b")).alias("held"), F.when(held_a, F.col("class_b")).otherwise(F.col("class_a")).alias("class"),
+        (F.col("overlap") / F.when(held_a, F.col("size_a")).otherwise(F.col("size_b"))).alias("containment"),
+    )
+    hits = turned.join(sizes, "class").groupBy("held").agg(F.sum("members").alias("pairs"), F.max("containment").alias("containment"))
     held = records.where(_training() == 0).select("record_id", "split", "dataset_name")
-    ends = pairs.select("overlap", F.explode(F.array(*(F.struct(F.col(f"record_{k}").alias("record_id"), F.col(f"size_{k}").alias("size")) for k in "ab"))).alias("end"))
-    ends = ends.select("end.record_id", (F.col("overlap") / F.col("end.size")).alias("containment"))
-    hits = held.join(ends, "record_id").groupBy("record_id", "split", "dataset_name").agg(F.count("*").alias("pairs"), F.max("containment").alias("containment"))
-    found = hits.groupBy("split", "dataset_name").agg(F.count("*").alias("found"), F.sum("pairs").alias("pairs"), F.round(F.avg("containment"), 6).alias("mean_containment"))
-    sizes = held.groupBy("split", "dataset_name").agg(F.count("*").alias("records"))
-    same = sizes.split.eqNullSafe(found.split) & sizes.dataset_name.eqNullSafe(found.dataset_name)
-    return sizes.join(found, same, "left").select(
-        sizes.split, sizes.dataset_name, "records", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("pairs", F.lit(0)).alias("pairs"), "mean_containment"
+    found = held.join(members.select("record_id", F.col("class").alias("held")), "record_id").join(hits, "held").groupBy("split", "dataset_name").agg(
+        F.count("*").alias("found"), F.sum("pairs").alias("pairs"), F.round(F.avg("containment"), 6).alias("mean_containment")
+    )
+    totals = held.groupBy("split", "dataset_name").agg(F.count("*").alias("records"))
+    same = totals.split.eqNullSafe(found.split) & totals.dataset_name.eqNullSafe(found.dataset_name)
+    return totals.join(found, same, "left").select(
+        totals.split, totals.dataset_name, "records", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("pairs", F.lit(0)).alias("pairs"), "mean_containment"
     )

@@ -165,3 +165,19 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for e in edges for x in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_text_with_many_pictures(spark):
+    """One text on a third of the rows, each with its own or a shared picture: pairs follow the pictures."""
+    rng = np.random.default_rng(9)
+    rows, values = [], {}
+    for i in range(120):
+        values[i] = int(rng.integers(0, 256))
+        rows.append((i, "train" if i % 3 else "test", "what is shown here", None, [(picture(values[i]), None)]))
+    rows += [(1000 + i, "train", f"other{i} words{i} here{i}", None, None) for i in range(200)]
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if (a % 3 == 0) != (b % 3 == 0) and abs(values[a] - values[b]) <= 4}
+    df = table(spark, rows)
+    assert found(p1_overlap.cross_split_pairs(df)) == want
+    report = p1_overlap.overlap_report(df).collect()
+    assert [(r["split"], r["records"], r["pairs"]) for r in report] == [("test", 40, len(want))]
+    assert report[0]["found"] == len({x for p in want for x in p if x % 3 == 0}) and report[0]["mean_containment"] == 1.0
