@@ -1,9 +1,8 @@
 """Problem 5: the k most similar vectors of the same space for every vector.
 
 A permutation index: every vector is represented by the order of its nearest pivots, is posted in the inverted files of
-the first few of them, and meets there the vectors that share one. Within a file candidates are ranked by the footrule
-distance of their pivot orders, the nearest are reranked by exact cosine, and the best of all files of a vector are its
-answer. Pivots are a bounded sample (``PIVOTS`` distinct vectors a space, chosen by hash); every vector is indexed.
+the first few of them, and meets there the vectors that share one. Within a file every vector is compared by cosine, however
+long the file is, and the best of all files of a vector are its answer. Pivots are a bounded sample (``PIVOTS`` distinct vectors a space, chosen by hash); every vector is indexed.
 
 Cases: vectors that are null, empty, of another length, all zero or that hold null, NaN or infinite elements take no
 part. Exactly repeated vectors are searched once and stand for each other afterwards. Ties go to the smaller vec_id. A
@@ -30,8 +29,8 @@ PIVOTS, PREFIX, POSTS = 2048, 8, 5
 PART_ROWS = 4096
 #: Vectors that ask in one part; for a longer file they are split as well, so a part is bounded on both sides.
 ASKING_ROWS = 100_000
-#: Candidates of a file that are reranked by cosine, in footrule order.
-RERANK = 256
+#: Candidates of a file that are compared by cosine, in footrule order; None: all, so that accuracy does not fall with size.
+RERANK = None
 #: Postings one task of the search reads.
 TASK_ROWS = 40_000
 
@@ -110,7 +109,7 @@ def footrule_gain(asked: np.ndarray, posted: np.ndarray) -> np.ndarray:
     return gain
 
 
-def _search(k: int, rerank: int, dim: int) -> Callable:
+def _search(k: int, rerank: int | None, dim: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
@@ -132,7 +131,7 @@ def _search(k: int, rerank: int, dim: int) -> Callable:
                 asked = asking[at : at + step]
                 near = units[asked] @ units[posted].T
                 near[ids[asked][:, None] == ids[posted][None, :]] = -2
-                if len(posted) > rerank:
+                if rerank is not None and len(posted) > rerank:
                     gain = footrule_gain(orders[asked], orders[posted])
                     far = np.argpartition(-gain, rerank, axis=1)[:, rerank:]
                     np.put_along_axis(near, far, -2, axis=1)
@@ -147,7 +146,7 @@ def _search(k: int, rerank: int, dim: int) -> Callable:
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, pivots: int = PIVOTS, prefix: int = PREFIX, posts: int = POSTS, rerank: int = RERANK) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, dim: int = DIM, pivots: int = PIVOTS, prefix: int = PREFIX, posts: int = POSTS, rerank: int | None = RERANK) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the ``k`` most similar other vectors of the same space, within the index's
     accuracy."""
     spark = vectors.sparkSession

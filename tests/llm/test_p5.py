@@ -66,6 +66,19 @@ def test_long_files_are_split(spark, monkeypatch):
     assert np.mean([len(got[q] & set(np.argsort(-c[q])[:5].tolist())) / 5 for q in range(150)]) > 0.9
 
 
+def test_every_vector_of_a_long_file_is_compared(spark):
+    """Every vector is in every file, so the answers must be those of brute force, also far above 256 vectors a file."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=64) + 0.3 * rng.normal(size=(1500, 64))).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    got = {}
+    for r in p5.neighbours(frame(spark, [(i, "s", v.tolist()) for i, v in enumerate(x)]), pivots=4, prefix=4, posts=4).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour"])
+    assert all(got[q] == set(np.argsort(-c[q])[:5].tolist()) for q in range(1500))
+
+
 def test_footrule_gain_is_the_footrule_distance():
     rng = np.random.default_rng(5)
     a, b = (np.array([rng.permutation(20)[:6] for _ in range(7)], np.int32) for _ in range(2))
