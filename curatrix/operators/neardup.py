@@ -112,13 +112,71 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 13, threshold:
     return candidates.join(ta, "id_a").join(tb, "id_b").select("id_a", "id_b", F.round(similarity, 6).alias("levenshtein_sim")).where("levenshtein_sim is not null")
 
 
-def memberships(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, rep): each row and the least key with the same normalised text."""
-    hashed = df.select(key, F.md5(normalize_text(F.col(text))).alias("_h")).where("_h is not null")
+def memberships(df: DataFrame, key: str, text: str, n: int = 0) -> DataFrame:
+    """(key, rep): each row and the least key with the same normalised text, of texts that have a window of ``n``
+    characters."""
+    norm = df.select(key, normalize_text(F.col(text)).alias("_t"))
+    hashed = norm.where(F.length("_t") + 2 >= n).select(key, F.md5("_t").alias("_h"))
     reps = hashed.groupBy("_h").agg(F.min(key).alias("rep"))
     return hashed.join(reps, "_h").select(key, "rep")
 
 
+def copy_classes(members: DataFrame, pairs: DataFrame, similarity: str = "levenshtein_sim") -> DataFrame:
+    """(rep, copies, hits, top): every class of equal texts with its rows, the other rows that each of them matches (its
+    copies, and all rows of the classes that ``pairs`` joins it to, from either end) and the best similarity of those.
+    Rows are counted by class sizes, so a text that a third of all rows share is not joined with itself."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    ends = _both_ends(pairs, similarity).join(sizes.select(F.col("rep").alias("other"), F.col("copies").alias("many")), "other")
+    near = ends.groupBy("rep").agg(F.sum("many").alias("many"), F.max("sim").alias("top"))
+    one = sizes.join(near, "rep", "left")
+    copied = F.col("copies") > 1
+    return one.select("rep", "copies", (F.col("copies") - 1 + F.coalesce("many", F.lit(0))).alias("hits"), F.when(copied, F.lit(1.0)).otherwise(F.col("top")).alias("top"))
+
+
+def _both_ends(pairs: DataFrame, similarity: str) -> DataFrame:
+    one = pairs.select(F.col("id_a").alias("rep"), F.col("id_b").alias("other"), F.col(similarity).alias("sim"))
+    return one.unionByName(pairs.select(F.col("id_b").alias("rep"), F.col("id_a").alias("other"), F.col(similarity).alias("sim")))
+
+
+def row_report(pairs: DataFrame, members: DataFrame, rows: int | DataFrame, similarity: str = "levenshtein_sim", edges: tuple[float, ...] = (0.80, 0.85, 0.90, 0.95, 1.01)) -> DataFrame:
+    """``pair_report`` of all rows instead of one a distinct text: every row asks all others, so exact copies are matches of
+    similarity 1 and a pair counts from both ends. ``pairs`` are those of distinct texts, ``members`` (key, rep) their rows."""
+    total = rows.count() if isinstance(rows, DataFrame) else rows
+    pairs, members = materialize(pairs, "pairs"), materialize(members, "members")
+    classes = materialize(copy_classes(members, pairs, similarity), "classes")
+    hit = classes.where("hits > 0")
+    c = F.col("copies")
+    heads = hit.agg(
+        F.coalesce(F.sum(c * F.col("hits")), F.lit(0)).alias("pairs"), F.coalesce(F.sum(c), F.lit(0)).alias("hit_queries"), (F.coalesce(F.sum(c), F.lit(0)) / F.lit(max(1, total))).alias("hit_rate"), (F.sum(c * F.col("hits")) / F.sum(c)).alias("mean_hits"), F.max("hits").alias("max_hits"),
+        (F.sum(c * F.col("top")) / F.sum(c)).alias("top_mean"), F.percentile("top", F.lit(0.5), c).alias("top_median"), F.percentile("top", F.lit(0.95), c).alias("top_p95"),
+    )
+    size = lambda k: classes.select(F.col("rep").alias(k), F.col("copies").alias(f"n_{k}"))
+    between = pairs.join(size("id_a"), "id_a").join(size("id_b"), "id_b").select(F.col(similarity).alias("sim"), (2 * F.col("n_id_a") * F.col("n_id_b")).alias("n"))
+    counted = between.unionByName(classes.where("copies > 1").select(F.lit(1.0).alias("sim"), (c * (c - 1)).alias("n")))
+    bins = [F.coalesce(F.sum(F.when((F.col("sim") >= lo) & (F.col("sim") < hi), F.col("n"))), F.lit(0)).alias(f"bin_{int(round(lo * 100))}") for lo, hi in zip(edges, edges[1:])]
+    return heads.crossJoin(F.broadcast(counted.agg(*bins)))
+
+
+def row_templates(pairs: DataFrame, members: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """The ``k`` rows that match most other rows, copies included. A class is named by its least key, so the rows are
+    among the classes that are first by matches and name."""
+    pairs, members = materialize(pairs, "pairs"), materialize(members, "members")
+    first = copy_classes(members, pairs).where("hits > 0").orderBy(F.desc("hits"), "rep").limit(k)
+    return members.join(F.broadcast(first), "rep").select(F.col(key).alias("id"), F.col("hits").alias("matches")).orderBy(F.desc("matches"), "id").limit(k)
+
+
+def row_best(pairs: DataFrame, members: DataFrame, key: str, similarity: str = "levenshtein_sim") -> DataFrame:
+    """(id_a, id_b, similarity): every row that matches any and its best match, a copy before others, then the least key."""
+    pairs, members = materialize(pairs, "pairs"), materialize(members, "members")
+    # Second least key: the match of the row that names its class.
+    copied = members.where(F.col(key) != F.col("rep")).groupBy("rep").agg(F.min(key).alias("second"))
+    ends = _both_ends(pairs, similarity)
+    near = ends.groupBy("rep").agg(F.min(F.struct((-F.col("sim")).alias("d"), F.col("other").alias("other"))).alias("m"))
+    best = copied.join(near, "rep", "full").select("rep", "second", F.col("m.other").alias("other"), F.when(F.col("second").isNotNull(), F.lit(1.0)).otherwise(-F.col("m.d")).alias(similarity))
+    match = F.when(F.col("second").isNull(), F.col("other")).when(F.col(key) == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
+    return members.join(best, "rep").select(F.col(key).alias("id_a"), match.alias("id_b"), similarity)
+
+
 def contained(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", n: int = 13, least: float = 0.8) -> DataFrame:
     """(doc, item, shared, size, containment): share of an item's distinct windows that a text holds, from ``least`` on.
     Items' windows are broadcast while they number within the checked limit; texts' windows are cut by them before

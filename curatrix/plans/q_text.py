@@ -78,6 +78,27 @@ def pair_report(spark, d):
     return neardup.pair_report(pairs, "id_a", "id_b", "levenshtein_sim", table(spark, d, "vqa_records"))
 
 
+def _record_members(spark, d):
+    return neardup.memberships(_record_texts(spark, d), "record_id", "text", n=N)
+
+
+def near_dup_record_members(spark, d):
+    return _record_members(spark, d)
+
+
+def pair_report_rows(spark, d):
+    """``pair_report`` with the copies that near_dup_minhash represents by one record, and both ends of every pair."""
+    return neardup.row_report(near_dup_minhash(spark, d), _record_members(spark, d), table(spark, d, "vqa_records"))
+
+
+def top_templates_rows(spark, d):
+    return neardup.row_templates(near_dup_minhash(spark, d), _record_members(spark, d), "record_id")
+
+
+def best_duplicate_rows(spark, d):
+    return neardup.row_best(near_dup_minhash(spark, d), _record_members(spark, d), "record_id")
+
+
 def top_templates(spark, d):
     return neardup.top_templates(near_dup_minhash(spark, d), "id_a", "id_b")
 
@@ -205,6 +226,12 @@ heads AS (SELECT coalesce(sum(hits), 0)::BIGINT AS pairs, count(*) AS hit_querie
 SELECT * FROM heads CROSS JOIN (SELECT {bins} FROM {pairs})"""
 
 
+_ROWS = f"""{_GRAMS},
+members AS (SELECT doc_id AS record_id, min(doc_id) OVER (PARTITION BY t) AS rep FROM norm WHERE length(t) + 2 >= {N}),
+matched AS (SELECT x.record_id AS id_a, y.record_id AS id_b, 1.0::DOUBLE AS levenshtein_sim FROM members x JOIN members y USING (rep) WHERE x.record_id <> y.record_id
+  UNION ALL SELECT x.record_id, y.record_id, levenshtein_sim FROM (SELECT * FROM pairs UNION ALL SELECT id_b, id_a, levenshtein_sim FROM pairs) p JOIN members x ON x.rep = p.id_a JOIN members y ON y.rep = p.id_b)
+"""
+
 _CONTAINED = rf"""
 items AS (SELECT DISTINCT item_id, substr(t, i, {N}) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - {N} + 2)) AS i FROM (SELECT item_id, {sql_normalized('text')} AS t FROM benchmark_items) WHERE length(t) >= {N})),
 docs AS (SELECT DISTINCT doc_id, substr(t, i, {N}) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - {N} + 2)) AS i FROM (SELECT doc_id, {sql_normalized('text')} AS t FROM documents WHERE text IS NOT NULL) WHERE length(t) >= {N})),
@@ -255,6 +282,10 @@ Q = {
     "near_dup_minhash": (near_dup_minhash, f"WITH {_GRAMS} SELECT * FROM pairs"),
     "near_dup_members": (near_dup_members, f"WITH n AS (SELECT doc_id, md5({sql_normalized('text')}) AS h FROM documents WHERE text IS NOT NULL) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM n"),
     "pair_report": (pair_report, f"WITH {_GRAMS}, {_report_sql('pairs', 'id_a', 'levenshtein_sim', 'SELECT count(*) FROM vqa_records')}"),
+    "near_dup_record_members": (near_dup_record_members, f"WITH {_ROWS} SELECT * FROM members"),
+    "pair_report_rows": (pair_report_rows, f"WITH {_ROWS}, {_report_sql('matched', 'id_a', 'levenshtein_sim', 'SELECT count(*) FROM vqa_records')}"),
+    "top_templates_rows": (top_templates_rows, f"WITH {_ROWS} SELECT id_a AS id, count(DISTINCT id_b) AS matches FROM matched GROUP BY 1 ORDER BY matches DESC, id LIMIT 10"),
+    "best_duplicate_rows": (best_duplicate_rows, f"WITH {_ROWS} SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY levenshtein_sim DESC, id_b) = 1"),
     "top_templates": (top_templates, f"WITH {_GRAMS} SELECT id_a AS id, count(DISTINCT id_b) AS matches FROM pairs GROUP BY 1 ORDER BY matches DESC, id LIMIT 10"),
     "best_duplicate": (best_duplicate, f"WITH {_GRAMS} SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY levenshtein_sim DESC, id_b) = 1"),
     "benchmark_contamination": (benchmark_contamination, f"WITH {_CONTAINED} SELECT * FROM contained"),

@@ -149,6 +149,20 @@ def test_self_join_finds_every_text(spark):
     assert members[0] == 0 and 90 not in members
 
 
+def test_row_report_counts_copies_and_both_ends(spark):
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 6)], "record_id long, rep long")
+    pairs = spark.createDataFrame([(1, 4, 0.93)], "id_a long, id_b long, levenshtein_sim double")
+    got = neardup.row_report(pairs, members, 8).collect()[0].asDict()
+    # Rows 1, 2, 3 match each other and 4; 6 and 7 match; 5 matches none.
+    assert (got["pairs"], got["hit_queries"], got["hit_rate"], got["max_hits"], got["bin_90"], got["bin_95"]) == (14, 6, 0.75, 3, 6, 8)
+    assert got["mean_hits"] == pytest.approx(14 / 6) and got["top_mean"] == pytest.approx((5 + 0.93) / 6) and got["top_median"] == 1.0
+    assert [tuple(r) for r in neardup.row_templates(pairs, members, "record_id", 5).collect()] == [(1, 3), (2, 3), (3, 3), (4, 3), (6, 1)]
+    best = {r["id_a"]: (r["id_b"], r["levenshtein_sim"]) for r in neardup.row_best(pairs, members, "record_id").collect()}
+    assert best == {1: (2, 1.0), 2: (1, 1.0), 3: (1, 1.0), 4: (1, 0.93), 6: (7, 1.0), 7: (6, 1.0)}
+    none = neardup.row_report(pairs.limit(0), members.limit(0), 0).collect()[0]
+    assert (none["pairs"], none["hit_queries"], none["hit_rate"], none["bin_95"]) == (0, 0, 0.0, 0)
+
+
 def test_containment(spark):
     docs = spark.createDataFrame([(1, "xx alpha beta gamma delta yy"), (2, "nothing here at all"), (3, None)], "doc long, text string")
     items = spark.createDataFrame([(7, "alpha beta gamma delta"), (8, "ab")], "item long, text string")
