@@ -27,6 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.operators.balance import ordinals
+from curatrix.plans.stages import keep_keys, materialize
+
 #: Training segments of each label at most, hashed features, steps and strength of regularisation.
 SAMPLE, BITS, STEPS, RIDGE = 20_000, 18, 150, 1e-6
 #: A segment counts from ``SURE`` on by its score alone, from ``THRESHOLD`` on if its pattern agrees.
@@ -304,22 +307,47 @@ def residue(documents: DataFrame, threshold: float = THRESHOLD, sure: float = SU
     return documents.select("doc_id", "text").mapInArrow(_score(held, threshold, sure), "doc_id long, score double")
 
 
-def validation(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _judge(held, threshold: float, sure: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, model = _Ids(), held.value
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            sources, texts = batch.column("source").to_pylist(), batch.column("text")
+            for at in range(0, batch.num_rows, 400):
+                rows, owner = [], []
+                for source, text in zip(sources[at : at + 400], texts.slice(at, 400).to_pylist()):
+                    parts = segments(text)
+                    rows += [(s, k == 0, len(parts) == 1) for k, s in enumerate(parts)]
+                    owner += [source] * len(parts)
+                if not rows:
+                    continue
+                p = model.score(rows, ids)
+                for source, (s, *_), score in zip(owner, rows, p):
+                    label = weak_label(s)
+                    said = score >= sure or score >= threshold and label
+                    counts.setdefault(source, np.zeros(4, np.int64))[:] += (1, label, said, label and said)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c) for c in np.array(list(counts.values())).T)], ["source", "n", "labelled", "told", "both"])
+
+    return run
+
+
+def validation(documents: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
     """Agreement with the weak labels on sources held out of training (every third by name): segments, labelled ones,
-    precision and recall per source."""
-    rows = training_sample(documents)
-    out_of = sorted({r["source"] for r in rows})[::3]
-    held = lambda r: r["source"] in out_of
-    seen, unseen = [r for r in rows if not held(r)], [r for r in rows if held(r)]
+    precision and recall per source. Only training rows are a sample, of the other sources; every segment of every text of
+    the held-out sources is judged, by the rule of ``residue``. Of sources no more than counts leave a task."""
     shape = "source string, segments long, labelled long, precision double, recall double"
-    if len({r["label"] for r in seen}) < 2 or not unseen:
-        return documents.sparkSession.createDataFrame([], shape)
-    example = lambda r: (r["segment"], r["first"], r["only"])
-    model = fit([example(r) for r in seen], [r["label"] for r in seen])
-    said = model.score([example(r) for r in unseen], _Ids()) >= threshold
-    out = []
-    for source in sorted({r["source"] for r in unseen}):
-        pairs = [(bool(s), r["label"]) for s, r in zip(said, unseen) if r["source"] == source]
-        both, told, true = sum(s and t for s, t in pairs), sum(s for s, _ in pairs), sum(t for _, t in pairs)
-        out.append((source, len(pairs), true, round(both / told, 4) if told else None, round(both / true, 4) if true else None))
-    return documents.sparkSession.createDataFrame(out, shape)
+    spark = documents.sparkSession
+    named = documents.select("text", F.coalesce("source", F.lit("")).alias("source"))
+    # Places come from a sort of the distinct names, which may be many; they are not collected.
+    names = ordinals(named.select("source").distinct(), "source").select("source", (F.col("ordinal") % 3 == 0).alias("out"))
+    names = materialize(names, "sources")
+    pick = lambda out: keep_keys(named, names.where("out" if out else "not out").select("source"), "source")
+    model = train(pick(False))
+    if model is None:
+        return spark.createDataFrame([], shape)
+    held = spark.sparkContext.broadcast(model)
+    counts = pick(True).mapInArrow(_judge(held, threshold, sure), "source string, n long, labelled long, told long, both long")
+    total = counts.groupBy("source").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "told", "both")))
+    share = lambda of: F.round(F.try_divide("both", of), 4)
+    return total.select("source", F.col("n").alias("segments"), "labelled", share("told").alias("precision"), share("labelled").alias("recall"))

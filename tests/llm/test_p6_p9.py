@@ -119,3 +119,16 @@ def test_residue_without_training_rows(spark):
 def test_validation_on_unseen_sources(spark):
     got = p9.validation(table(spark, "/root/testdata/sf0.1", "documents")).collect()
     assert got and all(r["precision"] is None or r["precision"] >= 0.85 for r in got)
+
+
+def test_validation_judges_every_segment_of_held_out_sources(spark, monkeypatch):
+    """The sample bounds training only: repeated segments and those above it count too, by the rule of p9_found."""
+    monkeypatch.setattr(p9, "SAMPLE", 40)
+    shape = "doc_id long, text string, source string"
+    rows = [(i, f"Panel {i} of the study showed no change.\n{RESIDUE[i % 4]}", s) for i, s in enumerate(["a", "b", "c", None] * 30)]
+    got = {r["source"]: r for r in p9.validation(spark.createDataFrame(rows, shape)).collect()}
+    # Names in order: none, a, b, c; every third from the first is held out.
+    assert set(got) == {"", "c"}
+    for source, r in got.items():
+        parts = [s for _, text, name in rows if (name or "") == source for s in p9.segments(text)]
+        assert (r["segments"], r["labelled"]) == (len(parts), sum(map(p9.weak_label, parts))) == (60, 30)
