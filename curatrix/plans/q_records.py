@@ -236,6 +236,11 @@ def normalised_bytes(spark, d):
     return exports.normalised_bytes(table(spark, d, "vqa_records"), 2).select("record_id", F.size("images").alias("images"), F.md5("options").alias("options_md5"), "hash")
 
 
+def normalised_bytes_all(spark, d):
+    """``normalised_bytes`` with all pictures of a record, which is the default; that query's SQL keeps two."""
+    return exports.normalised_bytes(table(spark, d, "vqa_records")).select("record_id", F.size("images").alias("images"), F.md5("options").alias("options_md5"), "hash")
+
+
 def bytes_coerce(spark, d):
     b = F.get("images", F.lit(0))["bytes"]
     none = F.lit(None)
@@ -444,6 +449,7 @@ Q = {
     "prompt_parse": (prompt_parse, None),
     "standard_format": (standard_format, f"WITH r AS (SELECT record_id, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i, nullif({sql_strip('reasoning')}, '') AS reasoning FROM vqa_records) SELECT record_id, len(i) AS images, md5(i[1].bytes) AS first_md5, reasoning FROM r"),
     "normalised_bytes": (normalised_bytes, "WITH r AS (SELECT *, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i FROM vqa_records) SELECT record_id, least(len(i), 2)::INT AS images, md5(CASE WHEN json_valid(options) THEN options ELSE '{}' END) AS options_md5, coalesce(hash, '') AS hash FROM r WHERE len(i) > 0"),
+    "normalised_bytes_all": (normalised_bytes_all, "WITH r AS (SELECT *, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i FROM vqa_records) SELECT record_id, len(i)::INT AS images, md5(CASE WHEN json_valid(options) THEN options ELSE '{}' END) AS options_md5, coalesce(hash, '') AS hash FROM r WHERE len(i) > 0"),
     "bytes_coerce": (bytes_coerce, "SELECT record_id, md5(CASE WHEN octet_length(images[1].bytes) > 0 THEN images[1].bytes END) AS bytes_md5 FROM vqa_records"),
     "resume_anti": (resume_anti, "SELECT event_id, user_id FROM events WHERE event_id % 2 <> 0"),
     "rank_split": (rank_split, "WITH o AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT (i // ceil(n / 7)::BIGINT)::BIGINT AS rank, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM o GROUP BY 1"),

@@ -197,6 +197,18 @@ def test_exports_leave_out_unreadable_options(spark):
     assert [r["images"] for r in exports.standard(df).orderBy("record_id").collect()] == [[bytearray(b"x")], []]
 
 
+def test_normalised_bytes_keeps_all_pictures_or_the_first(spark):
+    from curatrix.plans import catalog
+
+    pictures = [(bytes([i]), "p") for i in range(1, 5)]
+    shape = "record_id long, images array<struct<bytes:binary,path:string>>, options string, hash string"
+    df = spark.createDataFrame([(1, [(None, "p"), *pictures], "{}", None)], shape)
+    held = lambda most: [bytes(x["bytes"]) for x in exports.normalised_bytes(df, most).collect()[0]["images"]]
+    assert held(None) == [b"\1", b"\2", b"\3", b"\4"] and held(2) == [b"\1", b"\2"]
+    found = catalog.queries()["normalised_bytes_all"](spark, "/root/testdata/sf0.01").agg(F.max("images")).first()[0]
+    assert found > 2
+
+
 def test_png_filters_and_pgm_round_trip():
     grey = np.arange(60, dtype=np.uint8).reshape(6, 10)
     assert (images.pixels(images.encode_png(grey)) == grey).all()
