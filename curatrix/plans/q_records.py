@@ -161,8 +161,12 @@ def group_counts(spark, d):
     return curation.available(_groups(spark, d))
 
 
+# Records a category and shares of group sizes, as the reference draws them.
+PER_CATEGORY, K_SHARES = 1041, {1: 0.90, 2: 0.02, 3: 0.02, 4: 0.02, 5: 0.02, 6: 0.02}
+
+
 def curate_sample(spark, d):
-    return curation.sample_groups(_groups(spark, d), CLINICAL + MICRO, {1: 12, 2: 1, 3: 1}).select("article", F.md5("caption").alias("caption_md5"), "k", "category")
+    return curation.sample_groups(_groups(spark, d), CLINICAL + MICRO, balance.k_quotas(PER_CATEGORY, K_SHARES)).select("article", F.md5("caption").alias("caption_md5"), "k", "category")
 
 
 def assemble_records(spark, d):
@@ -173,7 +177,7 @@ def assemble_records(spark, d):
 
 
 def quota_targets(spark, d):
-    rows = [(k, n) for k, n in balance.k_quotas(1041, {1: 0.90, 2: 0.02, 3: 0.02, 4: 0.02, 5: 0.02, 6: 0.02}).items()]
+    rows = [(k, n) for k, n in balance.k_quotas(PER_CATEGORY, K_SHARES).items()]
     return spark.createDataFrame(rows, "k int, quota long")
 
 

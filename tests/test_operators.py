@@ -209,6 +209,15 @@ def test_normalised_bytes_keeps_all_pictures_or_the_first(spark):
     assert found > 2
 
 
+def test_curate_sample_draws_all_group_sizes(spark, monkeypatch):
+    from curatrix.plans import q_records
+
+    rows = [(f"a{k}{i}", "c", k, ["endoscopy view"]) for k in range(1, 7) for i in range(23)]
+    monkeypatch.setattr(q_records, "_groups", lambda spark, d: spark.createDataFrame(rows, "article string, caption string, k int, categories array<string>"))
+    got = q_records.curate_sample(spark, "").groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {1: 23, 2: 21, 3: 21, 4: 21, 5: 21, 6: 21}
+
+
 def test_png_filters_and_pgm_round_trip():
     grey = np.arange(60, dtype=np.uint8).reshape(6, 10)
     assert (images.pixels(images.encode_png(grey)) == grey).all()
