@@ -1,13 +1,23 @@
 """Problem 9: template residue, filler and error-page text in place of content.
 
-A regularised linear classifier over hashed word n-grams, length and title features scores every segment (sentence or
-line) of a text; a text is reported if one of its segments is. It is trained on weak labels: response-status patterns,
-phrases of pages that ask for scripts, cookies, logins or patience, shapes of unfilled placeholders, and filler. What it
-adds to the labels is weight on context, since the words of the labels also occur in real sentences. It is validated on
-sources (hosts) that it has not seen.
+A regularised linear classifier over hashed n-grams, length and title features scores every segment (sentence or line)
+of a text; a text is reported if one of its segments scores ``THRESHOLD`` or more. The score alone decides.
 
-Training rows are a bounded sample, at most ``SAMPLE`` segments of each label, chosen by hash; scoring covers every
-segment of every text. Nothing is shuffled but the sample.
+It is trained on weak labels: response-status lines, general phrases of error, access and script pages, the syntax of
+template languages, and the plainest kinds of filler. Segments that hold a word of those labels without being labelled
+are kept as contrasts beside a sample of other segments, so the classifier learns in which surroundings such words are
+content. Unlabelled segments need not be content: each half of them is scored by a fit on the labelled ones and the other
+half, and what scores above ``DOUBT`` is left out of the last fit. A labelled sentence without its placeholder is content
+too. The classifier adds what shares its words, order or shape with the labelled segments (mock Latin that never says "lorem
+ipsum", page sentences that no phrase lists, placeholders of other bracket styles) and drops labelled wording that also
+stands in content. It is validated on sources (hosts) that it has not seen.
+
+Features of a segment: words, pairs and triples of tokens, with marks for its start and end; shapes of three to five
+tokens (capitals, small letters, digits, the punctuation itself) around punctuation; its length; whether it is the first
+or the only one of its text; whether it ends like a sentence (a title does not); how many of its words differ.
+
+Training rows are a bounded sample, at most ``SAMPLE`` segments of each kind (labelled, contrast, other), chosen by
+hash; scoring covers every segment of every text. Nothing is shuffled but the sample.
 
 Cases: null, empty and blank texts hold nothing; texts in other languages, markup, mathematical braces and tokenizer
 marks are ordinary; a source may be null; repeated texts give a row each; if the sample has no segment of one label,
@@ -30,48 +40,56 @@ from pyspark.sql import functions as F
 from curatrix.operators.balance import ordinals
 from curatrix.plans.stages import keep_keys, materialize
 
-#: Training segments of each label at most, hashed features, steps and strength of regularisation.
-SAMPLE, BITS, STEPS, RIDGE = 20_000, 18, 150, 1e-6
-#: A segment counts from ``SURE`` on by its score alone, from ``THRESHOLD`` on if its pattern agrees.
-THRESHOLD, SURE = 0.5, 0.95
+#: Training segments of each kind at most, hashed features, steps and strength of regularisation.
+SAMPLE, BITS, STEPS, RIDGE = 20_000, 18, 120, 1e-6
+#: Score from which a segment counts.
+THRESHOLD = 0.85
+#: Unlabelled training segments that a fit on the other half scores above this are taken out before the last fit.
+DOUBT = 0.3
+#: Texts scored at once.
+BLOCK = 400
 
 _LINE = re.compile(r"[\r\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]")
-# Names of fields in templates.
-_NAME = r"(?:figure[_ ]legend|patient[_ ](?:age|sex|id|name)|option[_ ][a-f]|note|organ|finding|label|answer|site|anatomy|modality|context|author|title|question|caption|body|text|panel|name|date|topic|value|description)"
+_LEAD = re.compile(r"^(?:[ \t>*]*(?:note|fig(?:ure|\.)?[ \t]*\d+)[ \t]*[.:][ \t]*|[ \t>*]+)+", re.I | re.M)
+_MARKS = re.compile(r"<\|\w+\|>")
+_TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|_+|[^\w\s]")
+
+# Placeholder syntax of common template languages and of forms.
 _FIELD = re.compile(
-    r"""(?<![_^$\w])\{\s*[A-Za-z][A-Za-z]+(?:[_ ][A-Za-z]+){0,3}\s*\}(?!\$) | \[\s*"""
-    + _NAME
-    + r"""\s*\] | <\s*"""
-    + _NAME
-    + r"""\s*>(?!.*</) | <[A-Za-z]+_[A-Za-z_]+> | \{\{\s*[\w .-]{1,40}\s*\}\} | \$\{\s*[\w .-]{1,40}\s*\} | \{%\s*[\w .-]{1,40}\s*%\} | <%=?\s*[\w .-]{1,40}\s*%> | %\(\s*[\w .-]{1,40}\s*\)s
-    | \[\[\s*[\w .-]{1,40}\s*\]\] | <<\s*[\w .-]{1,40}\s*>> | «\s*[\w .-]{1,40}\s*» | @@[\w .-]{1,40}@@ | __[A-Z][A-Z _]{1,40}__ | \#[A-Z][A-Z_ ]{2,40}\#
-    | [\[<(]\s*(?:INSERT|ENTER|ADD|REPLACE|FILL)[ _][A-Z _]{2,40}\s*[\])>] | \[\s*(?:your|insert|enter|add)\s[\w ]{2,40}\] | \[[\w ]{2,40}\smissing\b[^\]]{0,40}\]
-    | \(?\b(?:TODO|FIXME)\s*:\s*\w+ | \bTBD\b | <\s*[\w ]{2,40}\sgoes\shere\s*> | \bXX+-year-old\b | \bXXXX+\b | \[object\sObject\] | \bundefined\sundefined\b""",
-    re.X,
-)
-# What pages and templates say in place of content.
-_PHRASE = re.compile(
-    r"""(?:enable|activate|allow|turn\son)\s(?:javascript|js|scripts?|cookies)\b | javascript\sis\s(?:turned\soff|disabled|required) | needs\sscripts\sto\srun | necessary\sto\senable
-    | scripts?\smust\sbe\s(?:switched|turned)\son | activer\sjavascript | active\sjavascript | javascript\saktivieren | aktivieren\ssie\sjavascript | scripts?\srequired\sto | activar\sjavascript | does\snot\ssupport\sthe\s\w+\sviewer | disable\sany\sad\sblocker
-    | checking\syour\sbrowser | may\stake\sa\sfew\sseconds | ^use\sa\snewer\sone | ^allow\sthem\sand\sreload | ^turn\sit\son\sto\scontinue | ^reload\sthe\spage
-    | ^access\sdenied | do\snot\shave\spermission | session\shas\sexpired | please\slog\sin | sign\sin\sthrough | invalid\sor\smissing\stoken | contact\sthe\ssite\sowner | ^slow\sdown\sand\sretry
-    | can't\sfind\sthat\spage | go\sback\sto\sthe\shome\spage | request\stimed\sout | something\swent\swrong | down\sfor\smaintenance | resource\swas\sremoved | not\savailable\sin\syour\sarea
-    | does\snot\sexist\son\sthis\sserver | gave\san\sinvalid\sreply | zugriff\sverweigert | bitte\smelden\ssie\ssich | seite\snicht\sgefunden | prüfen\ssie\sdie\sadresse | accès\srefusé | veuillez\svous\sconnecter
-    | page\sintrouvable | página\sno\sencontrada | vuelva\sal\sinicio | error\sinterno\sdel\sservidor | inténtelo\smás\starde | ^traceback\s\(most | ^\W*file\s"[^"]+",\sline\s\d+ | ^(?:key|value|type|index|attribute)error:
-    | coming\ssoon\W | content\sfor\sthis\s\w+\swill\sbe\sadded | under\sconstruction | no\scontent\syet | left\sblank\son\spurpose | is\sa\sdummy\s.{0,30}\sused\sto\scheck | ^replace\sit\sbefore\srelease
-    | ^(?:enter|type|add)\s(?:your|a|the)?\s?\w*\s?(?:description|caption|text|title)\b.{0,30}$ | ^your\stext\shere | ^click\sto\sedit | ^escriba\saquí | ^ajoutez\svotre\stexte | text\seingeben$ | lorem\sipsum""",
+    r"""(?<![_^\\$\w])\{[ ]?[A-Za-z][A-Za-z_ ]{2,30}\}(?![$\w]) | \{\{[^{}\n]{1,40}\}\} | \{%[^{}\n]{1,40}%\} | \$\{[^{}\n]{1,40}\} | <%=?[^<>\n]{1,40}%> | %\(\w{1,40}\)[sdf]
+    | \[\[[^\[\]\n]{1,40}\]\] | <<[^<>\n]{1,40}>> | «[^«»\n]{1,40}» | @@\w{1,40}@@ | __[A-Z][A-Z_]{1,40}__ | \#[A-Z][A-Z_]{2,40}\# | [\[<](?:insert|enter|your|add)[ _][^\]>\n]{1,40}[\]>] | [\[<][^\[\]<>\n]{0,40}\b(?:goes[ ]here|fill[ ]in)[\]>]
+    | \b(?:TODO|FIXME)\b | \bTBD\b | \[object[ ]Object\] | \bundefined[ ]undefined\b | \bXX+-(?:year|day|month)""",
     re.X | re.I,
 )
+_FIELD_HINT = re.compile(r"[{}\[<@%«#]|__|TODO|FIXME|TBD|undefined|XX", re.I)
+# Status lines of responses.
 _STATUS = re.compile(
-    r"""<title>\s*[45]\d\d\b | "status"\s*:\s*[45]\d\d | ^(?:error\s)?[45]\d\d\s(?:not\sfound|forbidden|gone|unauthorized|bad\s(?:gateway|request)|internal\sserver\serror|service\sunavailable|too\smany\srequests|gateway\stimeout)
-    | ^error\s[45]\d\d\b""",
+    r"""<title>\s*[45]\d\d\b | "status"\s*:\s*[45]\d\d\b | ^\W*(?:http\s)?(?:error\s)?[45]\d\d\W{0,3}\s?(?:bad|unauthorized|forbidden|not|method|gone|too|internal|service|gateway)\b | ^\W*(?:http\s)?error\s[45]\d\d\b""", re.X | re.I
+)
+# General phrases of error, access and script pages and of unwritten pages.
+_PHRASE = re.compile(
+    r"""<noscript> | \b(?:enable|activate|allow|turn\son)\s(?:javascript|js|scripts|cookies)\b | \b(?:javascript|scripts|cookies)\s(?:is|are|must\sbe|has\sto\sbe|support\sis)\s(?:disabled|required|enabled|turned|switched|not)\b | \b(?:requires?|needs?)\s(?:javascript|cookies|scripts)\b
+    | \byour\sbrowser\s(?:does|is|has)\b | ^\W*checking\syour\sbrowser | ^\W*(?:access|permission)\sdenied\b | \byou\sdo\snot\shave\s(?:permission|access)\b | \byou\sare\snot\sauthori[sz]ed | ^\W*(?:the\s)?page\s(?:was\s)?not\sfound
+    | \b(?:can't|cannot|couldn't)\sfind\s(?:that|the|this)\spage | \byour\ssession\shas | \bplease\s(?:log|sign)\sin\b | \bsomething\swent\swrong\b | ^\W*(?:the\s)?(?:request|connection)\stimed\sout | \btry\sagain\slater\b | \bdown\sfor\smaintenance
+    | \bnot\savailable\sin\syour\b | ^\W*internal\sserver\serror | ^\W*traceback\s\(most\srecent | ^\W*file\s"[^"]+",\sline\s\d+ | ^\W*[a-z]+(?:error|exception):\s
+    | \blorem\sipsum\b | ^\W*coming\ssoon\b | ^\W*under\sconstruction\b | \bwill\sbe\sadded\slater | \bto\sbe\s(?:supplied|added|completed)\b | \byour\s(?:text|title|caption)\shere | ^\W*click\s(?:here\s)?to\s(?:edit|add) | ^\W*(?:enter|type|add|insert)\s(?:a\s|the\s|your\s)?(?:text|title|description|caption)\b
+    | \b(?:dummy|placeholder)\stext\b | ^\W*this\sis\sa\s(?:dummy|placeholder)\b | \bcheck\sback\s(?:later|soon)\b | \bback\sto\s(?:the\s)?home\s?page | ^\W*invalid\s[\w ]{0,20}(?:token|request|credentials)\b | \bcontact\sthe\s(?:site|system)\s(?:owner|administrator) | \bleft\sblank\b | \bno\scontent\syet\b
+    | \bpage\s(?:introuvable|non\strouvée) | \baccès\s(?:refusé|interdit) | \bactive[rz]\sjavascript\b | \bveuillez\s(?:vous\sconnecter|réessayer) | \b(?:votre|un)\stexte\sici\b | \berreur\s(?:interne\s)?du\sserveur | \bvotre\snavigateur\b
+    | \bseite\s(?:wurde\s)?nicht\sgefunden | \bzugriff\sverweigert | \b(?:aktivieren\ssie\sjavascript|javascript\saktivieren) | \bmelden\ssie\ssich\san\b | \btext\s(?:hier\s)?eingeben\b | \bserverfehler\b | \bihr\sbrowser\b
+    | \bpágina\sno\sencontrada | \bacceso\sdenegado | \b(?:active|activar)\sjavascript\b | \baquí\s(?:su|el)\stexto\b | \binicie\ssesión | \berror\s(?:interno\s)?del\sservidor | \binténtelo\b | \bsu\snavegador\b""",
     re.X | re.I,
 )
-# Words of mock Latin, and of typed filler.
-_LATIN = frozenset("lorem ipsum dolor amet sedulo vestra rutilum aliqua pulvis varius nullam congue elitra sagit morbin velitur ornate quidem fermen tempus portus nostrum consectetur adipiscing elit".split())
-_TYPED = frozenset("test text caption abc asdf blah xxx bla foo bar baz qwerty uiop qwer zxcv".split())
+# Words without which no phrase or status is looked for, and which make an unlabelled segment a contrast.
+_KEYS = frozenset(
+    """javascript js cookies script scripts noscript browser access permission authorized authorised page session log sign wrong timed later soon back maintenance available server traceback file line lorem ipsum construction supplied
+    completed added here home token request credentials owner administrator click enter type add insert edit text title caption description blank content dummy placeholder template status error exception keyerror valueerror typeerror indexerror
+    attributeerror runtimeerror introuvable trouvée accès connecter réessayer serveur navigateur texte gefunden zugriff melden eingeben serverfehler seite página acceso sesión servidor inténtelo navegador texto""".split()
+)
+# What people type to fill a field.
+_TYPED = frozenset("asdf qwerty blah bla foo bar baz xxx test lorem ipsum".split())
+_WORD = re.compile(r"[^\W\d_]+|\d+")
+_CODE = re.compile(r"\b[45]\d\d\b")
 
 
 def segments(text: str | None) -> list[str]:
@@ -89,95 +107,108 @@ def segments(text: str | None) -> list[str]:
     return out
 
 
-def _filler(words: list[str]) -> bool:
-    if len(words) < 3:
-        return False
-    if sum(w in _LATIN for w in words) >= max(3, 0.5 * len(words)):
-        return True
-    if len(words) >= 4 and sum(w in _TYPED for w in words) >= 0.9 * len(words):
-        return True
-    return len(words) >= 4 and len(set(words)) <= 2 and len(words) >= 2 * len(set(words)) and all(w.isalpha() for w in words)
+def bare(segment: str) -> str:
+    """A segment on one line, without a leading figure number, note mark or quotation mark."""
+    return _LEAD.sub("", " ".join(segment.split()))
 
 
-_LEAD = re.compile(r"^(?:[\s>*]*(?:note|fig(?:ure|\.)?\s*\d+)\s*[.:]\s*|[\s>*]+)+", re.I)
-_HINT = re.compile(r"[{}\[\]<«@#%$]|__|TBD|TODO|FIXME|XX|undefined")
-# A segment without any of these words matches no phrase and no status.
-_KEYS = frozenset(
-    "javascript js script scripts cookies noscript browser viewer seconds newer reload continue denied permission expired log library token owner retry page home timed wrong maintenance removed area server reply "
-    "verweigert melden seite adresse refusé connecter introuvable página inicio error inténtelo traceback file keyerror valueerror typeerror indexerror attributeerror soon added construction content blank dummy release "
-    "description caption text title edit aquí texte eingeben lorem status found forbidden gone unauthorized gateway request unavailable requests timeout".split()
-)
+def _filler(words: list[str]) -> bool:
+    """At least four words that are mostly typed filler, or one or two words over and over."""
+    if len(words) < 4:
+        return False
+    kinds = len(set(words))
+    return kinds <= 2 and len(words) >= 2 * kinds and words[0].isalpha() or not _TYPED.isdisjoint(words) and sum(w in _TYPED for w in words) >= 0.6 * len(words)
 
 
-def bare(segment: str) -> str:
-    """A segment on one line, without a leading figure number, note mark or quotation mark."""
-    return _LEAD.sub("", " ".join(segment.split()))
+def kind_of(segment: str) -> int:
+    """2: weakly labelled (response status, general phrase, placeholder syntax or plain filler); 1: a contrast, which
+    holds what a label starts from; 0: another segment."""
+    field = bool(_FIELD_HINT.search(segment))
+    words = _WORD.findall(segment.lower())
+    key = not _KEYS.isdisjoint(words) or bool(_CODE.search(segment))
+    if field or key:
+        text = bare(segment)
+        if field and _FIELD.search(text) or key and (_PHRASE.search(text) or _STATUS.search(text)):
+            return 2
+    if _filler(words):
+        return 2
+    return int(field or key)
 
 
 def weak_label(segment: str) -> bool:
-    """Response status, known phrase, placeholder shape or filler."""
-    text = bare(segment)
-    if _HINT.search(text) and _FIELD.search(text):
-        return True
-    found = [w for w in _TOKEN.findall(text.lower()) if w[0].isalpha()]
-    if not _KEYS.isdisjoint(found) and (_PHRASE.search(text) or _STATUS.search(text)):
-        return True
-    return _filler(found)
+    return kind_of(segment) == 2
 
 
 class _Ids(dict):
-    def __missing__(self, token: str) -> int:
+    """Token -> (hash of it in lower case, a number being 0; hash of its shape), remembered up to a fixed number."""
+
+    def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) > 300_000:
             self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(token) & 0x7FFFFFFFFFFF
+        first = token[0]
+        plain, shape = ("0", "0") if token.isdigit() else (token.lower(), "A" if token.isupper() and len(token) > 1 else "a") if first.isalpha() else (token[:2], token[:2])
+        value = self[token] = (xxhash.xxh3_64_intdigest(plain) & 0x7FFFFFFFFFFFFFFF, xxhash.xxh3_64_intdigest(shape, 5) & 0x7FFFFFFFFFFFFFF8 | (0 if shape in ("0", "a", "A", "\n") else 1) | (2 if shape in "aA" else 0))
         return value
 
 
-_BRACKET = re.compile(r"([^\w\s]{1,3})\s?([\w .]{1,40}?)\s?([^\w\s]{1,3})")
-_MARKS = re.compile(r"<\|\w+\|>")
-
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-def _shape(word: str) -> str:
-    return "A" if word.isupper() else "a" if word.islower() else "0" if word.isdigit() else "x"
 
-
-def _tokens(segment: str, first: bool, only: bool) -> tuple[list[str], list[str]]:
-    """(tokens in order, features besides n-grams)."""
-    plain = _MARKS.sub(" ", bare(segment))
-    raw = _TOKEN.findall(plain)
-    tokens = ["0" if t.isdigit() else t.lower() for t in raw]
-    letters = [t for t in tokens if t[0].isalpha()]
-    extra = [f"len{min(len(raw).bit_length(), 8)}", f"first{first}", f"only{only}"]
-    extra += [f"br:{a}{_shape(w.replace(' ', ''))}{b}" for a, w, b in _BRACKET.findall(plain)]
-    if letters:
-        extra.append(f"kinds{int(8 * len(set(letters)) / len(letters))}:{min(len(letters), 6)}")
-        extra.append(f"latin{min(4, sum(t in _LATIN for t in letters))}")
-        extra.append(f"typed{int(4 * sum(t in _TYPED for t in letters) / len(letters))}:{min(len(letters), 4)}")
-    return tokens, extra
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
 
 
 def features(rows: list[tuple[str, bool, bool]], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    """(segment of each feature, hashed feature): words, pairs and triples of words, and the other features."""
-    flat, sizes, others, other_row = [], [], [], []
-    for k, row in enumerate(rows):
-        tokens, extra = _tokens(*row)
-        flat += [ids[t] for t in tokens]
-        sizes.append(len(tokens))
-        others += [ids["\x00" + e] for e in extra]
-        other_row += [k] * len(extra)
-    token = np.array(flat, np.uint64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    found, owner = [token * np.uint64(0x9E3779B97F4A7C15)], [row]
-    grown = token
-    for n in (2, 3):
-        if len(token) < n:
-            break
-        grown = grown[:-1] * np.uint64(0xBF58476D1CE4E5B9) + token[n - 1 :]
-        inside = row[: len(grown)] == row[n - 1 :]
-        found.append((grown * np.uint64(0x94D049BB133111EB) + np.uint64(n))[inside])
-        owner.append(row[: len(grown)][inside])
-    found.append(np.array(others, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    owner.append(np.array(other_row, np.int64))
+    """(segment of each feature, hashed feature) of rows (segment, is the first of its text, is the only one)."""
+    text = "\n" + "\n".join(" ".join(s.split()) for s, _, _ in rows) + "\n"
+    if "<|" in text:
+        text = _MARKS.sub(" ", text)
+    pairs = np.array([ids[t] for t in _TOKEN.findall(_LEAD.sub("", text))], np.uint64)
+    token, shape = pairs[:, 0], pairs[:, 1]
+    edge = token == np.uint64(ids["\n"][0])
+    row = np.cumsum(edge) - 1
+    n = len(rows)
+    found, owner = [], []
+
+    def grams(values: np.ndarray, length: int, salt: int, keep: np.ndarray | None = None) -> None:
+        """Runs of ``length`` tokens within a segment, its edges included."""
+        last = len(values) - length + 1
+        if last <= 0:
+            return
+        # The one before the last token is of the same segment as the first, so only the last can be the next edge.
+        at = np.flatnonzero(row[:last] == row[length - 2 : length - 2 + last]) if length > 1 else np.flatnonzero(~edge)
+        if keep is not None:
+            at = at[keep[at]]
+        total = values[at] * _M1 + np.uint64(salt)
+        for k in range(1, length):
+            total = _mixed(total) + values[at + k]
+        found.append(_mixed(total))
+        owner.append(row[at])
+
+    for length in (1, 2, 3):
+        grams(token, length, length)
+    marks = np.cumsum(np.append(0, (shape & np.uint64(1)).astype(np.int64)))
+    for length in (3, 4, 5):
+        last = max(0, len(shape) - length + 1)
+        # Shapes matter where two of the tokens are punctuation, as brackets are.
+        grams(shape, length, 10 + length, marks[length : length + last] - marks[:last] >= 2)
+    size = np.bincount(row[~edge], minlength=n)[:n]
+    word = np.flatnonzero((shape & np.uint64(2)) > 0)
+    words = np.bincount(row[word], minlength=n)[:n]
+    by = np.lexsort((token[word], row[word]))
+    new = np.ones(len(by), bool)
+    new[1:] = (row[word][by][1:] != row[word][by][:-1]) | (token[word][by][1:] != token[word][by][:-1])
+    kinds = np.bincount(row[word][by][new], minlength=n)[:n]
+    # The last token before the next edge says whether the segment ends like a sentence.
+    ends = np.flatnonzero(edge)[1:][:n] - 1
+    stopped = (shape[ends] & np.uint64(1)) > 0
+    first, only = np.array([f for _, f, _ in rows]), np.array([o for _, _, o in rows])
+    long = np.minimum(np.ceil(np.log2(size + 1)), 8).astype(np.int64)
+    varied = (8 * kinds // np.maximum(words, 1)) * 16 + np.minimum(words, 12)
+    for salt, value in ((20, long), (21, long * 4 + first * 2 + only), (22, long * 2 + stopped), (23, varied)):
+        found.append(_mixed(value.astype(np.uint64) * _M3 + np.uint64(salt)))
+        owner.append(np.arange(n))
     return np.concatenate(owner), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -195,144 +226,155 @@ class Linear:
 def fit(rows: list[tuple[str, bool, bool]], labels: list[bool], steps: int = STEPS, ridge: float = RIDGE) -> Linear:
     """Logistic regression with an L2 penalty, the labels together weighted 3 to 7, by Adam on the whole sample."""
     owner, feature = features(rows, _Ids())
+    used, column = np.unique(feature, return_inverse=True)
     y = np.array(labels, float)
     weight = np.where(y > 0, 0.3 / max(1, y.sum()), 0.7 / max(1, (1 - y).sum()))
-    w, b = np.zeros(1 << BITS), 0.0
+    w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    used = np.unique(feature)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[feature], len(y)) + b, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[column], len(y)) + b, -40, 40)))
         error = weight * (p - y)
-        g = np.bincount(feature, error[owner], len(w))[used] + ridge * w[used]
-        m[used] = 0.9 * m[used] + 0.1 * g
-        v[used] = 0.99 * v[used] + 0.01 * g * g
-        w[used] -= 0.1 * (m[used] / (1 - 0.9**t)) / (np.sqrt(v[used] / (1 - 0.99**t)) + 1e-8)
+        g = np.bincount(column, error[owner], len(w)) + ridge * w
+        m = 0.9 * m + 0.1 * g
+        v = 0.99 * v + 0.01 * g * g
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         gb = error.sum()
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return Linear(w.astype(np.float32), float(b))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w
+    return Linear(weights, float(b))
+
 
+def stripped(rows: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
+    """Labelled sentences without their placeholders, where five words or more are left: these are content."""
+    out = [(_FIELD.sub(" ", s), first, only) for s, first, only in rows if _FIELD.search(s)]
+    return [r for r in out if len(r[0].split()) >= 5 and not weak_label(r[0])]
 
-def _labelled(limits: dict[bool, int]) -> Callable:
-    return lambda batches: _label(batches, dict(limits))
 
+def fit_cleaned(positive: list, other: list) -> Linear:
+    """Fit on labelled and unlabelled rows without those unlabelled ones that a fit on the other half doubts."""
+    ids, kept, content = _Ids(), [], stripped(positive)
+    for own, rest in ((other[::2], other[1::2]), (other[1::2], other[::2])):
+        rest = rest + content
+        model = fit(positive + rest, [True] * len(positive) + [False] * len(rest))
+        kept += [r for r, p in zip(own, model.score(own, ids) if own else ()) if p < DOUBT]
+    kept += content
+    return fit(positive + kept, [True] * len(positive) + [False] * len(kept))
 
-def _label(batches: Iterator[pa.RecordBatch], limit: dict[bool, int]) -> Iterator[pa.RecordBatch]:
-    """Segments of a batch with their weak labels; at most ``SAMPLE`` of each label a task, those of the least hash, and
-    none above the limits."""
-    held: dict[bool, list] = {True: [], False: []}
-    seen: dict[bool, set] = {True: set(), False: set()}
 
-    def thin(label: bool) -> None:
-        held[label].sort()
-        del held[label][SAMPLE:]
-        seen[label] = {h for h, *_ in held[label]}
+def _labelled(limits: list[int]) -> Callable:
+    return lambda batches: _label(batches, list(limits))
+
+
+def _label(batches: Iterator[pa.RecordBatch], limit: list[int]) -> Iterator[pa.RecordBatch]:
+    """Segments of a batch with their kinds; at most ``SAMPLE`` of each kind a task, those of the least hash, and none
+    above the limits."""
+    held: list[list] = [[], [], []]
+    seen: list[set] = [set(), set(), set()]
+
+    def thin(kind: int) -> None:
+        held[kind].sort()
+        del held[kind][SAMPLE:]
+        seen[kind] = {h for h, *_ in held[kind]}
 
     for batch in batches:
-        for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist()):
+        for text in batch.column("text").to_pylist():
             parts = segments(text)
             for k, s in enumerate(parts):
                 h = xxhash.xxh3_64_intdigest(s)
-                label = weak_label(s) if h < max(limit.values()) else False
-                if h >= limit[label] or h in seen[label]:
+                if h >= max(limit):
+                    continue
+                kind = kind_of(s)
+                if h >= limit[kind] or h in seen[kind]:
                     continue
-                seen[label].add(h)
-                held[label].append((h, s, source or "", k == 0, len(parts) == 1))
-                if len(held[label]) > 2 * SAMPLE:
-                    thin(label)
-                    limit[label] = held[label][-1][0]
-    for label in held:
-        thin(label)
-        rows = held[label]
+                seen[kind].add(h)
+                held[kind].append((h, s, k == 0, len(parts) == 1))
+                if len(held[kind]) > 2 * SAMPLE:
+                    thin(kind)
+                    limit[kind] = held[kind][-1][0]
+    for kind, rows in enumerate(held):
+        thin(kind)
         for at in range(0, len(rows), 2000):
-            h, s, source, first, only = zip(*rows[at : at + 2000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x - (1 << 63) for x in h], pa.int64()), pa.array(s, pa.string()), pa.array(source, pa.string()), pa.array(first), pa.array(only), pa.array([label] * len(h))],
-                ["hash", "segment", "source", "first", "only", "label"],
-            )
+            h, s, first, only = zip(*rows[at : at + 2000])
+            yield pa.RecordBatch.from_arrays([pa.array([x - (1 << 63) for x in h], pa.int64()), pa.array(s, pa.string()), pa.array(first), pa.array(only), pa.array([kind] * len(h), pa.int32())], ["hash", "segment", "first", "only", "kind"])
 
 
-def training_sample(documents: DataFrame, size: int = SAMPLE) -> list:
-    """At most ``size`` distinct segments of each label, those whose hash is least."""
-    # Hash limits that are expected to leave several times ``size`` segments of each label: texts have a segment or more,
-    # and one in a hundred is taken to hold a labelled one. They keep what tasks send in proportion to the sample.
+def training_sample(documents: DataFrame, size: int = SAMPLE) -> dict[int, list]:
+    """At most ``size`` distinct segments of each kind, those whose hash is least, from one pass over all texts."""
+    # Hash limits that are expected to leave several times ``size`` segments of each kind: texts have a segment or more,
+    # one in a hundred is taken to hold a labelled one and one in twenty a contrast. They keep what tasks send in
+    # proportion to the sample.
     texts = max(1, documents.count())
-    limits = {label: int(min(1.0, share * size / texts) * (1 << 64)) for label, share in ((True, 800.0), (False, 8.0))}
-    rows = documents.select("text", "source").mapInArrow(_labelled(limits), "hash long, segment string, source string, first boolean, only boolean, label boolean")
-    out = []
-    for label in (True, False):
-        out += rows.where(F.col("label") == label).dropDuplicates(["hash"]).orderBy("hash").limit(size).collect()
+    limits = [int(min(1.0, share * size / texts) * (1 << 64)) for share in (4.0, 80.0, 400.0)]
+    rows = documents.select("text").mapInArrow(_labelled(limits), "hash long, segment string, first boolean, only boolean, kind int")
+    rows = materialize(rows, "residue-sample")
+    out = {}
+    for kind in (0, 1, 2):
+        found = rows.where(F.col("kind") == kind).dropDuplicates(["hash"]).orderBy("hash").limit(size).collect()
+        out[kind] = [(r["segment"], r["first"], r["only"]) for r in found]
     return out
 
 
 def train(documents: DataFrame) -> Linear | None:
     rows = training_sample(documents)
-    labels = [r["label"] for r in rows]
-    if len(set(labels)) < 2:
-        return None
-    return fit([(r["segment"], r["first"], r["only"]) for r in rows], labels)
+    return fit_cleaned(rows[2], rows[0] + rows[1]) if rows[2] and rows[0] + rows[1] else None
 
 
-def _score(held, threshold: float, sure: float) -> Callable:
+def _scored(texts: pa.Array, model: Linear, ids: _Ids) -> tuple[list, np.ndarray, np.ndarray]:
+    """(segments, the text each belongs to, their scores) of some texts."""
+    rows, owner = [], []
+    for d, text in enumerate(texts.to_pylist()):
+        parts = segments(text)
+        rows += [(s, k == 0, len(parts) == 1) for k, s in enumerate(parts)]
+        owner += [d] * len(parts)
+    return rows, np.array(owner, np.int64), model.score(rows, ids) if rows else np.zeros(0)
+
+
+def _score(held, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, model = _Ids(), held.value
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, batch.num_rows, 400):
-                rows, owner = [], []
-                for d, text in enumerate(texts.slice(at, 400).to_pylist()):
-                    parts = segments(text)
-                    rows += [(s, k == 0, len(parts) == 1) for k, s in enumerate(parts)]
-                    owner += [d] * len(parts)
-                if not rows:
-                    continue
-                p = model.score(rows, ids)
-                for k in np.flatnonzero((p >= threshold) & (p < sure)):
-                    if not weak_label(rows[k][0]):
-                        p[k] = 0.0
-                best = np.zeros(min(400, batch.num_rows - at))
-                np.maximum.at(best, np.array(owner), p)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                _, owner, p = _scored(part.column("text"), model, ids)
+                best = np.zeros(part.num_rows)
+                np.maximum.at(best, owner, p)
                 hit = np.flatnonzero(best >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([names[at + d] for d in hit], pa.int64()), pa.array(np.round(best[hit], 6))], ["doc_id", "score"])
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(hit)), pa.array(np.round(best[hit], 6))], ["doc_id", "score"])
 
     return run
 
 
-def residue(documents: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
+def residue(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score): texts with a segment that the classifier takes for residue, and the score of the surest one."""
     model = train(documents)
     if model is None:
         return documents.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     held = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select("doc_id", "text").mapInArrow(_score(held, threshold, sure), "doc_id long, score double")
+    return documents.select("doc_id", "text").mapInArrow(_score(held, threshold), "doc_id long, score double")
 
 
-def _judge(held, threshold: float, sure: float) -> Callable:
+def _judge(held, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, model = _Ids(), held.value
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            sources, texts = batch.column("source").to_pylist(), batch.column("text")
-            for at in range(0, batch.num_rows, 400):
-                rows, owner = [], []
-                for source, text in zip(sources[at : at + 400], texts.slice(at, 400).to_pylist()):
-                    parts = segments(text)
-                    rows += [(s, k == 0, len(parts) == 1) for k, s in enumerate(parts)]
-                    owner += [source] * len(parts)
-                if not rows:
-                    continue
-                p = model.score(rows, ids)
-                for source, (s, *_), score in zip(owner, rows, p):
-                    label = weak_label(s)
-                    said = score >= sure or score >= threshold and label
-                    counts.setdefault(source, np.zeros(4, np.int64))[:] += (1, label, said, label and said)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                sources = part.column("source").to_pylist()
+                rows, owner, p = _scored(part.column("text"), model, ids)
+                for d, (s, *_), score in zip(owner.tolist(), rows, p):
+                    label, said = weak_label(s), score >= threshold
+                    counts.setdefault(sources[d], np.zeros(4, np.int64))[:] += (1, label, said, label and said)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array(c) for c in np.array(list(counts.values())).T)], ["source", "n", "labelled", "told", "both"])
 
     return run
 
 
-def validation(documents: DataFrame, threshold: float = THRESHOLD, sure: float = SURE) -> DataFrame:
+def validation(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Agreement with the weak labels on sources held out of training (every third by name): segments, labelled ones,
     precision and recall per source. Only training rows are a sample, of the other sources; every segment of every text of
     the held-out sources is judged, by the rule of ``residue``. Of sources no more than counts leave a task."""
@@ -347,7 +389,7 @@ def validation(documents: DataFrame, threshold: float = THRESHOLD, sure: float =
     if model is None:
         return spark.createDataFrame([], shape)
     held = spark.sparkContext.broadcast(model)
-    counts = pick(True).mapInArrow(_judge(held, threshold, sure), "source string, n long, labelled long, told long, both long")
+    counts = pick(True).mapInArrow(_judge(held, threshold), "source string, n long, labelled long, told long, both long")
     total = counts.groupBy("source").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "told", "both")))
     share = lambda of: F.round(F.try_divide("both", of), 4)
     return total.select("source", F.col("n").alias("segments"), "labelled", share("told").alias("precision"), share("labelled").alias("recall"))

@@ -1,5 +1,6 @@
 """Taggers: held-out accuracy on made pairs, resolution rules, and edge cases; residue likewise."""
 
+import numpy as np
 import pytest
 
 from curatrix.llm import p6_defects as p6
@@ -92,6 +93,46 @@ CONTENT = ["The web viewer was written in JavaScript and drew overlays.", "All 3
 
 def test_weak_labels():
     assert all(p9.weak_label(t) for t in RESIDUE) and not any(p9.weak_label(t) for t in CONTENT)
+    assert [p9.kind_of(t) for t in ("The page came loose from the book.", "Error code 404 was filed.", "A pale rim.", "blah blah asdf test")] == [1, 1, 0, 2]
+
+
+# Labelled by hand, none of them from the given texts: residue first, content after it.
+HAND_RESIDUE = [
+    "Hello {first_name}, your scan is ready.", "The mass measured ${size} in the axial plane.", "Patient: [[patient_name]]", "Seen in <<organ>> only.", "Grade __GRADE__ of the lesion.", "%(side)s kidney is enlarged.", "Reviewed by «doctor» on Monday.",
+    "[INSERT SCALE BAR]", "TODO: describe the arrow", "The legend is TBD for now.", "[object Object]", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "blah blah blah blah", "asdf asdf asdf asdf", "Error 500. Please contact the administrator.",
+    "HTTP 404 Not Found", "Access denied. You are not authorized to view this page.", "You need to enable JavaScript to view the atlas.", "Your session has expired. Please log in.", "Page introuvable.", "Zugriff verweigert.", "Traceback (most recent call last):", "ValueError: could not convert string", "Coming soon.",
+]
+HAND_CONTENT = [
+    "The error of the measurement was 4.04 mm.", "Scripts for the analysis were written in the laboratory.", "Access to the joint was gained from behind.", "A blank control was run on page 3 of the protocol.", "The set {a, b} holds both nodes.", "Means are given as value [range].", "We found 404 cells in the left kidney.",
+    "The catheter was inserted here without force.", "Samples were held at 500 rpm for an hour.", "Each reader typed the text of the caption.", "Under the construction of the septum lay a cyst.", "The patient could not sign the form.", "Weights $w_{k}$ were kept fixed.", "See <b>Table 2</b> for details.", "Test results were normal in both groups.",
+    "Le patient a quitté la page du registre.", "Der Server der Klinik fiel nach 3 Tagen aus.", "El acceso fue lateral.", "The content of the cyst was clear.", "No change was seen in the later scans.",
+]
+
+
+def test_hand_labels_on_an_unseen_source(spark):
+    """The classifier is fitted on all given texts and asked about texts of a source that is not among them."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "source")
+    clean = "No peritracheitis was noted, although the inner tibial plateau had postmuralar texture."
+    texts = HAND_RESIDUE + HAND_CONTENT
+    held = spark.sparkContext.broadcast(p9.train(docs))
+    asked = spark.createDataFrame([(i, f"{clean} {t}" if i % 2 else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in asked.mapInArrow(p9._score(held, p9.THRESHOLD), "doc_id long, score double").collect()}
+    true = set(range(len(HAND_RESIDUE)))
+    assert len(got & true) >= 0.9 * len(true) and len(got & true) >= 0.9 * len(got), (sorted(texts[i] for i in true - got), sorted(texts[i] for i in got - true))
+
+
+def test_classifier_finds_what_no_label_matches(spark):
+    """Words of labelled mock Latin carry over to text that no label matches; words that stand in content do not."""
+    rng = np.random.default_rng(3)
+    latin = [f"{a}{b}" for a in ("vel", "nor", "pra", "sul", "tem") for b in ("ora", "inum", "etis", "agit")]
+    say = lambda n: " ".join(rng.choice(latin, n))
+    docs = [(i, f"Lorem ipsum {say(12)}.", "a") for i in range(60)] + [(100 + i, f"{say(14).capitalize()}.", "b") for i in range(30)]
+    docs += [(1000 + i, f"The left {w} of reader {i} was free of change and {v} was seen.", "c") for i, (w, v) in enumerate(zip(rng.choice(["kidney", "lung", "hip"], 900), rng.choice(["none", "air", "fluid"], 900)))]
+    docs += [(3000 + i, f"Lorem was the name of trial {i} on hips.", "c") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in p9.residue(frame).collect()}
+    assert not any(p9.weak_label(t) for i, t, _ in docs if 100 <= i < 130)
+    assert len([i for i in got if 100 <= i < 130]) >= 27 and not {i for i in got if i >= 1000} and len([i for i in got if i < 60]) == 60
 
 
 def test_segments_cover_the_text():
