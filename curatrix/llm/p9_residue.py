@@ -41,9 +41,9 @@ from curatrix.operators.balance import ordinals
 from curatrix.plans.stages import keep_keys, materialize
 
 #: Training segments of each kind at most, hashed features, steps and strength of regularisation.
-SAMPLE, BITS, STEPS, RIDGE = 20_000, 18, 120, 1e-6
+SAMPLE, BITS, STEPS, RIDGE = 12_000, 18, 120, 1e-6
 #: Score from which a segment counts.
-THRESHOLD = 0.85
+THRESHOLD = 0.9
 #: Unlabelled training segments that a fit on the other half scores above this are taken out before the last fit.
 DOUBT = 0.3
 #: Texts scored at once.
@@ -62,30 +62,33 @@ _FIELD = re.compile(
     | \b(?:TODO|FIXME)\b | \bTBD\b | \[object[ ]Object\] | \bundefined[ ]undefined\b | \bXX+-(?:year|day|month)""",
     re.X | re.I,
 )
-_FIELD_HINT = re.compile(r"[{}\[<@%«#]|__|TODO|FIXME|TBD|undefined|XX", re.I)
-# Status lines of responses.
+_FIELD_HINT = re.compile(r"[{\[<@%«#_]")
+# Status lines of responses, in lower case.
 _STATUS = re.compile(
-    r"""<title>\s*[45]\d\d\b | "status"\s*:\s*[45]\d\d\b | ^\W*(?:http\s)?(?:error\s)?[45]\d\d\W{0,3}\s?(?:bad|unauthorized|forbidden|not|method|gone|too|internal|service|gateway)\b | ^\W*(?:http\s)?error\s[45]\d\d\b""", re.X | re.I
+    r"""<title>\s*[45]\d\d\b | "status"\s*:\s*[45]\d\d\b | ^\W*(?:http\s)?(?:error\s)?[45]\d\d\W{0,3}\s?(?:bad|unauthorized|forbidden|not|method|gone|too|internal|service|gateway)\b | ^\W*(?:http\s)?error\s[45]\d\d\b""", re.X
 )
-# General phrases of error, access and script pages and of unwritten pages.
-_PHRASE = re.compile(
-    r"""<noscript> | \b(?:enable|activate|allow|turn\son)\s(?:javascript|js|scripts|cookies)\b | \b(?:javascript|scripts|cookies)\s(?:is|are|must\sbe|has\sto\sbe|support\sis)\s(?:disabled|required|enabled|turned|switched|not)\b | \b(?:requires?|needs?)\s(?:javascript|cookies|scripts)\b
-    | \byour\sbrowser\s(?:does|is|has)\b | ^\W*checking\syour\sbrowser | ^\W*(?:access|permission)\sdenied\b | \byou\sdo\snot\shave\s(?:permission|access)\b | \byou\sare\snot\sauthori[sz]ed | ^\W*(?:the\s)?page\s(?:was\s)?not\sfound
-    | \b(?:can't|cannot|couldn't)\sfind\s(?:that|the|this)\spage | \byour\ssession\shas | \bplease\s(?:log|sign)\sin\b | \bsomething\swent\swrong\b | ^\W*(?:the\s)?(?:request|connection)\stimed\sout | \btry\sagain\slater\b | \bdown\sfor\smaintenance
-    | \bnot\savailable\sin\syour\b | ^\W*internal\sserver\serror | ^\W*traceback\s\(most\srecent | ^\W*file\s"[^"]+",\sline\s\d+ | ^\W*[a-z]+(?:error|exception):\s
-    | \blorem\sipsum\b | ^\W*coming\ssoon\b | ^\W*under\sconstruction\b | \bwill\sbe\sadded\slater | \bto\sbe\s(?:supplied|added|completed)\b | \byour\s(?:text|title|caption)\shere | ^\W*click\s(?:here\s)?to\s(?:edit|add) | ^\W*(?:enter|type|add|insert)\s(?:a\s|the\s|your\s)?(?:text|title|description|caption)\b
-    | \b(?:dummy|placeholder)\stext\b | ^\W*this\sis\sa\s(?:dummy|placeholder)\b | \bcheck\sback\s(?:later|soon)\b | \bback\sto\s(?:the\s)?home\s?page | ^\W*invalid\s[\w ]{0,20}(?:token|request|credentials)\b | \bcontact\sthe\s(?:site|system)\s(?:owner|administrator) | \bleft\sblank\b | \bno\scontent\syet\b
-    | \bpage\s(?:introuvable|non\strouvée) | \baccès\s(?:refusé|interdit) | \bactive[rz]\sjavascript\b | \bveuillez\s(?:vous\sconnecter|réessayer) | \b(?:votre|un)\stexte\sici\b | \berreur\s(?:interne\s)?du\sserveur | \bvotre\snavigateur\b
-    | \bseite\s(?:wurde\s)?nicht\sgefunden | \bzugriff\sverweigert | \b(?:aktivieren\ssie\sjavascript|javascript\saktivieren) | \bmelden\ssie\ssich\san\b | \btext\s(?:hier\s)?eingeben\b | \bserverfehler\b | \bihr\sbrowser\b
-    | \bpágina\sno\sencontrada | \bacceso\sdenegado | \b(?:active|activar)\sjavascript\b | \baquí\s(?:su|el)\stexto\b | \binicie\ssesión | \berror\s(?:interno\s)?del\sservidor | \binténtelo\b | \bsu\snavegador\b""",
-    re.X | re.I,
-)
-# Words without which no phrase or status is looked for, and which make an unlabelled segment a contrast.
-_KEYS = frozenset(
-    """javascript js cookies script scripts noscript browser access permission authorized authorised page session log sign wrong timed later soon back maintenance available server traceback file line lorem ipsum construction supplied
-    completed added here home token request credentials owner administrator click enter type add insert edit text title caption description blank content dummy placeholder template status error exception keyerror valueerror typeerror indexerror
-    attributeerror runtimeerror introuvable trouvée accès connecter réessayer serveur navigateur texte gefunden zugriff melden eingeben serverfehler seite página acceso sesión servidor inténtelo navegador texto""".split()
+# General phrases, in words, of error, access and script pages and of unwritten pages; ^ is the start.
+_PHRASES = (
+    *(f"{v} {t}" for v in ("enable", "activate", "allow", "turn on", "requires", "require", "needs", "need") for t in ("javascript", "js", "scripts", "cookies")),
+    *(f"{t} {v}" for t in ("javascript", "scripts", "cookies") for v in ("is disabled", "is required", "must be enabled", "must be switched", "must be turned", "must be on", "is not enabled", "is turned off", "required")),
+    "^noscript", "your browser does", "your browser is", "your browser has", "^checking your browser", "^access denied", "^permission denied", "you do not have permission", "you do not have access", "you are not authorized", "you are not authorised",
+    "^page not found", "^the page was not found", "can t find that page", "can t find the page", "can t find this page", "cannot find the page", "your session has", "please log in", "please sign in", "something went wrong", "request timed out", "connection timed out",
+    "try again later", "down for maintenance", "not available in your", "^internal server error", "^traceback most recent call", "^invalid token", "^missing token", "^invalid request", "^invalid credentials", "contact the site owner",
+    "contact the administrator", "contact the system administrator", "back to the home page", "back to home page", "lorem ipsum", "^coming soon", "^under construction", "will be added later", "to be supplied", "to be added", "to be completed", "your text here", "your title here",
+    "your caption here", "^click to edit", "^click here to edit", "^click to add", *(f"^{v} {a}{t}" for v in ("enter", "type", "add", "insert") for a in ("", "a ", "the ", "your ") for t in ("text", "title", "description", "caption")),
+    "dummy text", "placeholder text", "^this is a dummy", "^this is a placeholder", "check back later", "check back soon", "left blank", "no content yet",
+    "page introuvable", "page non trouvée", "accès refusé", "accès interdit", "activer javascript", "activez javascript", "veuillez vous connecter", "veuillez réessayer", "erreur du serveur", "erreur interne du serveur", "votre navigateur", "votre texte ici",
+    "seite nicht gefunden", "seite wurde nicht gefunden", "zugriff verweigert", "aktivieren sie javascript", "javascript aktivieren", "melden sie sich", "serverfehler", "ihr browser", "text eingeben", "text hier eingeben",
+    "página no encontrada", "acceso denegado", "active javascript", "activar javascript", "inicie sesión", "error del servidor", "error interno del servidor", "inténtelo", "su navegador", "aquí su texto", "aquí el texto",
 )
+_BY_WORD: dict[str, list[str]] = {}
+for _phrase in _PHRASES:
+    _BY_WORD.setdefault(max(_phrase.strip("^").split(), key=len), []).append(_phrase.replace("^", "^ ") + " " if _phrase[0] == "^" else f" {_phrase} ")
+# Bare marks of unwritten text, and raw output of a program that failed.
+_BARE = frozenset("todo fixme tbd undefined object xx xxx".split())
+_RAW = re.compile(r"""^\W*(?:file\s"[^"]+",\sline\s\d+|[a-z]+(?:error|exception):\s)""", re.I)
+#: Words without which no phrase or mark is looked for, and which make an unlabelled segment a contrast.
+_KEYS = frozenset(_BY_WORD) | _BARE
 # What people type to fill a field.
 _TYPED = frozenset("asdf qwerty blah bla foo bar baz xxx test lorem ipsum".split())
 _WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -123,32 +126,52 @@ def _filler(words: list[str]) -> bool:
 def kind_of(segment: str) -> int:
     """2: weakly labelled (response status, general phrase, placeholder syntax or plain filler); 1: a contrast, which
     holds what a label starts from; 0: another segment."""
-    field = bool(_FIELD_HINT.search(segment))
     words = _WORD.findall(segment.lower())
-    key = not _KEYS.isdisjoint(words) or bool(_CODE.search(segment))
-    if field or key:
-        text = bare(segment)
-        if field and _FIELD.search(text) or key and (_PHRASE.search(text) or _STATUS.search(text)):
-            return 2
     if _filler(words):
         return 2
-    return int(field or key)
+    keys = _KEYS.intersection(words)
+    hint = bool(_FIELD_HINT.search(segment))
+    if (hint or not _BARE.isdisjoint(keys)) and _FIELD.search(segment):
+        return 2
+    if ('"' in segment or ":" in segment) and _RAW.search(segment):
+        return 2
+    if keys:
+        line = f"^ {' '.join(_WORD.findall(bare(segment).lower()))} "
+        if any(phrase in line for k in keys for phrase in _BY_WORD.get(k, ())):
+            return 2
+    code = bool(_CODE.search(segment))
+    if code and _STATUS.search(bare(segment).lower()):
+        return 2
+    return int(hint or code or bool(keys))
 
 
 def weak_label(segment: str) -> bool:
     return kind_of(segment) == 2
 
 
-class _Ids(dict):
-    """Token -> (hash of it in lower case, a number being 0; hash of its shape), remembered up to a fixed number."""
+class _Ids:
+    """Hashes of tokens and of their shapes, remembered up to a fixed number. A token is taken in lower case, a number as 0;
+    its shape is its case, "0" or the mark itself."""
+
+    def __init__(self, keep: int = 300_000):
+        self.keep, self.number = keep, {}
+        self.values, self.size = np.zeros((2, 1 << 12), np.uint64), 0
 
-    def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
-        first = token[0]
-        plain, shape = ("0", "0") if token.isdigit() else (token.lower(), "A" if token.isupper() and len(token) > 1 else "a") if first.isalpha() else (token[:2], token[:2])
-        value = self[token] = (xxhash.xxh3_64_intdigest(plain) & 0x7FFFFFFFFFFFFFFF, xxhash.xxh3_64_intdigest(shape, 5) & 0x7FFFFFFFFFFFFFF8 | (0 if shape in ("0", "a", "A", "\n") else 1) | (2 if shape in "aA" else 0))
-        return value
+    def look(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, shapes); the lowest bit of a shape says punctuation, the second one a word."""
+        if self.size > self.keep:
+            self.number, self.size = {}, 0
+        number = self.number
+        for t in set(tokens).difference(number):
+            first = t[0]
+            plain, shape, kind = ("0", "0", 0) if t.isdigit() else (t.lower(), "A" if t.isupper() and len(t) > 1 else "a", 2) if first.isalpha() else (t[:2], t[:2], int(t != "\n"))
+            if self.size == self.values.shape[1]:
+                self.values = np.concatenate([self.values, np.zeros_like(self.values)], 1)
+            self.values[:, self.size] = xxhash.xxh3_64_intdigest(plain) & 0x7FFFFFFFFFFFFFFF, xxhash.xxh3_64_intdigest(shape, 5) & 0x7FFFFFFFFFFFFFFC | kind
+            number[t] = self.size
+            self.size += 1
+        at = np.array([number[t] for t in tokens], np.int64)
+        return self.values[0][at], self.values[1][at]
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -164,9 +187,8 @@ def features(rows: list[tuple[str, bool, bool]], ids: _Ids) -> tuple[np.ndarray,
     text = "\n" + "\n".join(" ".join(s.split()) for s, _, _ in rows) + "\n"
     if "<|" in text:
         text = _MARKS.sub(" ", text)
-    pairs = np.array([ids[t] for t in _TOKEN.findall(_LEAD.sub("", text))], np.uint64)
-    token, shape = pairs[:, 0], pairs[:, 1]
-    edge = token == np.uint64(ids["\n"][0])
+    token, shape = ids.look(_TOKEN.findall(_LEAD.sub("", text)))
+    edge = token == token[0]
     row = np.cumsum(edge) - 1
     n = len(rows)
     found, owner = [], []
@@ -303,10 +325,10 @@ def _label(batches: Iterator[pa.RecordBatch], limit: list[int]) -> Iterator[pa.R
 def training_sample(documents: DataFrame, size: int = SAMPLE) -> dict[int, list]:
     """At most ``size`` distinct segments of each kind, those whose hash is least, from one pass over all texts."""
     # Hash limits that are expected to leave several times ``size`` segments of each kind: texts have a segment or more,
-    # one in a hundred is taken to hold a labelled one and one in twenty a contrast. They keep what tasks send in
+    # one in a hundred is taken to hold a labelled one and one in two a contrast. They keep what tasks send in
     # proportion to the sample.
     texts = max(1, documents.count())
-    limits = [int(min(1.0, share * size / texts) * (1 << 64)) for share in (4.0, 80.0, 400.0)]
+    limits = [int(min(1.0, share * size / texts) * (1 << 64)) for share in (1.5, 8.0, 400.0)]
     rows = documents.select("text").mapInArrow(_labelled(limits), "hash long, segment string, first boolean, only boolean, kind int")
     rows = materialize(rows, "residue-sample")
     out = {}
