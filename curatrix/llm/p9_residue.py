@@ -184,7 +184,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def features(rows: list[tuple[str, bool, bool]], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
     """(segment of each feature, hashed feature) of rows (segment, is the first of its text, is the only one)."""
-    text = "\n" + "\n".join(" ".join(s.split()) for s, _, _ in rows) + "\n"
+    text = "\n" + "\n".join([s for s, _, _ in rows]) + "\n"
     if "<|" in text:
         text = _MARKS.sub(" ", text)
     token, shape = ids.look(_TOKEN.findall(_LEAD.sub("", text)))
@@ -218,10 +218,8 @@ def features(rows: list[tuple[str, bool, bool]], ids: _Ids) -> tuple[np.ndarray,
     size = np.bincount(row[~edge], minlength=n)[:n]
     word = np.flatnonzero((shape & np.uint64(2)) > 0)
     words = np.bincount(row[word], minlength=n)[:n]
-    by = np.lexsort((token[word], row[word]))
-    new = np.ones(len(by), bool)
-    new[1:] = (row[word][by][1:] != row[word][by][:-1]) | (token[word][by][1:] != token[word][by][:-1])
-    kinds = np.bincount(row[word][by][new], minlength=n)[:n]
+    each = np.sort((row[word].astype(np.uint64) << np.uint64(40)) | (token[word] >> np.uint64(24)))
+    kinds = np.bincount((each[np.flatnonzero(np.append(True, each[1:] != each[:-1]))[: len(each)]] >> np.uint64(40)).astype(np.int64), minlength=n)[:n]
     # The last token before the next edge says whether the segment ends like a sentence.
     ends = np.flatnonzero(edge)[1:][:n] - 1
     stopped = (shape[ends] & np.uint64(1)) > 0
@@ -279,7 +277,7 @@ def fit_cleaned(positive: list, other: list) -> Linear:
     ids, kept, content = _Ids(), [], stripped(positive)
     for own, rest in ((other[::2], other[1::2]), (other[1::2], other[::2])):
         rest = rest + content
-        model = fit(positive + rest, [True] * len(positive) + [False] * len(rest))
+        model = fit(positive + rest, [True] * len(positive) + [False] * len(rest), STEPS // 2)
         kept += [r for r, p in zip(own, model.score(own, ids) if own else ()) if p < DOUBT]
     kept += content
     return fit(positive + kept, [True] * len(positive) + [False] * len(kept))

@@ -93,7 +93,7 @@ CONTENT = ["The web viewer was written in JavaScript and drew overlays.", "All 3
 
 def test_weak_labels():
     assert all(p9.weak_label(t) for t in RESIDUE) and not any(p9.weak_label(t) for t in CONTENT)
-    assert [p9.kind_of(t) for t in ("The page came loose from the book.", "Error code 404 was filed.", "A pale rim.", "blah blah asdf test")] == [1, 1, 0, 2]
+    assert [p9.kind_of(t) for t in ("The browser drew a rim.", "Error code 404 was filed.", "A pale rim.", "blah blah asdf test")] == [1, 1, 0, 2]
 
 
 # Labelled by hand, none of them from the given texts: residue first, content after it.
