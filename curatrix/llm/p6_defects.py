@@ -36,15 +36,17 @@ from pyspark.sql import functions as F
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Pairs the field is trained on, hashed features, steps and strength of regularisation.
-SAMPLE, BITS, STEPS, RIDGE = 3_000, 18, 90, 1e-5
+SAMPLE, BITS, STEPS, RIDGE = 2_000, 18, 90, 1e-5
 #: A feature of fewer clauses than this in the sample is left out.
 SEEN = 3
 #: Share of an answer's characters that clauses of a tag must cover.
 COVER = 0.5
+#: The same for refusals, which may carry reasons and advice.
+REFUSED = 0.3
 
 # Function words by language.
 _FUNCTION = {
-    "en": "the a an of and in on with without to from for is are was by at this that no not but it its after before between which what there into around near because be has have had cannot",
+    "en": "the a an of and in on with without to from for is are was by at this that no not but it its after before between which what there into around near because be has have had cannot i my me you your we our they their he she can could will would may must should do does if so than then when who how all any each other some such only under over during about as or these those",
     "fr": "le la les un une des du de et en dans avec sans pour est sont sur par au aux ce cette ces que qui mais ne pas il elle son sa ses depuis près quelle quel chez aucune aucun entre d l",
     "de": "der die das den dem des ein eine einer eines einem einen und in im mit ohne für ist sind auf von zu zum zur an am bei nach nicht kein keine aber es sich wird neben seit zwischen welche was über",
     "es": "el la los las un una unos unas de del y en con sin para es son sobre por al este esta que pero no se su hay desde cerca ninguna ningún entre qué cuál ve lo",
@@ -56,28 +58,25 @@ _FUNCTION = {
 }
 FUNCTION = {lang: frozenset(ws.split()) for lang, ws in _FUNCTION.items()}
 _SHARED = {w: sum(w in ws for ws in FUNCTION.values()) for ws in FUNCTION.values() for w in ws}
+# Words by which a text speaks of its writer or to its reader.
+_PERSON = frozenset("i me my myself we us our you your ich mir mich mein wir uns sie ihnen je j me moi mon nous vous yo mí mi nos usted usteds io noi eu nós ik mij ja jag".split()) - frozenset(("sie",))
 # Texts that stand for no answer.
 NOTHING = frozenset("null none nil nan na n/a not available not applicable no answer no response no reply answer empty blank missing undefined".split()) - frozenset("not no available applicable response reply".split())
 NOTHING_PHRASES = frozenset(("no answer", "not available", "not applicable", "no response", "no reply", "n a", "not given", "none given", "sin respuesta", "keine antwort", "pas de réponse"))
-# Parts refusals are made of.
+# General wording of refusals (opening, verb, object, ending), from common usage.
 _REFUSE = {
     "en": (
-        ("", "I'm sorry, but ", "Sorry. ", "Sorry, ", "Unfortunately, ", "As an assistant, ", "As an AI model, ", "Apologies - ", "I must decline: ", "I apologize, but "),
-        ("I cannot ", "I can't ", "I won't ", "I am not able to ", "I'm unable to ", "I am unable to ", "it is not possible for me to ", "I do not feel able to ", "I'm not allowed to "),
-        ("answer this question", "give a diagnosis", "help with that request", "view the attached picture", "interpret medical pictures", "comment on a person's scan", "choose among these options", "provide medical advice", "assist with this"),
-        ("", "", " at this time", " under my guidelines", " without more context", " from the caption alone", " because no picture was provided", "; please ask a clinician"),
+        ("", "", "Sorry, but ", "Sorry. ", "I am sorry, ", "I'm sorry, but ", "Unfortunately, ", "I regret that ", "As an AI language model, ", "As an assistant, ", "Apologies, but ", "My apologies. ", "I apologize, but "),
+        ("I can't ", "I cannot ", "I could not ", "I am unable to ", "I'm unable to ", "I'm not able to ", "I am not able to ", "I won't ", "I will not ", "I must decline to ", "I have to decline to ", "I refuse to ", "I'd rather not ", "I'm not allowed to ", "it is not possible for me to ", "it would be wrong for me to "),
+        ("help with that", "help you here", "assist with this", "answer that", "answer this question", "give an answer", "respond to this", "make a diagnosis", "diagnose anyone", "offer medical advice", "judge this image", "look at pictures", "see the picture", "say which option is right", "pick one of the options", "discuss this person", "share that information"),
+        ("", "", "", " at the moment", " without further information", " because of my policy", "; please see a doctor", ", please ask a professional", " as no image was attached"),
     ),
-    "de": (("", "Leider ", "Entschuldigung, ", "Tut mir leid, aber "), ("kann ich ", "darf ich ", "ich kann ", "ich darf "), ("dieses Bild nicht deuten", "diese Frage nicht beantworten", "keine Diagnose stellen", "dabei nicht helfen"), ("", "; bitte fragen Sie eine Ärztin", " ohne mehr Kontext", " ohne weitere Angaben")),
-    "fr": (("", "Désolé, ", "Malheureusement, "), ("je ne peux pas ", "je ne suis pas en mesure de ", "il m'est impossible de "), ("répondre à cette question", "interpréter cette image", "poser un diagnostic"), ("", " sans plus de contexte", " ; consultez un médecin")),
-    "es": (("", "Lo siento, ", "Lamentablemente, "), ("no puedo ", "pero no puedo ", "no me es posible "), ("responder a esta pregunta", "interpretar esta imagen", "dar un diagnóstico"), ("", " sin más contexto", "; consulte a un médico")),
-    "it": (("", "Mi dispiace, "), ("non posso ", "non sono in grado di "), ("rispondere a questa domanda", "interpretare questa immagine"), ("", " senza altro contesto")),
-    "pt": (("", "Desculpe, "), ("não posso ", "não consigo "), ("responder a esta pergunta", "interpretar esta imagem"), ("", " sem mais contexto")),
+    "de": (("", "Leider ", "Es tut mir leid, aber ", "Entschuldigung, "), ("ich kann ", "kann ich ", "ich darf ", "darf ich "), ("diese Frage nicht beantworten", "dazu nichts sagen", "Ihnen dabei nicht helfen", "das Bild nicht beurteilen", "keine Diagnose stellen", "keinen Rat geben"), ("", " ohne weitere Angaben", "; fragen Sie bitte einen Arzt")),
+    "fr": (("", "Désolé, ", "Je suis désolé, mais ", "Malheureusement, "), ("je ne peux pas ", "je ne suis pas en mesure de ", "il m'est impossible de ", "je refuse de "), ("répondre à cela", "répondre à la question", "vous aider", "juger cette image", "poser un diagnostic", "donner un avis médical"), ("", " sans autre information", "; consultez un professionnel")),
+    "es": (("", "Lo siento, ", "Lo siento, pero ", "Por desgracia, ", "Lamentablemente, "), ("no puedo ", "no me es posible ", "me niego a "), ("responder a eso", "responder a la pregunta", "ayudarle con esto", "valorar la imagen", "dar un diagnóstico", "dar consejos médicos"), ("", " sin más datos", "; consulte a un profesional")),
+    "it": (("", "Mi dispiace, ", "Purtroppo "), ("non posso ", "non sono in grado di "), ("rispondere alla domanda", "aiutare", "valutare l'immagine"), ("", " senza altri dati")),
+    "pt": (("", "Desculpe, ", "Infelizmente "), ("não posso ", "não consigo "), ("responder à pergunta", "ajudar", "avaliar a imagem"), ("", " sem mais dados")),
 }
-_DECLINE = re.compile(
-    r"""\bi(?:['’]m|\sam)?\s(?:cannot|can['’]?t|won['’]?t|will\snot|must\sdecline|not\sable\sto|unable\sto|not\sallowed) | \bnot\spossible\sfor\sme\b | ^\W*(?:sorry|apologies|unfortunately|i\sapologi[sz]e|as\san\s(?:ai|assistant))\b
-    | \b(?:ich\s(?:kann|darf)|(?:kann|darf)\sich)\b.*\b(?:nicht|keine)\b | \bje\sne\s(?:peux|suis)\b | \bm['’]est\simpossible\b | \bno\spuedo\b | \bno\sme\ses\sposible\b | ^\W*tut\smir\sleid\b | \blo\ssiento\b | \bdésolée?\b | \bnon\sposso\b | \bnão\s(?:posso|consigo)\b | 无法|抱歉|不能回答|не\sмогу|извините""",
-    re.X | re.I,
-)
 
 _LETTER = re.compile(r"^\W*(?:the\s)?(?:(?:correct\s)?(?:answer|option|choice)(?:\sis)?\s*[:.]?\s*)?[(\[]?([A-F])[)\].:]?\W*$", re.I)
 _LETTERED = re.compile(r"^\s*(?:(?:[Aa]nswer|[Oo]ption)\s*:?\s*)?[(\[]?([A-F])[)\].:]\s+(?=\S)")
@@ -180,13 +179,6 @@ def strangeness(pair: Pair) -> float:
     return max((v for k, v in found.items() if k != tongue), default=0.0) - found.get(tongue, 0.0) if tongue else 0.0
 
 
-def _alien(pair: Pair) -> bool:
-    """Little evidence for the question's language against that for another."""
-    tongue = language(pair.question)
-    found = languages(pair.answer)
-    return bool(tongue) and found.get(tongue, 0.0) <= 0.3 * max((v for k, v in found.items() if k != tongue), default=0.0) and bool(found)
-
-
 def pair_features(pair: Pair, vocabulary: frozenset, endings: frozenset) -> list[list[str]]:
     """Features of every clause of a pair's answer; ``endings`` are those of last words of complete texts."""
     parts = clauses(pair.answer)
@@ -214,9 +206,9 @@ def pair_features(pair: Pair, vocabulary: frozenset, endings: frozenset) -> list
         f = ["bias", f"place:{'only' if len(parts) == 1 else 'last' if last else 'first' if not k else 'inner'}"]
         f += [f"w:{n}" for n in names] + [f"ww:{a} {b}" for a, b in zip(names, names[1:])]
         f += [f"echo:{int(4 * sum(own) / max(1, len(own)))}", f"echoes:{int(5 * share)}", f"echoes:{int(5 * share)}:{min(4, len(flat) // 4)}"]
-        f += [f"tongue:{margin}", f"same:{bool(tongue) and whole.get(tongue, 0) > 0.3 * others}:{margin > 0}", f"decline:{bool(_DECLINE.search(clause))}"]
+        f += [f"tongue:{margin}", f"same:{bool(tongue) and whole.get(tongue, 0) > 0.3 * others}:{margin > 0}"]
         found = languages(clause)
-        f.append(f"clause:{bool(found) and tongue not in found}")
+        f += [f"clause:{bool(found) and tongue not in found}", f"person:{not _PERSON.isdisjoint(ws)}"]
         if last:
             stop = _stop(clause)
             tail = clause.rstrip()[-1:]
@@ -283,21 +275,21 @@ def _marginals(scores, transition, seq, place, lengths):
     n, steps, tags = len(lengths), int(lengths.max()) if len(lengths) else 0, len(TAGS)
     grid = np.zeros((n, steps, tags))
     grid[seq, place] = scores
-    live = np.arange(steps)[None, :] < lengths[:, None]
+    # Most answers are one clause, so each step works on the sequences that reach it.
+    live = [np.flatnonzero(lengths > t) for t in range(steps)]
     ahead, behind = np.zeros_like(grid), np.zeros_like(grid)
-    for t in range(steps):
-        ahead[:, t] = grid[:, t] if t == 0 else grid[:, t] + _logsum(ahead[:, t - 1, :, None] + transition[None], 1)
+    for t, rows in enumerate(live):
+        ahead[rows, t] = grid[rows, t] if t == 0 else grid[rows, t] + _logsum(ahead[rows, t - 1, :, None] + transition[None], 1)
     for t in range(steps - 2, -1, -1):
-        step = _logsum(transition[None] + (grid[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-        behind[:, t] = np.where(live[:, t + 1, None], step, 0.0)
+        rows = live[t + 1]
+        behind[rows, t] = _logsum(transition[None] + (grid[rows, t + 1] + behind[rows, t + 1])[:, None, :], 2)
     total = _logsum(ahead[np.arange(n), np.maximum(lengths - 1, 0)], 1) if n else np.zeros(0)
     p = np.exp(ahead + behind - total[:, None, None])
     moves = np.zeros((tags, tags))
     for t in range(steps - 1):
-        rows = live[:, t + 1]
-        if rows.any():
-            joint = ahead[rows, t, :, None] + transition[None] + (grid[rows, t + 1] + behind[rows, t + 1])[:, None, :]
-            moves += np.exp(joint - total[rows, None, None]).sum(0)
+        rows = live[t + 1]
+        joint = ahead[rows, t, :, None] + transition[None] + (grid[rows, t + 1] + behind[rows, t + 1])[:, None, :]
+        moves += np.exp(joint - total[rows, None, None]).sum(0)
     return p[seq, place], moves
 
 
@@ -314,34 +306,46 @@ def fit(sequences: list[list[list[str]]], gold: list[list[int]], vocabulary: fro
     often = np.bincount(feature, minlength=1 << BITS) >= SEEN
     feature, owner = feature[often[feature]], owner[often[feature]]
     used, at = np.unique(feature, return_inverse=True)
-    w, trans = np.zeros((len(used), tags)), np.zeros((tags, tags))
+    w, trans = np.zeros((len(used), tags), np.float32), np.zeros((tags, tags))
     m, v, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)
     n = len(lengths)
+    # Features come clause by clause, and every clause has one that is kept (its bias).
+    starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    by = np.argsort(at, kind="stable")
+    clause_of, first = owner[by], np.searchsorted(at[by], np.arange(len(used)))
     for t in range(1, steps + 1):
-        scores = np.stack([np.bincount(owner, w[at, k], len(seq)) for k in range(tags)], 1)
+        scores = np.add.reduceat(w[at], starts, axis=0).astype(float)
         p, moves = _marginals(scores, trans, seq, place, lengths)
-        error = (p - one) / n
-        g = np.stack([np.bincount(at, error[owner, k], len(used)) for k in range(tags)], 1) + ridge * w
+        error = ((p - one) / n).astype(np.float32)
+        g = np.add.reduceat(error[clause_of], first, axis=0) + np.float32(ridge) * w
         gt = (moves - moved) / n + ridge * trans
-        for x, grad, first, second in ((w, g, m, v), (trans, gt, mt, vt)):
-            first *= 0.9
-            first += 0.1 * grad
-            second *= 0.99
-            second += 0.01 * grad * grad
-            x -= 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        for x, grad, mean, square in ((w, g, m, v), (trans, gt, mt, vt)):
+            mean *= 0.9
+            mean += 0.1 * grad
+            square *= 0.99
+            square += 0.01 * grad * grad
+            x -= 0.15 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
     emission = np.zeros((1 << BITS, tags), np.float32)
     emission[used] = w
     return Field(emission, trans, vocabulary, endings)
 
 
-# Openings and ends of sentences in languages that questions are seldom written in.
-_ABROAD = (
-    "没有肿块，但是|胃壁有局灶性阴影|左肾有弥漫性阴影|鼻中隔有重度阴影|股骨颈有囊性阴影", "腰部出现|轻度增厚，已经持续13周|致密结节|明显肿胀", "изменений нет, но видно |затемнение в области левой почки|затемнение около митрального клапана",
-    "определяется |неровное уплотнение около шейки бедра|хроническое утолщение нижней доли|уплотнение и ещё 31 мелких очагов", "свежее утолщение |поясничной области без других изменений|митрального клапана",
-    "nenhuma lesão, mas |uma sombra difusa em o rim há 3 semanas|uma zona discreta sem outra lesão", "uma massa grave que rodeia |o rim esquerdo sem outra lesão|o ducto biliar", "nessuna massa, ma |un'ombra granulosa lungo il rene da 5 settimane|una zona vicino alla valvola",
-    "una lesione che circonda |il collo del femore senza altre lesioni|il rene sinistro", "si vede una zona |granulosa vicino alla valvola e nessuna massa|focale vicino a il setto", "er is een |zone naast de nier zonder andere afwijking|verdikking van de wand sinds drie weken",
-    "widać |cień w okolicy lewej nerki bez innych zmian|zgrubienie ściany", "det finns en |skugga nära vänster njure utan andra fynd|förtjockning av väggen", "左腎に|びまん性の影がある|軽度の肥厚がみられる", "위벽에 |국소 음영이 있다|경도의 비후가 보인다", "يوجد ظل |في الكلية اليسرى|حول الصمام",
-)
+# First and last letter of scripts that made-up foreign words are drawn from.
+_LETTERS = (("一", "鿋"), ("а", "я"), ("ぁ", "ん"), ("가", "힣"), ("ء", "ي"), ("α", "ω"), ("א", "ת"), ("अ", "ह"))
+
+
+def _made_foreign(tongue: str, content: list[str], rng: random.Random) -> str:
+    """Words that are not in ``tongue``: function words of another language between content words, or letters of another script."""
+    n = rng.randint(4, 12)
+    if rng.random() < 0.4:
+        first, last = map(ord, rng.choice(_LETTERS))
+        made = ["".join(chr(rng.randint(first, last)) for _ in range(rng.randint(2, 9))) for _ in range(n)]
+        return rng.choice((" ", " ", "")).join(made) + rng.choice(("", "", ".", "。"))
+    words = sorted(FUNCTION[rng.choice(sorted(set(FUNCTION) - {tongue}))])
+    made = [rng.choice(words) if rng.random() < 0.55 else rng.choice(content) + rng.choice(("", "", "o", "a", "e", "ar", "en")) for _ in range(n)]
+    if n > 6 and rng.random() < 0.4:
+        made[n // 2] += ","
+    return " ".join(made) + rng.choice(("", "."))
 
 
 def _options(vqa: dict) -> list[str]:
@@ -365,6 +369,7 @@ def examples(sample: list[dict], seed: int = 5) -> tuple[list[Pair], list[list[i
     rng = random.Random(seed)
     pairs, gold = [], []
     by_language: dict[str, list[str]] = {}
+    sample_texts = [text for vqa in sample for text in _options(vqa)]
     for vqa in sample:
         for text in _options(vqa)[:2]:
             by_language.setdefault(language(vqa.get("question")), []).append(text)
@@ -388,7 +393,7 @@ def examples(sample: list[dict], seed: int = 5) -> tuple[list[Pair], list[list[i
             stops = [_stop(o) for o in options]
             odd = (stops.count(".") * 2 > len(stops)) != (_stop(text) == ".")
             tails = text[-1] in ",-…(;:"
-            if not odd and not tails and sum(_echoed(ws, asked)) * 2 < len(ws) and not _DECLINE.search(text) and language(text) in (tongue, ""):
+            if not odd and not tails and sum(_echoed(ws, asked)) * 2 < len(ws) and language(text) in (tongue, ""):
                 whole.append(text)
         for text in whole[:3]:
             siblings = [o for o in options if o != text]
@@ -400,8 +405,14 @@ def examples(sample: list[dict], seed: int = 5) -> tuple[list[Pair], list[list[i
         siblings = whole[1:]
         if rng.random() < 0.4:
             style = _REFUSE[tongue if tongue in _REFUSE and rng.random() < 0.7 else rng.choice(list(_REFUSE) + ["en"] * 4)]
-            text = "".join(rng.choice(part) for part in style)
-            add(question, text + rng.choice(("", ".")), siblings, 1)
+            opening, verb, thing, ending = (rng.choice(part) for part in style)
+            # What is refused, and what follows, may be anything: words of other answers stand for it in half of the cases.
+            loose = [w for o in rng.choice(sample_texts).split() for w in (o.strip(".,;:()"),) if w]
+            if rng.random() < 0.5:
+                thing = " ".join(rng.sample(loose, min(len(loose), rng.randint(1, 5))))
+            if rng.random() < 0.3:
+                ending = " " + " ".join(rng.sample(loose, min(len(loose), rng.randint(1, 4))))
+            add(question, opening + verb + thing + ending + rng.choice(("", ".")), siblings, 1)
         if rng.random() < 0.5 and question:
             ws = cleaned(question).split()
             n = rng.randint(max(4, len(ws) // 2), len(ws)) if len(ws) > 4 else len(ws)
@@ -414,10 +425,11 @@ def examples(sample: list[dict], seed: int = 5) -> tuple[list[Pair], list[list[i
             text = rng.choice(by_language[rng.choice(elsewhere)])
             if strangeness(Pair(question, text, [])) > 0:
                 add(question, text, siblings, 3)
-        if tongue and rng.random() < 0.3:
-            words = rng.choice(_ABROAD).split("|")
-            text = words[0] + rng.choice(words[1:])
-            add(question, text + rng.choice(("", ".", "。") if not text.isascii() and " " not in text else ("", ".")), siblings, 3)
+        content = [w for w in _WORD.findall(" ".join(whole)) if w.lower() not in _SHARED]
+        if tongue and content and rng.random() < 0.4:
+            text = _made_foreign(tongue, content, rng)
+            if strangeness(Pair(question, text, [])) > 0:
+                add(question, text, siblings, 3)
     return pairs, gold
 
 
@@ -450,30 +462,14 @@ def fit_examples(pairs: list[Pair], gold: list[list[int]]) -> Field:
 
 
 def defect(pair: Pair, p: np.ndarray, cover: float = COVER) -> str | None:
-    """The defect of a pair from the tag probabilities of its clauses. Tags are checked against evidence: a foreign
-    one needs some for another language; where there is much of that and hardly any for the question's language, the
-    clause is no answer and not just unfinished; a clause that declines is neither answer nor unfinished nor foreign."""
-    parts = clauses(pair.answer)
-    strange = strangeness(pair)
-    p = p.copy()
-    if strange <= 0:
-        p[:, 3] = 0
-    elif strange >= 1.5 and _alien(pair):
-        p[:, 0] = 0
-    for k, part in enumerate(parts):
-        if _DECLINE.search(part):
-            p[k, [0, 3, 4]] = 0
-    tags, size = p.argmax(1), np.array([len(c) for c in parts], float)
+    """The defect of a pair from the tag probabilities of its clauses: the tag that covers enough of the answer, by its
+    characters, or ``truncated`` where the last clause is unfinished."""
+    tags, size = p.argmax(1), np.array([len(c) for c in clauses(pair.answer)], float)
     share = np.bincount(tags, size, len(TAGS)) / size.sum()
-    if share[1] >= 0.3:
-        return "refusal"
-    if share[2] >= cover:
-        return "copied_question"
-    if share[3] >= cover:
-        return "other_language"
-    if tags[-1] == 4:
-        return "other_language" if strange >= 1 else "truncated"
-    return None
+    for tag, kind, least in ((1, "refusal", REFUSED), (2, "copied_question", cover), (3, "other_language", cover)):
+        if share[tag] >= least:
+            return kind
+    return "truncated" if tags[-1] == 4 else None
 
 
 def _tag(held) -> Callable:
