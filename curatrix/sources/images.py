@@ -39,6 +39,8 @@ def png_pixels(data: bytes) -> np.ndarray | None:
     if raw.size != height * (width + 1):
         return None
     rows = raw.reshape(height, width + 1)
+    if not rows[:, 0].any():
+        return rows[:, 1:].copy()
     out = np.zeros((height, width), np.uint8)
     above = np.zeros(width, np.int64)
     for y in range(height):
