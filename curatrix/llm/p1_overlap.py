@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.wordjoin import Threshold, similar_records
 from curatrix.plans.stages import keep_keys, materialize
+from curatrix.sources.images import pixels
 
 LEVEL = Threshold(7, 10)
 #: Greatest mean absolute difference, in grey levels, of pictures that are alike.
@@ -31,61 +32,9 @@ GREY = 4.0
 
 
 def decode(raw: bytes) -> tuple[int, int, bytes] | None:
-    """(width, height, 8-bit grey pixels) of a PNG without interlace and filter or of a binary PGM; else None."""
-    try:
-        if raw[:8] == b"\x89PNG\r\n\x1a\n":
-            return _png(raw)
-        if raw[:2] == b"P5":
-            return _pgm(raw)
-    except (ValueError, IndexError, zlib.error):
-        return None
-    return None
-
-
-def _png(raw: bytes) -> tuple[int, int, bytes] | None:
-    at, packed, width, height = 8, [], 0, 0
-    while at + 8 <= len(raw):
-        n, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
-        body = raw[at + 8 : at + 8 + n]
-        if kind == b"IHDR":
-            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
-            if body[8] != 8 or body[9] != 0 or body[12] != 0:
-                return None
-        elif kind == b"IDAT":
-            packed.append(body)
-        elif kind == b"IEND":
-            break
-        at += 12 + n
-    data = zlib.decompress(b"".join(packed))
-    if not width or not height or len(data) != height * (width + 1):
-        return None
-    lines = np.frombuffer(data, np.uint8).reshape(height, width + 1)
-    if lines[:, 0].any():
-        return None
-    return width, height, lines[:, 1:].tobytes()
-
-
-def _pgm(raw: bytes) -> tuple[int, int, bytes] | None:
-    at, numbers = 2, []
-    while len(numbers) < 3:
-        c = raw[at : at + 1]
-        if not c:
-            return None
-        if c == b"#":
-            at = raw.index(b"\n", at) + 1
-        elif c.isspace():
-            at += 1
-        else:
-            end = at
-            while raw[end : end + 1].isdigit():
-                end += 1
-            numbers.append(int(raw[at:end]))
-            at = end
-    width, height, top = numbers
-    pixels = raw[at + 1 : at + 1 + width * height]
-    if top > 255 or not width or not height or len(pixels) != width * height:
-        return None
-    return width, height, pixels
+    """(width, height, 8-bit grey pixels) of a picture; None if it cannot be decoded."""
+    grey = pixels(raw)
+    return None if grey is None or not grey.size else (grey.shape[1], grey.shape[0], np.ascontiguousarray(grey).tobytes())
 
 
 def alike(x, y, grey: float = GREY) -> bool:
@@ -111,21 +60,30 @@ def _training(column: str = "split"):
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record_id, side, n, low, high, digest, pictures): number of pictures, their least and greatest mean grey, and a
-    digest of their bytes in any order. A picture that cannot be decoded has a mean made from its bytes, so that equal
-    bytes have equal means."""
+    """(record_id, side, n, frames, low, high, upper, digest, pictures): number of pictures, their different sizes, their
+    least and greatest mean grey, the least mean of an upper half, and a digest of their bytes in any order. A picture that
+    cannot be decoded has a size and means made from its bytes, so that equal bytes have equal ones."""
     for batch in batches:
         rows = []
         for pictures in batch.column("pictures").to_pylist():
             held = sorted(p for p in pictures or [] if p)
-            means = []
+            means, uppers, frames = [], [], set()
             for p in held:
                 seen = decode(p)
-                means.append(np.frombuffer(seen[2], np.uint8).mean() if seen else zlib.crc32(p) % 256)
-            rows.append((len(held), float(min(means, default=-1)), float(max(means, default=-1)), hashlib.md5(b"".join(hashlib.md5(p).digest() for p in held)).hexdigest(), held))
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.binary()))
-        yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("side"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["record_id", "side", "n", "low", "high", "digest", "pictures"])
+                if seen is None:
+                    means.append(zlib.crc32(p) % 256)
+                    uppers.append(means[-1])
+                    frames.add(f"?{zlib.crc32(p)}")
+                    continue
+                grey = np.frombuffer(seen[2], np.uint8)
+                means.append(grey.mean())
+                uppers.append(grey[: seen[0] * -(-seen[1] // 2)].mean())
+                frames.add(f"{seen[0]}x{seen[1]}")
+            digest = hashlib.md5(b"".join(hashlib.md5(p).digest() for p in held)).hexdigest()
+            rows.append((len(held), ",".join(sorted(frames)), float(min(means, default=-1)), float(max(means, default=-1)), float(min(uppers, default=-1)), digest, held))
+        cols = list(zip(*rows)) or [[]] * 7
+        kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("side"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["record_id", "side", "n", "frames", "low", "high", "upper", "digest", "pictures"])
 
 
 def _matched_classes(records: DataFrame, level: Threshold, grey: float) -> tuple[DataFrame, DataFrame]:
@@ -141,19 +99,22 @@ def _matched_classes(records: DataFrame, level: Threshold, grey: float) -> tuple
     pairs = materialize(joined.pairs, "overlaps")
     reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = materialize(reps.join(joined.members.select("rep", "record_id"), "rep", "left").select("rep", F.coalesce("record_id", "rep").alias("record_id")), "wanted")
-    shape = "record_id long, side int, n int, low double, high double, digest string, pictures array<binary>"
+    shape = "record_id long, side int, n int, frames string, low double, high double, upper double, digest string, pictures array<binary>"
     chosen = keep_keys(records.select("record_id", "side", "pictures"), wanted.select("record_id"), "record_id")
     outlines = materialize(chosen.mapInArrow(_outline, shape), "pictures")
     placed = wanted.join(outlines.drop("pictures"), "record_id")
     names = placed.groupBy("rep", "digest").agg(F.min("record_id").alias("class"))
-    members = materialize(placed.join(names, ["rep", "digest"]).select("class", "record_id", "side", "rep", "n", "low", "high"), "classes")
-    classes = members.where("class = record_id").withColumn("bucket", F.floor(F.col("low") / (max(grey, 1.0) + 1e-6)))
+    members = materialize(placed.join(names, ["rep", "digest"]).select("class", "record_id", "side", "rep", "n", "frames", "low", "high", "upper"), "classes")
+    step = max(grey, 1.0) + 1e-6
+    classes = members.where("class = record_id").withColumn("bucket", F.floor(F.col("low") / step)).withColumn("half", F.floor(F.col("upper") / (2.2 * step)))
 
     def end(k: str) -> DataFrame:
-        return classes.select(F.col("rep").alias(k), F.col("class").alias(f"class_{k}"), "n", "bucket", F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"), F.col("side").alias(f"side_{k}"))
+        return classes.select(F.col("rep").alias(k), F.col("class").alias(f"class_{k}"), "n", "frames", "bucket", "half", F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"), F.col("side").alias(f"side_{k}"))
 
-    near = end("b").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)))
-    met = pairs.join(end("a"), "a").join(near, ["b", "n", "bucket"]).where((F.abs(F.col("low_a") - F.col("low_b")) <= grey + 1e-6) & (F.abs(F.col("high_a") - F.col("high_b")) <= grey + 1e-6))
+    near = end("b")
+    for c in ("bucket", "half"):
+        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    met = pairs.join(end("a"), "a").join(near, ["b", "n", "frames", "bucket", "half"]).where((F.abs(F.col("low_a") - F.col("low_b")) <= grey + 1e-6) & (F.abs(F.col("high_a") - F.col("high_b")) <= grey + 1e-6))
     looks = lambda k: outlines.select(F.col("record_id").alias(f"class_{k}"), F.col("pictures").alias(f"p{k}"))
     kept = ["class_a", "class_b", "side_a", "side_b", "overlap", "size_a", "size_b"]
 

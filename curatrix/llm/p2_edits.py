@@ -25,8 +25,10 @@ from curatrix.llm.wordjoin import Joined, Threshold, compare, distance, expanded
 
 #: Overlap by union of the multisets of words.
 LEVEL = Threshold(7, 10)
+#: Copies of one text in a part of the join that pairs them.
+COPIES = 4096
 #: Fingerprints in a leaf of a vantage-point tree.
-LEAF = 192
+LEAF = 24
 
 
 def tree_search(prints: np.ndarray, size: np.ndarray, points: np.ndarray, queries: np.ndarray, level: Threshold, add: Callable, leaf: int = LEAF) -> None:
@@ -67,8 +69,11 @@ def edited_records(records: DataFrame, level: Threshold = LEVEL) -> Joined:
 def edited_pairs(records: DataFrame, level: Threshold = LEVEL) -> DataFrame:
     """Every pair (record_a < record_b) at or above ``level``, copies included."""
     joined = edited_records(records, level)
-    m = joined.members
-    copies = m.select("rep", F.col("record_id").alias("record_a")).join(m.select("rep", F.col("record_id").alias("record_b")), "rep")
+    m = joined.members.withColumn("parts", F.ceil(F.col("n") / COPIES).cast("int"))
+    # A text that very many records share is spread: each of its records is in one part and meets all parts.
+    one = m.select("rep", F.col("record_id").alias("record_a"), F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int").alias("part"))
+    all_parts = m.select("rep", F.col("record_id").alias("record_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    copies = one.join(all_parts, ["rep", "part"])
     return expanded(joined).select("record_a", "record_b").unionByName(copies.where("record_a < record_b").select("record_a", "record_b"))
 
 

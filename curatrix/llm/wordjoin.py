@@ -22,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.text import record_words
-from curatrix.plans.stages import BROADCAST_ROWS, keep_keys, materialize
-
-#: Cells of the count sketch: 4 MB as 32-bit counts whatever the data, so it may be broadcast.
-SKETCH_BITS = 20
-#: Records a word may be posted for in one shard; a commoner word is split into several shards.
-SHARD_ROWS = 20_000
-#: Records that ask in one shard; for a commoner word they are split as well, so a shard is bounded on both sides.
-ASKING_ROWS = 1_000_000
+from curatrix.plans.stages import BROADCAST_ROWS, keep_keys, materialize, small_side
+
+#: Cells of the count sketch for each record, and the least and greatest number of cells as powers of two: it is sized so
+#: that words seldom share a cell, and at 64 MB of 32-bit counts it may still be broadcast.
+CELLS_A_RECORD, LEAST_BITS, MOST_BITS = 4, 16, 24
+#: Cells of a chunk in which tasks hand over their counts.
+CHUNK = 1 << 14
+#: Postings a word may have in one shard, as the indexed side and as the asking side; a word that more records post is
+#: split into a grid of shards, so a shard is bounded on both sides.
+SHARD_ROWS = 400_000
+ASKING_ROWS = 400_000
 #: Postings one task of the shard stage reads.
 TASK_ROWS = 400_000
 
@@ -123,22 +126,50 @@ def _int64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: record, digest (a, b), size; kind 1: cell of the count sketch and its count in this partition."""
-    memory, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["kind", "id", "a", "b", "size"]
+def sketch_bits(records: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (CELLS_A_RECORD * records).bit_length()))
+
+
+def describing(bits: int) -> Callable:
+    """kind 0: record, digest (a, b), size; kind 1: a chunk of the count sketch of this partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, sketch = _Words(), np.zeros(1 << bits, np.int32)
+        names = ["kind", "id", "a", "b", "size", "cells"]
+        for batch in batches:
+            sizes, row, token = _tokens(batch, memory)
+            n = batch.num_rows
+            cell, often = np.unique(token >> np.uint64(64 - bits), return_counts=True)
+            sketch[cell.astype(np.int64)] += often.astype(np.int32)
+            full = np.flatnonzero(sizes)
+            a, b = _sums(row, _mix(token ^ _M1), n), _sums(row, _mix(token ^ _M2), n)
+            ids = batch.column("record_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), np.int32)), _int64(ids[full]), _int64(a[full]), _int64(b[full]), pa.array(sizes[full].astype(np.int32)), pa.nulls(len(full), pa.binary())], names)
+        chunks = sketch.reshape(-1, CHUNK)
+        for c in np.flatnonzero(chunks.any(1)).tolist():
+            zero = pa.array([0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([c], pa.int64()), zero, zero, pa.array([0], pa.int32()), pa.array([chunks[c].tobytes()], pa.binary())], names)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the chunks of a partition."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        sizes, row, token = _tokens(batch, memory)
-        n = batch.num_rows
-        sketch += np.bincount((token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-        full = np.flatnonzero(sizes)
-        a, b = _sums(row, _mix(token ^ _M1), n), _sums(row, _mix(token ^ _M2), n)
-        ids = batch.column("record_id").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(full), np.int32)), _int64(ids[full]), _int64(a[full]), _int64(b[full]), pa.array(sizes[full].astype(np.int32))], names)
-    cells = np.flatnonzero(sketch)
-    for i in range(0, len(cells), 100_000):
-        part = cells[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), _int64(part), _int64(sketch[part]), _int64(np.zeros(len(part), np.int64)), pa.array(np.zeros(len(part), np.int32))], names)
+        for c, cells in zip(batch.column("id").to_pylist(), batch.column("cells").to_pylist()):
+            total.setdefault(c, np.zeros(CHUNK, np.int64))[:] += np.frombuffer(cells, np.int32)
+    for c, cells in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([np.minimum(cells, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["id", "cells"])
+
+
+def word_counts(described: DataFrame, bits: int) -> np.ndarray:
+    """The count sketch over all records; chunks are summed where they lie, and 64 MB at most come to the driver."""
+    counts = np.zeros(1 << bits, np.int32)
+    chunks = described.where("kind = 1").select("id", "cells").repartition("id").mapInArrow(_summed, "id long, cells binary")
+    for r in chunks.toLocalIterator():
+        counts[r["id"] * CHUNK : (r["id"] + 1) * CHUNK] = np.frombuffer(r["cells"], np.int32)
+    return counts
 
 
 def _fingerprints(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
@@ -148,8 +179,9 @@ def _fingerprints(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(parity, axis=1, bitorder="little").view(np.uint64)
 
 
-def posting(sketch, level: Threshold) -> Callable:
-    """Postings (shard, id, meta, f1, f2): meta is size * 8 + side * 4 + asks * 2 + (posted as the smaller record)."""
+def posting(sketch, bits: int, level: Threshold, many: int) -> Callable:
+    """Postings (shard, id, meta, f1, f2, common): meta is size * 8 + side * 4 + asks * 2 + (posted as the smaller record);
+    common says that the word may have more than ``many`` postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, counts = _Words(), sketch.value
@@ -157,7 +189,7 @@ def posting(sketch, level: Threshold) -> Callable:
             sizes, row, token = _tokens(batch, memory)
             n = batch.num_rows
             prints = _fingerprints(row, token, n)
-            often = counts[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            often = counts[(token >> np.uint64(64 - bits)).astype(np.int64)]
             order = np.lexsort((token, often, row))
             row, token, often = row[order], token[order], often[order]
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -166,26 +198,32 @@ def posting(sketch, level: Threshold) -> Callable:
             row, token, often, size, place = row[keep], token[keep], often[keep], size[keep], place[keep]
             ids = batch.column("record_id").to_numpy(zero_copy_only=False)[row]
             side = batch.column("side").to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            smaller = (place < level.index(size)).astype(np.int64)
-            # A word commoner than a shard may hold is split into parts by blocks: a record is indexed in one part, in all
-            # its blocks, and asks in one block, all its parts.
-            parts, blocks = 1 + often // SHARD_ROWS, 1 + often // ASKING_ROWS
-            slots = parts + blocks - 1
-            copy = np.repeat(np.arange(len(row)), slots)
-            slot = np.arange(len(copy)) - np.repeat(np.cumsum(slots) - slots, slots)
-            mixed = _mix(ids.astype(np.uint64))
-            own = (mixed % parts.astype(np.uint64)).astype(np.int64)[copy]
-            home = ((mixed >> np.uint64(32)) % blocks.astype(np.uint64)).astype(np.int64)[copy]
-            asks = slot < parts[copy]
-            other = slot - parts[copy]
-            part, block = np.where(asks, slot, own), np.where(asks, home, other + (other >= home))
-            meta = (size[copy] * 8 + side[copy] * 4 + asks * 2 + smaller[copy] * (own == part)).astype(np.int64)
-            shard = _mix(token[copy] + part.astype(np.uint64) * _GOLD + block.astype(np.uint64) * _M2)
-            yield pa.RecordBatch.from_arrays([_int64(shard), _int64(ids[copy]), _int64(meta), _int64(prints[row[copy], 0]), _int64(prints[row[copy], 1])], ["shard", "id", "meta", "f1", "f2"])
+            meta = size * 8 + side * 4 + 2 + (place < level.index(size))
+            yield pa.RecordBatch.from_arrays([_int64(token), _int64(ids), _int64(meta), _int64(prints[row, 0]), _int64(prints[row, 1]), pa.array(often > many)], ["shard", "id", "meta", "f1", "f2", "common"])
 
     return run
 
 
+def split_postings(posts: DataFrame) -> DataFrame:
+    """Postings with those of words that more records post than a shard holds spread over a grid of parts and blocks: a
+    record is indexed in one part, in all its blocks, and asks in one block, all its parts. Such words are at most as many
+    as the postings divided by the rows of a shard."""
+    posts = materialize(posts, "postings")
+    size = lambda rows: F.ceil(F.col("n") / rows).cast("int")
+    hot = posts.where("common").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > min(SHARD_ROWS, ASKING_ROWS))
+    hot = materialize(hot.select("shard", size(SHARD_ROWS).alias("parts"), size(ASKING_ROWS).alias("blocks")), "common-words")
+    wide = posts.join(small_side(hot, hot.count()), "shard", "left")
+    own, home = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int")
+    base = F.col("meta") - F.col("meta").bitwiseAND(3)
+    indexed = F.col("meta").bitwiseAND(1)
+    name = lambda part, block: F.xxhash64("shard", part, block)
+    asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(name(p, home).alias("shard"), (base + 2 + F.when(p == own, indexed).otherwise(0)).alias("meta")))
+    held = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != home) & (indexed == 1)), lambda b: F.struct(name(own, b).alias("shard"), (base + 1).alias("meta")))
+    whole = F.array(F.struct(F.col("shard"), F.col("meta")))
+    rows = wide.select("id", "f1", "f2", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(F.concat(asking, held))).alias("p"))
+    return rows.select("p.shard", "id", "p.meta", "f1", "f2")
+
+
 def distance(f: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints, broadcast over the leading axes."""
     return np.bitwise_count(f ^ g).sum(-1, dtype=np.int64)
@@ -250,21 +288,27 @@ def pairs_in_shards(level: Threshold, two_sided: bool, search: Callable | None =
 
 
 def compare(prints, size, points, queries, level: Threshold, add: Callable, block: int = 1 << 20) -> None:
-    """All points against all queries, in blocks of bounded memory."""
+    """All points against all queries of a fitting size, in blocks of bounded memory. Both are in order of size."""
     rows = max(1, block // max(1, len(points)))
+    held = size[points]
     for k in range(0, len(queries), rows):
         q = queries[k : k + rows]
-        near = np.bitwise_count(prints[q, None, 0] ^ prints[None, points, 0]).astype(np.int16)
-        near += np.bitwise_count(prints[q, None, 1] ^ prints[None, points, 1])
+        # Both come in order of size, and a point is the smaller record of its pair.
+        low, high = np.searchsorted(held, -(-level.num * int(size[q[0]]) // level.den)), np.searchsorted(held, size[q[-1]], side="right")
+        near_points = points[low:high]
+        if not len(near_points):
+            continue
+        near = np.bitwise_count(prints[q, None, 0] ^ prints[None, near_points, 0]).astype(np.int16)
+        near += np.bitwise_count(prints[q, None, 1] ^ prints[None, near_points, 1])
         # A point is the smaller record of its pair, so a query's radius follows from its own size.
         i, j = np.nonzero(near <= level.differ(2 * size[q])[:, None] + 1)
         if len(i):
-            add(points[j], q[i])
+            add(near_points[j], q[i])
 
 
 @dataclass
 class Joined:
-    """Pairs of representatives, and for every record with words its representative."""
+    """Pairs of representatives; of every record that has copies its representative, side, and the number n of copies."""
 
     pairs: DataFrame
     members: DataFrame
@@ -280,13 +324,12 @@ def similar_records(records: DataFrame, level: Threshold, two_sided: bool = Fals
     """
     spark = records.sparkSession
     records = records.select("record_id", "question", "options", F.col("side").cast("int").alias("side"))
-    described = materialize(
-        records.select("record_id", "question", "options").mapInArrow(describe, "kind int, id long, a long, b long, size int"), "words"
-    )
-    cells = described.where("kind = 1").groupBy(F.col("id").alias("cell")).agg(F.sum("a").alias("n")).toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    sketch = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    bits = sketch_bits(records.count())
+    described = materialize(records.select("record_id", "question", "options").mapInArrow(describing(bits), "kind int, id long, a long, b long, size int, cells binary"), "words")
+    counts = word_counts(described, bits)
+    many = min(SHARD_ROWS, ASKING_ROWS)
+    common = int(counts.max()) > many
+    sketch = spark.sparkContext.broadcast(counts)
 
     digests = described.where("kind = 0").select(F.col("id").alias("record_id"), "a", "b")
     if two_sided:
@@ -295,13 +338,14 @@ def similar_records(records: DataFrame, level: Threshold, two_sided: bool = Fals
         digests = digests.withColumn("side", F.lit(0))
     key = ["a", "b", "side"]
     groups = digests.groupBy(*key).agg(F.min("record_id").alias("rep"), F.count("*").alias("n"))
-    copied = groups.where("n > 1").drop("n")
-    members = materialize(digests.join(copied, key).select("rep", "record_id", "side"), "members")
+    copied = groups.where("n > 1")
+    members = materialize(digests.join(copied, key).select("rep", "record_id", "side", "n"), "members")
     spare = members.where("rep <> record_id").select("record_id")
     total = described.where("kind = 0").count()
     texts = keep_keys(records, spare, "record_id", "left_anti")
 
-    posts = texts.mapInArrow(posting(sketch, level), "shard long, id long, meta long, f1 long, f2 long")
+    posts = texts.mapInArrow(posting(sketch, bits, level, many), "shard long, id long, meta long, f1 long, f2 long, common boolean")
+    posts = split_postings(posts) if common else posts.drop("common")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 25 // TASK_ROWS))
     candidates = materialize(
         posts.repartition(tasks, "shard").mapInArrow(pairs_in_shards(level, two_sided, search), "a long, b long").distinct(), "candidates"
