@@ -1,10 +1,11 @@
 """Problem 3: a sample of distinct images whose categories have given shares.
 
-Images are grouped into strata by the set of categories they may serve. The target of each category is spread over the
-strata in proportion to their images, which gives a fractional two-way table of quotas (category by stratum). It is
-made integer by max-flow: every cell becomes its floor or ceiling, every category keeps its total, and every stratum
-its total rounded down or up. Within a stratum images are ordered by a random key (a seeded hash of their id) and the
-first ones are taken, exactly as many as the stratum's cells ask for.
+Images are grouped into strata by the set of categories they may serve. A max-flow from categories to strata tells how
+many images each category can get when all are served together, minimums first. These numbers are spread over the strata
+in proportion to their images, which gives a fractional two-way table of quotas (category by stratum). It is made integer
+by max-flow: every cell becomes its floor or ceiling, every category keeps its total, and every stratum its total rounded
+down or up. Within a stratum images are ordered by a random key (a seeded hash of their id) and the first ones are taken,
+exactly as many as the stratum's cells ask for.
 
 Only the counts of strata come to the driver (sets of the few categories that really occur). The key that ends a
 stratum's quota is found from counts of key ranges, so no stratum is sorted as a whole, and only the range in which the
@@ -103,29 +104,112 @@ def controlled_rounding(table: dict[tuple, float], rows: dict, capacity: dict) -
     return {k: low[k] + used[k] for k in table}
 
 
+def flow(demand: dict, capacity: dict, cells: dict[tuple, int]) -> dict[tuple, int]:
+    """Integer cells of a (row, column) table that fill the rows as far as any can be filled: augmenting paths from the
+    given cells until none is left. No row loses what it has, no row exceeds its demand and no column its capacity."""
+    cells = dict(cells)
+    by_row, by_column = {}, {}
+    for r, c in cells:
+        by_row.setdefault(r, []).append(c)
+        by_column.setdefault(c, []).append(r)
+    need = {r: n - sum(cells[r, c] for c in by_row.get(r, ())) for r, n in demand.items()}
+    free = {c: capacity[c] - sum(cells[r, c] for r in rows) for c, rows in by_column.items()}
+    for row in demand:
+        while need[row] > 0:
+            came, queue, end = {row: None}, deque([row]), None
+            seen = set()
+            while queue and end is None:
+                r = queue.popleft()
+                for c in by_row.get(r, ()):
+                    if c in seen:
+                        continue
+                    seen.add(c)
+                    if free[c] > 0:
+                        end = (r, c)
+                        break
+                    for other in by_column[c]:
+                        if other not in came and cells[other, c] > 0:
+                            came[other] = (r, c)
+                            queue.append(other)
+            if end is None:
+                break
+            r, c = end
+            path, amount = [(r, c, None)], min(need[row], free[c])
+            while came[r] is not None:
+                before, through = came[r]
+                amount = min(amount, cells[r, through])
+                path.append((before, through, r))
+                r = before
+            free[c] -= amount
+            need[row] -= amount
+            for r, c, gives in path:
+                cells[r, c] += amount
+                if gives is not None:
+                    cells[gives, c] -= amount
+    return cells
+
+
+def proportional(rows: dict, capacity: dict, keys: list[tuple], rounds: int = 300) -> dict[tuple, float]:
+    """A fractional table with row totals ``rows`` whose columns stay within ``capacity``, as near to each row's
+    proportion of its columns as that allows: rows and overfull columns are scaled in turn."""
+    table = {k: float(capacity[k[1]]) for k in keys if rows.get(k[0], 0) > 0 and capacity[k[1]] > 0}
+    for _ in range(rounds):
+        moved = 0.0
+        for at, limit, exact in ((1, capacity, False), (0, rows, True)):
+            sums = {}
+            for k, v in table.items():
+                sums[k[at]] = sums.get(k[at], 0.0) + v
+            scale = {x: limit[x] / n if n > 0 and (exact or n > limit[x]) else 1.0 for x, n in sums.items()}
+            moved = max([moved, *(abs(f - 1) for f in scale.values())]) if not exact else moved
+            table = {k: v * scale[k[at]] for k, v in table.items()}
+        if moved < 1e-9:
+            break
+    return table
+
+
 def plan(strata: dict[tuple, int], targets: list[tuple[str, int, int]], size: int) -> tuple[list[dict], dict[tuple, int]]:
-    """(report per category, integer quotas by (category, stratum)) of a sample of ``size``."""
-    report, rows, table = [], {}, {}
-    left = dict(strata)
+    """(report per category, integer quotas by (category, stratum)) of a sample of ``size``.
+
+    A flow from categories to strata tells how far all categories can be served together: first their minimums, then their
+    whole numbers. The numbers so reached are spread over the strata in proportion, rounded, and filled up by the flow where
+    rounding left a category short, so a target that can be met is met."""
+    report = []
     for name, permille, least in targets:
         available = sum(n for s, n in strata.items() if name in s)
         required = max(least, -(-permille * size // 1000))
-        report.append({"secondary_label": name, "required": required, "available": available})
-    # An image is drawn for one category; the scarcest take their share of the strata first.
-    for line in sorted(report, key=lambda x: (x["available"] - x["required"], x["secondary_label"])):
-        name = line["secondary_label"]
-        own = {s: n for s, n in left.items() if name in s and n > 0}
-        free = sum(own.values())
-        take = min(line["required"], int(free + 1e-9))
-        rows[name] = take
-        for s, n in own.items() if take else ():
-            table[name, s] = take * n / free
-            left[s] = n - table[name, s]
-    cells = controlled_rounding(table, rows, strata)
+        # What the flow reaches when the category is served alone.
+        alone = sum(flow({name: required}, strata, {(name, s): 0 for s in strata if name in s}).values())
+        report.append({"secondary_label": name, "required": required, "available": available, "short": alone < required, "least": least})
+    # The scarcest go first, which matters only where not all can be served.
+    order = sorted(report, key=lambda x: (x["available"] - x["required"], x["secondary_label"]))
+    keys = [(x["secondary_label"], s) for x in order for s in sorted(strata) if x["secondary_label"] in s]
+    cells = flow({x["secondary_label"]: min(x["least"], x["required"]) for x in order}, strata, dict.fromkeys(keys, 0))
+    cells = flow({x["secondary_label"]: x["required"] for x in order}, strata, cells)
+    rows = {x["secondary_label"]: sum(cells[k] for k in keys if k[0] == x["secondary_label"]) for x in order}
+    table = proportional(rows, strata, keys)
+    rounded = controlled_rounding(table, {r: n for r, n in rows.items() if n}, strata)
+    used = {}
+    for (_, s), n in rounded.items():
+        used[s] = used.get(s, 0) + n
+    # A table that had not settled may overfill a stratum by its last fraction; that is taken back before it is filled up.
+    for r, s in sorted(rounded):
+        over = used[s] - strata[s]
+        if over > 0:
+            taken = min(over, rounded[r, s])
+            rounded[r, s] -= taken
+            used[s] -= taken
+    for r in rows:
+        extra = sum(n for (x, _), n in rounded.items() if x == r) - rows[r]
+        for k in sorted(k for k in rounded if k[0] == r):
+            taken = min(max(extra, 0), rounded[k])
+            rounded[k] -= taken
+            extra -= taken
+    cells = flow(rows, strata, dict.fromkeys(keys, 0) | rounded)
     for line in report:
+        del line["least"]
         line["sampled"] = sum(n for (c, _), n in cells.items() if c == line["secondary_label"])
         line["met"] = line["sampled"] >= line["required"]
-    return report, cells
+    return report, {k: n for k, n in cells.items() if n}
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, int, int]]:
@@ -142,7 +226,7 @@ def _planned(images: DataFrame, targets: DataFrame, share: int):
 def quota_report(images: DataFrame, targets: DataFrame, share: int = SHARE) -> DataFrame:
     """Per category of ``targets``: required and available images, sampled images, and whether the number is met."""
     _, report, _ = _planned(images, targets, share)
-    rows = [(x["secondary_label"], x["required"], x["available"], x["sampled"], x["available"] < x["required"], x["met"]) for x in report]
+    rows = [(x["secondary_label"], x["required"], x["available"], x["sampled"], x["short"], x["met"]) for x in report]
     return images.sparkSession.createDataFrame(rows, "secondary_label string, required long, available long, sampled long, short boolean, met boolean")
 
 

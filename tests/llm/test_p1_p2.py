@@ -140,6 +140,17 @@ def test_pictures():
     assert not same([a], [picture(10, (2, 8))]) and same([b"odd"], [b"odd"]) and not same([b"odd"], [b"other"])
 
 
+def test_pictures_with_line_filters():
+    import struct
+    import zlib
+
+    grey = np.arange(64, dtype=np.uint8).reshape(8, 8) * 3
+    lines = b"".join(b"\x01" + bytes([row[0], *((row[1:].astype(int) - row[:-1]) & 255).tolist()]) for row in grey)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    filtered = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert p1_overlap.same_pictures([filtered], [encode_png(grey)]) and not p1_overlap.same_pictures([filtered], [encode_png(255 - grey)])
+
+
 def test_pictures_decide_pairs_and_report(spark):
     rows = [
         (1, "train", "a b c d", None, [(picture(10), "x")]), (2, "test", "a b c d", None, [(picture(13), None), (b"", "y"), (None, "z")]),

@@ -42,6 +42,52 @@ def test_short_categories_and_sample(spark):
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, p3_quota.quota_sample(images, targets).collect()))
 
 
+def test_targets_that_can_be_met_together_are_met():
+    report, cells = p3_quota.plan({("A", "B"): 10, ("A", "C"): 10, ("B",): 4}, [("A", 0, 7), ("B", 0, 10), ("C", 0, 7)], 24)
+    assert {x["secondary_label"]: (x["sampled"], x["met"]) for x in report} == {"A": (7, True), "B": (10, True), "C": (7, True)}
+    assert sum(n for (_, s), n in cells.items() if s == ("A", "B")) <= 10
+
+
+def test_plans_serve_as_many_as_any_plan_can():
+    """Against the marriage condition over all subsets of categories."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        names = "ABCD"[: rng.randint(1, 4)]
+        strata = {s: rng.randint(0, 12) for k in range(len(names) + 1) for s in itertools.combinations(names, k) if rng.random() < 0.7}
+        report, cells = p3_quota.plan(strata, [(n, rng.randint(0, 500), rng.randint(0, 8)) for n in names], rng.randint(0, 40))
+        need = {x["secondary_label"]: x["required"] for x in report}
+        served = lambda sub: sum(n for s, n in strata.items() if set(s) & set(sub))
+        subsets = [sub for k in range(len(names) + 1) for sub in itertools.combinations(names, k)]
+        assert all(sum(n for (_, x), n in cells.items() if x == s) <= strata[s] for s in strata)
+        assert sum(x["sampled"] for x in report) == min(sum(need[n] for n in names if n not in sub) + served(sub) for sub in subsets)
+        assert all(x["short"] == (x["available"] < x["required"]) for x in report)
+
+
+def test_sample_has_the_shares_and_minimums(spark):
+    """On the given images: every category gets its number, each image is drawn once and belongs to its category."""
+    from curatrix.plans.tables import table
+
+    images, targets = (table(spark, "/root/testdata/sf0.1", n) for n in ("curated_images", "category_targets"))
+    report = {r["secondary_label"]: r for r in p3_quota.quota_report(images, targets).collect()}
+    drawn = p3_quota.quota_sample(images, targets).collect()
+    counts = {}
+    for r in drawn:
+        counts[r["secondary_label"]] = counts.get(r["secondary_label"], 0) + 1
+    assert len({r["image_id"] for r in drawn}) == len(drawn) and counts == {k: r["sampled"] for k, r in report.items() if r["sampled"]}
+    wanted = {r["secondary_label"]: r for r in targets.collect()}
+    size = sum(1 for _ in images.select("mini_rec.image_id").where("image_id is not null").distinct().collect()) // 10
+    for name, r in report.items():
+        assert r["required"] == max(wanted[name]["min_rows"], math.ceil(wanted[name]["target_permille"] * size / 1000))
+        assert r["sampled"] == r["required"] if r["met"] else r["sampled"] < r["required"]
+    member = {r["image_id"]: r["categories"] for r in p3_quota.memberships(images, targets).collect()}
+    assert all(r["secondary_label"] in member[r["image_id"]] for r in drawn)
+    # A category that is short takes all it has, unless another needs it more.
+    assert sum(not r["met"] for r in report.values()) <= sum(r["short"] for r in report.values()) + 2
+
+
 def test_empty_images(spark):
     images = spark.createDataFrame([], IMAGES)
     targets = spark.createDataFrame([("p", "s", 1000, 1), ("p", "t", 0, 0)], TARGETS)
