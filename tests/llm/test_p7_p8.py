@@ -1,5 +1,6 @@
 """Token ids against the public library, leaks against brute force, and edge cases."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +101,39 @@ def test_leak_edges(spark, monkeypatch):
     assert p8.leaks(docs.limit(0), items).count() == 0 and p8.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_many_items_are_joined_not_broadcast(spark, monkeypatch):
+    docs, items = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "benchmark_items"))
+    want = sorted(map(tuple, p8.leaks(docs, items).collect()))
+    monkeypatch.setattr(p8, "ITEM_WORDS", 50)
+    assert sorted(map(tuple, p8.leaks(docs, items).collect())) == want and want
+
+
+def test_changed_words_are_found_by_either_way(spark, monkeypatch):
+    """One word of a passage is another one: every such passage is found below similarity 1, none at 1."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 5000, 10)) for _ in range(40)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    docs = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        w[i % 10] = "changed"
+        docs.append((i, " ".join(["before", *w, "after"])))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (p8.ITEM_WORDS, 50):
+        monkeypatch.setattr(p8, "ITEM_WORDS", limit)
+        assert {(r["doc_id"], r["item_id"]) for r in p8.leaks(documents, items, similarity=0.85).collect()} == {(i, i) for i in range(40)}
+        assert p8.leaks(documents, items).count() == 0
+
+
+def test_words_weigh_their_letters():
+    item = np.array([[p8._Hashes()[w] for w in "a b c d e f g h i longestword".split()]], np.uint64)
+    short, long = item.copy(), item.copy()
+    short[0, 0] = long[0, 9] = np.uint64(16)
+    cut = p8.runs(10, 1)
+    assert cut == [(0, 5), (5, 5)]
+    assert p8.verified(short, item, 0.9, cut).all() and not p8.verified(long, item, 0.9, cut).any() and p8.verified(long, item, 0.4, cut).all()
+
+
 def test_blocks_find_all_within_the_radius():
     import numpy as np
 
