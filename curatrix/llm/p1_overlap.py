@@ -114,7 +114,8 @@ def _matched_classes(records: DataFrame, level: Threshold, grey: float) -> tuple
     near = end("b")
     for c in ("bucket", "half"):
         near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    met = pairs.join(end("a"), "a").join(near, ["b", "n", "frames", "bucket", "half"]).where((F.abs(F.col("low_a") - F.col("low_b")) <= grey + 1e-6) & (F.abs(F.col("high_a") - F.col("high_b")) <= grey + 1e-6))
+    # Sizes are estimated from compressed files and before rows are multiplied, so these joins are told not to broadcast.
+    met = pairs.join(end("a").hint("merge"), "a").join(near.hint("merge"), ["b", "n", "frames", "bucket", "half"]).where((F.abs(F.col("low_a") - F.col("low_b")) <= grey + 1e-6) & (F.abs(F.col("high_a") - F.col("high_b")) <= grey + 1e-6))
     looks = lambda k: outlines.select(F.col("record_id").alias(f"class_{k}"), F.col("pictures").alias(f"p{k}"))
     kept = ["class_a", "class_b", "side_a", "side_b", "overlap", "size_a", "size_b"]
 
@@ -124,7 +125,7 @@ def _matched_classes(records: DataFrame, level: Threshold, grey: float) -> tuple
             keep = pa.array([same_pictures(p, q, grey) for p, q in zip(x, y)], pa.bool_())
             yield batch.drop_columns(["pa", "pb"]).filter(keep)
 
-    both = met.join(looks("a"), "class_a").join(looks("b"), "class_b").select(*kept, "pa", "pb")
+    both = met.join(looks("a").hint("merge"), "class_a").join(looks("b").hint("merge"), "class_b").select(*kept, "pa", "pb")
     shape = "class_a long, class_b long, side_a int, side_b int, overlap int, size_a int, size_b int"
     return materialize(both.mapInArrow(check, shape), "matched"), members.select("class", "record_id", "side")
 
@@ -135,7 +136,7 @@ def cross_split_pairs(records: DataFrame, level: Threshold = LEVEL, grey: float
     matched, members = _matched_classes(records, level, grey)
     a, b = (members.select(F.col("class").alias(f"class_{k}"), F.col("record_id").alias(f"r{k}")) for k in "ab")
     size = F.when(F.col("side_a") == 0, F.col("size_a")).otherwise(F.col("size_b"))
-    return matched.join(a, "class_a").join(b, "class_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "overlap", (F.col("overlap") / size).alias("containment"))
+    return matched.join(a.hint("merge"), "class_a").join(b.hint("merge"), "class_b").select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "overlap", (F.col("overlap") / size).alias("containment"))
 
 
 def overlap_report(records: DataFrame, level: Threshold = LEVEL, grey: float = GREY) -> DataFrame:
