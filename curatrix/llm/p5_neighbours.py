@@ -32,7 +32,7 @@ from curatrix.plans.stages import keep_keys, materialize
 K, DIM = 5, 64
 #: Pivots by the root of the vectors of a space, the least and greatest number (16 MB); nearest pivots kept of a vector;
 #: inverted files a vector is posted in.
-PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS, PREFIX, POSTS = 8.5, 64, 1 << 16, 8, 4
+PIVOT_RATE, LEAST_PIVOTS, MOST_PIVOTS, PREFIX, POSTS = 8.5, 64, 1 << 16, 8, 5
 #: Vectors of a group of files, about; pivots of a group at least.
 GROUP_ROWS, GROUP_PIVOTS = 2000, 8
 #: Vectors indexed in one part of an inverted file; a longer file has several parts and is asked in all of them.
@@ -134,22 +134,15 @@ def footrule_gain(asked: np.ndarray, posted: np.ndarray) -> np.ndarray:
     the sum of both weights less twice the sum of the smaller one; only the last term differs between candidates.
     """
     prefix = asked.shape[1]
-    gain = np.zeros((len(asked), len(posted)), np.int16)
-    weights = np.tile(np.arange(prefix, 0, -1, dtype=np.int16), (max(len(asked), len(posted)), 1))
-
-    def by_pivot(orders):
-        flat, weight, row = orders.ravel(), weights[: len(orders)].ravel(), np.repeat(np.arange(len(orders)), prefix)
-        order = np.argsort(flat, kind="stable")
-        flat, weight, row = flat[order], weight[order], row[order]
-        names, start = np.unique(flat, return_index=True)
-        return {p: (row[s:e], weight[s:e]) for p, s, e in zip(names.tolist(), start, np.append(start[1:], len(flat))) if p >= 0}
-
-    theirs = by_pivot(posted)
-    for pivot, (rows, weight) in by_pivot(asked).items():
-        if pivot in theirs:
-            columns, other = theirs[pivot]
-            gain[np.ix_(rows, columns)] += np.minimum.outer(weight, other)
-    return gain
+    flat, other = asked.ravel(), posted.ravel()
+    by = np.argsort(other, kind="stable")
+    low, high = np.searchsorted(other[by], flat), np.searchsorted(other[by], flat, side="right")
+    count = np.where(flat >= 0, high - low, 0)
+    # Every occurrence of a pivot in an asking order meets every one in a posted order.
+    mine = np.repeat(np.arange(len(flat)), count)
+    theirs = by[np.arange(len(mine)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    weight = prefix - np.maximum(mine % prefix, theirs % prefix)
+    return np.bincount(mine // prefix * len(posted) + theirs // prefix, weight, len(asked) * len(posted)).reshape(len(asked), len(posted)).astype(np.int16)
 
 
 def file_answers(units: np.ndarray, orders: np.ndarray, ids: np.ndarray, asked: np.ndarray, posted: np.ndarray, pivot: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, int]:
