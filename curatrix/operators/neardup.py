@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import levenshtein_similarity, normalize_text
-from curatrix.plans.stages import materialize, small_side
+from curatrix.plans.stages import BROADCAST_ROWS, materialize, small_side
 
 PRIME = 2_147_483_647
 
@@ -41,6 +41,13 @@ def bands_for(threshold: float, n: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Remainder by 2^31 - 1 of numbers below 2^62, by folding the upper bits onto the lower ones."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x == PRIME, 0, x)
+
+
 def band_hashes(texts: DataFrame, key: str, text: str, n: int, bands: int, rows: int, perms: int, seed: int = 11) -> DataFrame:
     """(key, band, hash) of every text with at least ``n`` characters.
 
@@ -52,42 +59,55 @@ def band_hashes(texts: DataFrame, key: str, text: str, n: int, bands: int, rows:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.array([x for x, _ in coefficients[: bands * rows]], np.int64)[:, None]
         b = np.array([x for _, x in coefficients[: bands * rows]], np.int64)[:, None]
+        known: dict[str, int] = {}
         for batch in batches:
-            keys, band, hashed = [], [], []
+            keys, hashed = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t is None or len(t) + 2 < n:
                     continue
                 s = f"^{t}$"
                 windows = {s[i : i + n] for i in range(len(s) - n + 1)}
-                h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % PRIME for w in windows], np.int64)
-                least = np.full((len(a), 1), PRIME, np.int64)
+                if len(known) > 500_000:
+                    known.clear()
+                # Texts made from one template share most of their windows, which are hashed once.
+                for w in windows.difference(known):
+                    known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % PRIME
+                h = np.array([known[w] for w in windows], np.int64)
+                least = np.full(len(a), PRIME, np.int64)
                 for at in range(0, len(h), 4096):
-                    least = np.minimum(least, ((a * h[None, at : at + 4096] + b) % PRIME).min(1, keepdims=True))
-                values = least.ravel().tolist()
-                for i in range(bands):
-                    keys.append(k)
-                    band.append(i)
-                    hashed.append(hashlib.md5(",".join(map(str, values[i * rows : (i + 1) * rows])).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(band, pa.int32()), pa.array(hashed, pa.string())], [key, "band", "hash"])
+                    least = np.minimum(least, _modulo(a * h[None, at : at + 4096] + b).min(1))
+                values = least.tolist()
+                keys.append(k)
+                hashed.append([hashlib.md5(",".join(map(str, values[i * rows : (i + 1) * rows])).encode()).hexdigest() for i in range(bands)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashed, pa.list_(pa.string()))], [key, "hashes"])
 
     # Spread first: texts that were just grouped may lie in few partitions, and signing them is the costly step.
     spread = texts.select(key, text).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return spread.mapInArrow(sign, f"{key} long, band int, hash string")
+    return spread.mapInArrow(sign, f"{key} long, hashes array<string>").select(key, F.posexplode("hashes").alias("band", "hash"))
 
 
-def window_hashes(df: DataFrame, key: str, text: str, n: int, wrap: bool = False) -> DataFrame:
-    """(key, gram): hashes of the distinct windows of ``n`` characters of every text. Cut in Python, since a substring of
-    a UTF-8 string is found by counting from its start, which makes all windows of a long text quadratic."""
+def window_hashes(df: DataFrame, key: str, text: str, n: int, only: np.ndarray | None = None) -> DataFrame:
+    """(key, gram): hashes of the distinct windows of ``n`` characters of every text, or those of them among the sorted
+    hashes ``only``. Cut in Python, since a substring of a UTF-8 string is found by counting from its start, which makes all
+    windows of a long text quadratic."""
     import xxhash
 
+    held = None if only is None else df.sparkSession.sparkContext.broadcast(only)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, lists = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = f"^{t}$" if wrap and t is not None else t or ""
-                if len(s) >= n:
+                s = t or ""
+                if len(s) < n:
+                    continue
+                grams = np.unique(np.array([xxhash.xxh3_64_intdigest(s[i : i + n]) - (1 << 63) for i in range(len(s) - n + 1)], np.int64))
+                if held is not None:
+                    at = np.searchsorted(held.value, grams)
+                    grams = grams[held.value[np.minimum(at, len(held.value) - 1)] == grams] if len(held.value) else grams[:0]
+                if len(grams):
                     keys.append(k)
-                    lists.append([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in {s[i : i + n] for i in range(len(s) - n + 1)}])
+                    lists.append(grams)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], [key, "grams"])
 
     return df.select(key, text).mapInArrow(cut, f"{key} long, grams array<long>").select(key, F.explode("grams").alias("gram"))
@@ -104,7 +124,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 13, threshold:
     similarity is at least ``least``. Copies are represented by their least key."""
     bands, rows = bands_for(threshold, perms)
     texts = materialize(distinct_texts(df.select(key, normalize_text(F.col(text)).alias("norm")), key, "norm").drop("copies"), "texts")
-    hashes = band_hashes(texts, key, "norm", n, bands, rows, perms)
+    # Both sides of the join read the signatures, which are the costly step.
+    hashes = materialize(band_hashes(texts, key, "norm", n, bands, rows, perms), "bands")
     a, b = (hashes.select(F.col(key).alias(f"id_{s}"), "band", "hash") for s in "ab")
     candidates = a.join(b, ["band", "hash"]).where("id_a < id_b").select("id_a", "id_b").distinct()
     ta, tb = (texts.select(F.col(key).alias(f"id_{s}"), F.col("norm").alias(f"t{s}")) for s in "ab")
@@ -179,13 +200,14 @@ def row_best(pairs: DataFrame, members: DataFrame, key: str, similarity: str = "
 
 def contained(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", n: int = 13, least: float = 0.8) -> DataFrame:
     """(doc, item, shared, size, containment): share of an item's distinct windows that a text holds, from ``least`` on.
-    Items' windows are broadcast while they number within the checked limit; texts' windows are cut by them before
-    anything is shuffled."""
-    windows = lambda df, key: window_hashes(df.select(key, normalize_text(F.col(text)).alias("norm")), key, "norm", n)
+    While the items' distinct windows number within the checked limit, they are broadcast and texts' windows are sifted by
+    them where they are cut, so only hits leave a batch; beyond it both sides are shuffled."""
+    windows = lambda df, key, only=None: window_hashes(df.select(key, normalize_text(F.col(text)).alias("norm")), key, "norm", n, only)
     grams = materialize(windows(items, item), "windows")
-    sizes = F.broadcast(grams.groupBy(item).agg(F.count("*").alias("size")))
-    held = windows(docs, doc)
-    shared = held.join(small_side(grams, grams.count()), "gram").groupBy(doc, item).agg(F.count("*").alias("shared"))
+    sizes = grams.groupBy(item).agg(F.count("*").alias("size"))
+    total = grams.count()
+    only = np.sort(grams.select("gram").distinct().toArrow().column("gram").to_numpy()) if total <= BROADCAST_ROWS else None
+    shared = windows(docs, doc, only).join(small_side(grams, total), "gram").groupBy(doc, item).agg(F.count("*").alias("shared"))
     return shared.join(sizes, item).select(doc, item, "shared", "size", F.round(F.col("shared") / F.col("size"), 6).alias("containment")).where(F.col("containment") >= least)
 
 

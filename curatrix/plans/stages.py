@@ -14,21 +14,27 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. The session names it; only where it does not (tests) is one made here."""
+    """The folder all executors share, which the session names. Only on one machine, as in tests, may it be unset; a local
+    folder is taken there, while a cluster without the setting is refused, since each executor would write to its own disk."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
-    made = os.path.join(tempfile.gettempdir(), "curatrix-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", made) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return made
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "curatrix-checkpoints")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back, so that later stages survive lost executors
-    without running the earlier ones again, and no stage runs twice for two consumers."""
-    path = f"{shared_folder(df.sparkSession)}/curatrix/{name}-{uuid.uuid4().hex}"
+    without running the earlier ones again, and no stage runs twice for two consumers. A result is read from its stages
+    until it is consumed, so the tables are removed when the session's file system is closed, at the end of the application."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/curatrix/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
