@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import strip
+from curatrix.functions.text import folded, strip
 
 LETTERS = ("A", "B", "C", "D", "E")
 # Fixed value: the instruction that opens evaluation and training prompts.
@@ -104,6 +104,7 @@ def prompt_text(question: Column, options: Column, instruction: str | None = INS
     return F.concat(F.lit(instruction + "\n\n"), body) if instruction else body
 
 
+# Fixed values in the layouts below: the marks of the model families' chat formats.
 def chat_prompt(text: Column, n_images: Column, style: str = "plain") -> Column:
     """Prompt in the chat layout of a model family: ``qwen``, ``glm``, ``gemma`` or ``plain``."""
     n = F.coalesce(n_images, F.lit(0))
@@ -227,6 +228,18 @@ def mcq_signature(question: Column, options: Column) -> Column:
     return F.concat_ws("\n", key(question), F.array_join(texts, "|"))
 
 
+def folded_signature(question: Column, options: Column) -> Column:
+    """``mcq_signature`` after compatibility normalisation and case folding."""
+    mark = "\x01"
+    texts = F.split(folded(F.array_join(F.filter(F.map_values(options), lambda v: v.isNotNull()), mark)), mark)
+    return F.concat_ws("\n", folded(question), F.array_join(F.array_sort(F.transform(texts, strip)), "|"))
+
+
+def image_of_set(images: Column, key: Column) -> Column:
+    """The first element of a record's image set that is the record itself."""
+    return F.get(F.filter(images, lambda x: x["image_id"] == key), F.lit(0))
+
+
 def packed_images(images: Column, skip_missing: bool = True) -> Column:
     """Images with bytes; others are dropped, or kept as empty places."""
     if skip_missing:

@@ -77,3 +77,13 @@ def label_variants(df: DataFrame, labels: Column, k: int = 50) -> DataFrame:
 def parse_quality(df: DataFrame, raw: Column, parsed: Column) -> DataFrame:
     """Rows with a text, those that parse, and those that do not."""
     return df.agg(F.count_if(raw.isNotNull()).alias("texts"), F.count_if(parsed.isNotNull()).alias("parsed"), F.count_if(raw.isNotNull() & parsed.isNull()).alias("lost"))
+
+
+def image_counters(df: DataFrame, images: str = "images") -> DataFrame:
+    """One row: pictures, those without bytes, those that decode and those that do not, and records without any picture."""
+    from curatrix.sources.images import picture_size
+
+    total = df.agg(F.count("*").alias("records"), F.count_if(F.coalesce(F.size(images), F.lit(0)) <= 0).alias("without"))
+    one = df.select(F.explode(images).alias("i")).select(F.coalesce(F.length("i.bytes"), F.lit(0)).alias("n"), picture_size(F.col("i.bytes")).alias("s"))
+    counted = one.agg(F.count("*").alias("pictures"), F.count_if(F.col("n") == 0).alias("missing"), F.count_if((F.col("n") > 0) & F.col("s.width").isNotNull()).alias("ok"), F.count_if((F.col("n") > 0) & F.col("s.width").isNull()).alias("failed"))
+    return total.crossJoin(F.broadcast(counted))

@@ -52,6 +52,21 @@ def rebalanced(df: DataFrame, key: str, vqa: str = "generated_vqa", letters: tup
     return placed.crossJoin(total).select(key, F.col("v.question").alias("question"), F.col("v.answer").alias("old_answer"), target.alias("answer"), permuted_options(F.col("v"), target, letters).alias("options"))
 
 
+def rebalanced_all(df: DataFrame, key: str, vqa: str = "generated_vqa", letters: tuple[str, ...] = LETTERS) -> DataFrame:
+    """``rebalanced`` with the records that are not valid passed through as they are (old_answer and answer the same)."""
+    v = F.col(vqa)
+    other = df.where(~valid_strict(v, letters)).select(key, v["question"].alias("question"), v["answer"].alias("old_answer"), v["answer"].alias("answer"), F.when(v.isNotNull(), F.struct(*(v["options"][x].alias(x) for x in letters))).alias("options"))
+    return rebalanced(df, key, vqa, letters).unionByName(other)
+
+
+def head(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a unique order; an error if there are fewer."""
+    out = ordinals(df, order).where(F.col("ordinal") < n).drop("ordinal")
+    if out.count() < n:
+        raise ValueError(f"{n} rows were asked for, but there are fewer")
+    return out
+
+
 def stratified(df: DataFrame, stratum: str, key: str, size: int, names: tuple[str, ...], salt: str = "s") -> DataFrame:
     """An equal number of rows of every stratum (the first ones take the remainder), by a hash order of the key."""
     goal = even_targets(size, names)

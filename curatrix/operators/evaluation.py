@@ -43,6 +43,18 @@ def accuracy(df: DataFrame, by: str = "dataset_name") -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("records"), F.round(F.avg(share), 6).alias("accuracy"), F.round(F.avg((F.col("num_correct") > 0).cast("double")), 6).alias("pass_rate"))
 
 
+def totals(df: DataFrame) -> DataFrame:
+    """One row over all datasets: records, rollouts, right ones, their share."""
+    one = df.agg(F.count("*").alias("records"), F.coalesce(F.sum("num_rollouts"), F.lit(0)).alias("rollouts"), F.coalesce(F.sum("num_correct"), F.lit(0)).alias("correct"))
+    return one.select("*", F.round(F.try_divide("correct", "rollouts"), 6).alias("share"))
+
+
+def first_correct(parsed: Column) -> Column:
+    """The first right rollout, with its place; null if there is none."""
+    placed = F.transform(parsed, lambda x, i: F.struct(i.alias("place"), x["output_text"].alias("output_text"), x["pred_letter"].alias("pred_letter"), x["is_correct"].alias("is_correct")))
+    return F.get(F.filter(placed, lambda x: x["is_correct"]), F.lit(0))
+
+
 def model_table(df: DataFrame, datasets: tuple[str, ...], model: str = "model", dataset: str = "dataset_name") -> DataFrame:
     """Mean accuracy in per cent by model and dataset, and the unweighted mean of a model's datasets. Datasets are given,
     so the pivot needs no pass to find them."""

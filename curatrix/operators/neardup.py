@@ -232,3 +232,12 @@ def top_templates(pairs: DataFrame, side: str, other: str, k: int = 10) -> DataF
 def best_per_query(pairs: DataFrame, query: str, match: str, similarity: str) -> DataFrame:
     order = Window.partitionBy(query).orderBy(F.desc(similarity), match)
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def capped(candidates: DataFrame, query: str, match: str, limit: int) -> DataFrame:
+    """At most ``limit`` candidates a query, the least by id, and in ``left_out`` how many others it has, so that a cut is
+    seen. The bound on the rank lets each task cut before the shuffle."""
+    order = Window.partitionBy(query).orderBy(match)
+    few = candidates.select(query, match).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    total = candidates.groupBy(query).agg(F.count("*").alias("_n"))
+    return few.join(total, query).select(query, match, "rank", F.greatest(F.col("_n") - limit, F.lit(0)).alias("left_out"))

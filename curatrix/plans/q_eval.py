@@ -9,7 +9,7 @@ from curatrix.operators import analysis, evaluation
 from curatrix.plans.q_text import WS, sql_strip
 from curatrix.plans.tables import table
 
-DATASETS = ("openfig_mcq", "slidebank_qa", "radiquiz", "derm_items", "eyeset_plus", "toothcase")
+DATASETS = ("openfig_mcq", "slidebank_qa", "radiquiz", "derm_items", "eyeset_plus", "toothcase", "scope_vqa", "echo_drill", "wardbook", "nucmed_mini", "pathpairs", "larynx_lab")
 STOP = ("the", "of", "and", "in", "with", "was", "is", "to", "at", "on", "for", "by", "as")
 
 

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.operators.balance import shards
 
 
-def parquet(df: DataFrame, path: str, compression: str = "zstd", mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("compression", compression).parquet(path)
+def parquet(df: DataFrame, path: str, compression: str = "zstd", mode: str = "overwrite", dictionary: bool = True, block_bytes: int | None = None) -> None:
+    """Parquet with a codec (zstd, snappy, gzip, brotli, none), dictionaries on or off, and a size of row groups."""
+    writer = df.write.mode(mode).option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower())
+    (writer.option("parquet.block.size", block_bytes) if block_bytes else writer).parquet(path)
 
 
 def one_parquet(df: DataFrame, path: str, schema: str) -> None:
-    """A single file of an exact schema; for small results only, since one task writes it."""
-    fields = [f.strip().split(" ", 1) for f in schema.split(",")] if "<" not in schema else None
-    typed = df.select(*(F.col(n).cast(t) for n, t in fields)) if fields else df
+    """A single file of an exact schema, nested types included; for small results only, since one task writes it."""
+    typed = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(schema).fields))
     typed.coalesce(1).write.mode("overwrite").parquet(path)
 
 
@@ -56,3 +58,9 @@ def examples(pairs: DataFrame, left: DataFrame, right: DataFrame, query: str, ma
     a = left.select(F.col(key).alias(query), F.struct("*").alias("query_row"))
     b = right.select(F.col(key).alias(match), F.struct("*").alias("match_row"))
     return a.join(F.broadcast(best), query).join(b, match)
+
+
+def concatenated(spark: SparkSession, folder: str, pattern: str = "dp_*.jsonl") -> DataFrame:
+    """(source_file, line): the lines of a run's shards, by name of the shard and position in it."""
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
+    return lines.select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")).orderBy("source_file", "_path", "_at", "_id").select("source_file", "line")
