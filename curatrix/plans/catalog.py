@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from curatrix.plans import q_eval, q_records, q_text
+from curatrix.plans import q_eval, q_io, q_records, q_text
 
-_ALL = q_text.Q | q_records.Q | q_eval.Q
+_ALL = q_text.Q | q_records.Q | q_eval.Q | q_io.Q
 
 
 def queries() -> dict:
