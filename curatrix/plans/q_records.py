@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import parsing, records
 
 from curatrix.operators import balance, curation, exports, filters, merging, rubric
-from curatrix.plans.q_text import WS, sql_strip
+from curatrix.plans.q_text import _OPTIONS, WS, sql_strip
 from curatrix.plans.tables import table
 
 TITLES = ("Stem stands alone", "Plain vocabulary", "No answer leak", "One correct option", "Options of one kind", "Clinically sound", "Picture and text agree")
@@ -381,6 +381,17 @@ _MISSING = f"lower(coalesce({sql_strip('hash')}, '')) IN ('', 'none', 'null', 'n
 _FILL = f"""WITH r AS (SELECT record_id, dataset_name, dataset_index, hash, {_MISSING} AS lost FROM vqa_records), g AS (SELECT dataset_name, dataset_index, arg_max(coalesce(hash, ''), record_id) AS given FROM r GROUP BY 1, 2),
 j AS (SELECT r.*, given, coalesce({_MISSING.replace('hash', 'given')}, true) AS no_gift FROM r LEFT JOIN g USING (dataset_name, dataset_index))"""
 
+def _first_of(*names: str) -> str:
+    paths = [f"nullif({sql_strip(f"json_extract_string(j, '$.{p}{n}')")}, '')" for n in names for p in ("", "generated_vqa.")]
+    return f"coalesce({', '.join(paths)})"
+
+
+_MODEL = r"""
+u AS (SELECT mcq_id, regexp_extract(regexp_replace(regexp_replace(trim(raw_model_output, chr(10) || chr(9) || chr(13) || ' '), '^```(?:json|JSON)?', ''), '```$', ''), '(?s)\{.*\}') AS r FROM generated_mcq),
+v AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(r, '[“”]', '"', 'g'), '[‘’]', '''', 'g'), ',\s*([}\]])', '\1', 'g') AS f FROM u),
+w AS (SELECT mcq_id, CASE WHEN json_valid(nullif(r, '')) THEN r WHEN json_valid(nullif(f, '')) THEN f END AS j FROM v)
+"""
+
 Q = {
     "merge_back": (merge_back, "WITH g AS (SELECT dataset_name, dataset_index, mcq_id, generated_vqa.answer AS generated_answer FROM generated_mcq QUALIFY row_number() OVER (PARTITION BY dataset_name, dataset_index ORDER BY generated_at DESC, mcq_id DESC) = 1) SELECT record_id, mcq_id, generated_answer FROM vqa_records LEFT JOIN g USING (dataset_name, dataset_index)"),
     "merge_composite": (
@@ -445,12 +456,23 @@ Q = {
     ),
     "image_tuples": (image_tuples, "SELECT mcq_id, coalesce(article_accession_id, '') AS article, coalesce(z.a, '') AS id, coalesce(z.b, '') AS name FROM (SELECT mcq_id, article_accession_id, unnest(CASE WHEN greatest(len(coalesce(image_id, [])), len(coalesce(image_file_name, []))) = 0 THEN [{'a': '__UNKNOWN__', 'b': '__UNKNOWN__'}] ELSE list_transform(range(1, greatest(len(coalesce(image_id, [])), len(coalesce(image_file_name, []))) + 1), lambda i: {'a': image_id[i], 'b': image_file_name[i]}) END) AS z FROM generated_mcq)"),
     "image_paths": (image_paths, "SELECT record_id, array_to_string(list_filter(list_transform(images, lambda x: x.path), lambda p: p IS NOT NULL), ',') AS paths, len(list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false))) > 0 AS has_image, len(list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false))) AS with_bytes FROM vqa_records"),
-    "options_lines": (options_lines, None),
+    "options_lines": (
+        options_lines,
+        rf"""WITH k AS (SELECT record_id, options, CASE WHEN json_valid(options) THEN json_type({_JSON}) ELSE '' END AS kind, {_OPTIONS} AS lines FROM vqa_records),
+        l AS (SELECT *, CASE WHEN kind = 'ARRAY' THEN from_json(options, '["VARCHAR"]') ELSE list_filter(list_transform(regexp_split_to_array(options, '[\n;|]'), lambda x: {sql_strip('x')}), lambda x: x <> '') END AS plain FROM k)
+        SELECT record_id, md5(CASE WHEN options IS NULL THEN NULL WHEN kind = 'OBJECT' THEN lines ELSE array_to_string(list_transform(plain, lambda x, i: chr((64 + i)::INT) || '. ' || regexp_replace(x, '^[A-Za-z]\s*[.)]\s*', '')), chr(10)) END) AS lines_md5 FROM l""",
+    ),
     "export_rl": (export_rl, f"SELECT 'curatrix/mcq' AS data_source, 'medical_mcq' AS ability, md5(repeat('<image>', len(coalesce(images, []))) || {_prompt_sql('')}) AS prompt_md5, 'rule' AS style, answer AS ground_truth, record_id FROM vqa_records WHERE split = 'train' AND {_ISMAP}"),
     "export_sft": (export_sft, f"SELECT record_id, md5({_prompt_sql('sorted')}) AS prompt_md5, md5('<think> ' || {sql_strip('reasoning')} || ' </think>' || chr(10) || '<answer> ' || {sql_strip('answer_label')} || ' </answer>') AS response_md5 FROM vqa_records WHERE {_ISMAP} AND coalesce({sql_strip('reasoning')}, '') <> ''"),
     "eval_prompts_plain": (eval_prompts("plain"), f"SELECT record_id, md5({_chat_sql('plain')}) AS prompt_md5 FROM vqa_records WHERE {_ISMAP}"),
     "eval_prompts_qwen": (eval_prompts("qwen"), f"SELECT record_id, md5({_chat_sql('qwen')}) AS prompt_md5 FROM vqa_records WHERE {_ISMAP}"),
-    "prompt_parse": (prompt_parse, None),
+    "prompt_parse": (
+        prompt_parse,
+        rf"""WITH p AS (SELECT record_id, {_chat_sql('plain')} AS p FROM vqa_records WHERE {_ISMAP}),
+        r AS (SELECT record_id, p, regexp_extract(regexp_extract(p, '(?s)Question:.*?\n\s*\n\s*Options:(.*)', 1), '(?s)^(.*?)(?:<\|assistant\|>|$)', 1) AS block FROM p),
+        o AS (SELECT record_id, p, regexp_extract_all(block, '(?m)^[ \t]*([A-Z])\.[ \t]*\S[^\n]*$', 1) AS letters, regexp_extract_all(block, '(?m)^[ \t]*[A-Z]\.[ \t]*(\S[^\n]*?)[ \t]*$', 1) AS texts FROM r)
+        SELECT record_id, md5(nullif({sql_strip(r"regexp_extract(p, '(?s)Question:\s*(.*?)\n\s*\n\s*Options:', 1)")}, '')) AS question_md5, texts[list_position(letters, 'A')] AS option_a, CASE WHEN len(letters) > 0 THEN len(letters)::INT END AS options FROM o""",
+    ),
     "standard_format": (standard_format, f"WITH r AS (SELECT record_id, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i, nullif({sql_strip('reasoning')}, '') AS reasoning FROM vqa_records) SELECT record_id, len(i) AS images, md5(i[1].bytes) AS first_md5, reasoning FROM r"),
     "normalised_bytes": (normalised_bytes, "WITH r AS (SELECT *, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i FROM vqa_records) SELECT record_id, least(len(i), 2)::INT AS images, md5(CASE WHEN json_valid(options) THEN options ELSE '{}' END) AS options_md5, coalesce(hash, '') AS hash FROM r WHERE len(i) > 0"),
     "normalised_bytes_all": (normalised_bytes_all, "WITH r AS (SELECT *, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i FROM vqa_records) SELECT record_id, len(i)::INT AS images, md5(CASE WHEN json_valid(options) THEN options ELSE '{}' END) AS options_md5, coalesce(hash, '') AS hash FROM r WHERE len(i) > 0"),
@@ -460,7 +482,10 @@ Q = {
     "shards": (shards, "WITH o AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS shard FROM orders) SELECT shard, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM o GROUP BY 1"),
     "paginate": (paginate, "SELECT record_id, dataset_name FROM vqa_records ORDER BY dataset_name NULLS FIRST, record_id LIMIT 20 OFFSET 40"),
     "lookup_first": (lookup_first, "SELECT record_id, answer_label FROM vqa_records WHERE dataset_name = 'openfig_mcq' AND dataset_index = 5 ORDER BY record_id LIMIT 1"),
-    "context_size": (context_size, None),
+    "context_size": (
+        context_size,
+        "WITH c AS (SELECT row_id, list_transform(coalesce(mini_rec.context, []), lambda x: coalesce(x, '')) AS c, len(mini_rec.image_secondary_label) AS n FROM curated_images), d AS (SELECT row_id, list_filter(c, lambda x, i: list_position(c, x) = i) AS c, n FROM c) SELECT row_id, len(c)::INT AS contexts, md5(array_to_string(c, '|')) AS contexts_md5, n BETWEEN 1 AND 6 AS labelled FROM d",
+    ),
     "cot_attach": (
         cot_attach,
         f"""WITH s AS (SELECT record_id, answer_label, reasoning, concat_ws(chr(10), lower({sql_strip(f"regexp_replace(question, '{WS}+', ' ', 'g')")}),
@@ -468,7 +493,7 @@ Q = {
         r AS (SELECT * FROM s WHERE g <> ''), b AS (SELECT g, answer_label AS l, arg_min(reasoning, record_id) AS reasoning, min(record_id) AS seq FROM r WHERE reasoning IS NOT NULL GROUP BY 1, 2), f AS (SELECT g, arg_min(reasoning, seq) AS reasoning FROM b GROUP BY 1)
         SELECT record_id, md5(coalesce(b.reasoning, f.reasoning)) AS reasoning_md5, b.g IS NOT NULL AS letter_matched FROM r LEFT JOIN b ON r.g = b.g AND r.answer_label = b.l LEFT JOIN f ON r.g = f.g WHERE r.reasoning IS NULL AND coalesce(b.reasoning, f.reasoning) IS NOT NULL""",
     ),
-    "mcq_fields": (mcq_fields, None),
+    "mcq_fields": (mcq_fields, f"WITH {_MODEL} SELECT mcq_id, md5({_first_of('question', 'stem', 'prompt')}) AS question_md5, {_first_of('options', 'choices')} IS NOT NULL AS has_options FROM w"),
     "image_meta": (image_meta, "WITH r AS (SELECT coalesce(dataset_name, '') || '#' || coalesce(dataset_index::VARCHAR, '-1') AS uid, images, list_filter(coalesce(images, []), lambda x: coalesce(octet_length(x.bytes) > 0, false)) AS i FROM vqa_records) SELECT uid, len(i) AS packed, len(coalesce(images, [])) AS places, md5(i[1].bytes) AS first_md5 FROM r"),
     "resume_stream": (resume_stream, "SELECT event_id, user_id FROM events"),
 }
