@@ -97,6 +97,17 @@ def small_side(width: Column, height: Column, least: int = 28) -> Column:
     return F.least(width, height) < least
 
 
+def fitted(width: Column, height: Column, least: int = 28, mode: str = "drop") -> Column:
+    """Size of a picture whose shorter side must reach ``least``: ``drop`` gives null for smaller ones, ``pad`` widens the
+    short sides, ``resize`` enlarges both by one factor."""
+    if mode == "drop":
+        return F.when(~small_side(width, height, least), F.array(width, height))
+    if mode == "pad":
+        return F.array(F.greatest(width, F.lit(least)), F.greatest(height, F.lit(least)))
+    scale = F.greatest(F.lit(1.0), F.lit(float(least)) / F.least(width, height))
+    return F.array(*(F.ceil(F.round(x * scale, 6)).cast("int") for x in (width, height)))
+
+
 def prompt_text(question: Column, options: Column, instruction: str | None = INSTRUCTION) -> Column:
     """Prompt with the options in their JSON order."""
     lines = F.array_join(F.transform(F.map_entries(options), lambda e: F.concat(F.lit("\n\n"), e["key"], F.lit(". "), F.coalesce(e["value"], F.lit("None")))), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import kept_tokens, label_key, strip
+from curatrix.functions.text import alnum_key, kept_tokens, label_key, strip
 
 
 def distribution(df: DataFrame, group: Column, images: Column, sizes: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
@@ -68,6 +68,24 @@ def coverage(df: DataFrame, labels: Column, allowed: DataFrame, name: str) -> Da
     )
 
 
+def never_seen(df: DataFrame, labels: Column, allowed: DataFrame, name: str) -> DataFrame:
+    """Allowed labels that never occur, compared without case and blanks."""
+    present = df.select(F.explode(labels).alias("x")).select(label_key(F.col("x")).alias("k")).distinct()
+    return allowed.withColumn("k", label_key(F.col(name))).join(present, "k", "left_anti").select(name)
+
+
+def whitelisted(df: DataFrame, label: str, allowed: DataFrame, name: str) -> DataFrame:
+    """Adds ``canonical``, the allowed label of the same letters and digits, null if there is none. The list is a table, and
+    Spark broadcasts it as far as its size allows."""
+    listed = allowed.select(alnum_key(F.col(name)).alias("_k"), F.col(name).alias("canonical")).where("_k <> ''").groupBy("_k").agg(F.min("canonical").alias("canonical"))
+    return df.withColumn("_k", alnum_key(F.col(label))).join(listed, "_k", "left").drop("_k")
+
+
+def lost_texts(df: DataFrame, key: str, raw: Column, parsed: Column, k: int = 5) -> DataFrame:
+    """The first ``k`` texts by key that do not parse."""
+    return df.where(raw.isNotNull() & parsed.isNull()).select(key, raw.alias("text")).orderBy(key).limit(k)
+
+
 def label_variants(df: DataFrame, labels: Column, k: int = 50) -> DataFrame:
     """The ``k`` commonest ways labels are written, with the key they share."""
     one = df.select(F.explode(labels).alias("raw")).where("raw is not null")

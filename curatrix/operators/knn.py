@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Queries held by a task at once; more are searched in further blocks.
-BLOCK = 4096
+BLOCK = 16_384
+#: Rows a task compares with a block of queries, so that its work does not grow with the table.
+SLICE_ROWS = 200_000
 
 
 def _blocked(queries: DataFrame, rows: DataFrame, value: str, search: Callable, k: int, shape: str, order: list) -> DataFrame:
@@ -18,7 +20,7 @@ def _blocked(queries: DataFrame, rows: DataFrame, value: str, search: Callable,
     its k best a query, and these few are merged."""
     spark = rows.sparkSession
     blocks = max(1, -(-queries.count() // BLOCK))
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-rows.count() // SLICE_ROWS), 1)
     asked = queries.select(F.col("id"), F.col(value), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"))
     held = rows.select(F.col("id"), F.col(value), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"))
     near = asked.unionByName(held).repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", F.desc("asks")).mapInArrow(search, shape)

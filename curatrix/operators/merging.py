@@ -34,9 +34,25 @@ def attach_two_keys(left: DataFrame, right: DataFrame, first: list[str], second:
     return joined.select(*left.columns, source.alias("matched_by"), *(chosen[f].alias(f) for f in fields))
 
 
+def trainset(left: DataFrame, right: DataFrame, first: list[str], second: list[str], fields: list[str], order: list, images: str = "images") -> DataFrame:
+    """Left rows that have the first key, with the fields of the right row of that key, else of the second; rows that match
+    neither or have no image are dropped, and a null hash is empty. No rows at all are an error."""
+    driven = left.where(" AND ".join(f"`{c}` IS NOT NULL" for c in first))
+    found = attach_two_keys(driven, right, first, second, fields, order).where("matched_by IS NOT NULL").where(F.coalesce(F.size(images), F.lit(0)) > 0)
+    out = found.withColumn("hash", F.coalesce("hash", F.lit("")))
+    if out.isEmpty():
+        raise ValueError("no rows match")
+    return out
+
+
 def resolve(df: DataFrame, key: str, label: str, order: list[str], strategy: str) -> DataFrame:
     """(key, label, labels): one label a key by ``majority`` (ties to the first seen), ``first`` or ``last``; labels is
-    the number of distinct ones. Labels are counted before they are compared, so no key's rows are collected."""
+    the number of distinct ones. With ``none`` a key with several labels is an error. Labels are counted before they are
+    compared, so no key's rows are collected."""
+    if strategy == "none":
+        if not conflicts(df, key, label).isEmpty():
+            raise ValueError(f"some keys have several values of {label}")
+        strategy = "first"
     at = F.struct(*order)
     counts = df.where(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
     rank = Window.partitionBy(key)

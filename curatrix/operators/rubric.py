@@ -86,11 +86,22 @@ def item_consistency(verified: DataFrame) -> DataFrame:
     return c.withColumn("state", F.when((F.col("weights") <= 1) & (F.col("categories") <= 1), "OK").otherwise("MIXED"))
 
 
-def title_sets(verified: DataFrame, essential: str = "essential") -> DataFrame:
-    """Distinct sets of non-essential titles, how many records have each, up to three of them, and what each set lacks
-    and adds against the commonest."""
+def _title_rows(verified: DataFrame, essential: str) -> DataFrame:
     kept = F.filter("rubric_verification.rubric", lambda i: i.isNotNull() & i["title"].isNotNull() & F.coalesce(F.lower(strip(i["category"])) != essential, F.lit(True)))
-    rows = verified.where(F.size("rubric_verification.rubric") > 0).select("verify_id", F.array_sort(F.array_distinct(F.transform(kept, lambda i: strip(i["title"])))).alias("titles"))
+    return verified.where(F.size("rubric_verification.rubric") > 0).select("verify_id", F.array_sort(F.array_distinct(F.transform(kept, lambda i: strip(i["title"])))).alias("titles"))
+
+
+def title_examples(verified: DataFrame, k: int = 3, essential: str = "essential") -> DataFrame:
+    """Up to ``k`` records of each set of non-essential titles, the least by id: (titles, examples)."""
+    order = Window.partitionBy("titles").orderBy("verify_id")
+    few = _title_rows(verified, essential).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return few.groupBy("titles").agg(F.array_sort(F.collect_list("verify_id")).alias("examples")).select(F.array_join("titles", "|").alias("titles"), "examples")
+
+
+def title_sets(verified: DataFrame, essential: str = "essential") -> DataFrame:
+    """Distinct sets of non-essential titles, how many records have each, the least of them, and what each set lacks and
+    adds against the commonest."""
+    rows = _title_rows(verified, essential)
     # Examples are the least ids: a bounded aggregate, unlike a list of all.
     sets = rows.groupBy("titles").agg(F.count("*").alias("records"), F.min("verify_id").alias("first_id"))
     top = sets.orderBy(F.desc("records"), F.array_join("titles", "|")).limit(1).select(F.col("titles").alias("common"))

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import parsing, prompts, records, text
-from curatrix.operators import analysis, balance, evaluation, merging, neardup
-from curatrix.plans.q_eval import _GRADED, _graded
-from curatrix.plans.q_records import _REBALANCED
-from curatrix.plans.q_text import sql_strip
+from curatrix.operators import analysis, balance, evaluation, merging, neardup, rubric
+from curatrix.plans.q_eval import _GRADED, _graded, _outputs
+from curatrix.plans.q_records import _MODEL, _REBALANCED
+from curatrix.plans.q_text import WS, sql_strip
 from curatrix.plans.stages import shared_folder
 from curatrix.plans.tables import table
 from curatrix.sources import readers, sinks
@@ -304,6 +304,48 @@ def modality_answers(spark, d):
     return _events(spark, d).select("event_id", prompts.modality_answer(raw, ("ct slice", "mr slice")).alias("a")).select("event_id", "a.modality", "a.parse_error")
 
 
+def title_examples(spark, d):
+    return rubric.title_examples(table(spark, d, "verified_mcq")).select("titles", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+def never_seen(spark, d):
+    labels = table(spark, d, "category_targets").select("secondary_label").unionByName(spark.createDataFrame([("no such label",)], "secondary_label string"))
+    return analysis.never_seen(table(spark, d, "curated_images"), F.col("mini_rec.image_secondary_label"), labels, "secondary_label")
+
+
+def label_whitelist(spark, d):
+    """Labels of images brought to those of the whole list of categories, and counted."""
+    one = table(spark, d, "curated_images").select(F.explode("mini_rec.image_secondary_label").alias("raw"))
+    return analysis.whitelisted(one, "raw", table(spark, d, "category_targets"), "secondary_label").groupBy("canonical").agg(F.count("*").alias("n"))
+
+
+def lost_texts(spark, d):
+    rows = table(spark, d, "generated_mcq").select("mcq_id", "raw_model_output", parsing.model_json(F.col("raw_model_output")).alias("j"))
+    return analysis.lost_texts(rows, "mcq_id", F.col("raw_model_output"), F.col("j")).select("mcq_id", F.md5("text").alias("text_md5"))
+
+
+def build_trainset(spark, d):
+    """Generated pairs with the pictures of the record of their natural key, else of their article."""
+    keys = ["dataset_name", "dataset_index"]
+    left = table(spark, d, "generated_mcq").select("mcq_id", *keys, "article_accession_id")
+    right = table(spark, d, "vqa_records").select(*keys, "article_accession_id", "record_id", "hash", "images")
+    out = merging.trainset(left, right, keys, ["article_accession_id"], ["record_id", "hash", "images"], ["record_id"])
+    return out.select("mcq_id", "record_id", "hash", F.size("images").alias("images"), "matched_by")
+
+
+def fitted_sizes(spark, d):
+    s = F.col("mini_rec.image_size")
+    w, h = F.get(s, F.lit(0)), F.get(s, F.lit(1))
+    rows = table(spark, d, "curated_images").where((w > 0) & (h > 0))
+    return rows.select("row_id", *(F.array_join(F.transform(records.fitted(w, h, 300, m), lambda x: x.cast("string")), "x").alias(m) for m in ("drop", "pad", "resize")))
+
+
+def loose_grades(spark, d):
+    """Grades of the last answers, where holding the answer's text is enough."""
+    o = _outputs(spark, d).select("record_id", "answer", "answer_label", F.posexplode("outs").alias("place", "t"))
+    return o.select("record_id", "place", parsing.grade(parsing.answer_last(F.col("t")), F.col("answer"), F.col("answer_label"), loose=True).alias("is_correct"))
+
+
 _BENCH_PAIRS = "p AS (SELECT a.item_id AS a, b.item_id AS b FROM benchmark_items a JOIN benchmark_items b USING (dataset_name) WHERE a.item_id <> b.item_id)"
 _MINI = "m AS (SELECT arg_min(mini_rec, row_id) AS r FROM curated_images WHERE mini_rec.image_id IS NOT NULL GROUP BY mini_rec.image_id)"
 _SQL_EVENTS = "SELECT event_id, user_id, event_type, value, props FROM events"
@@ -349,6 +391,37 @@ Q = {
     "distinct_values": (distinct_values, "SELECT DISTINCT dataset_name FROM vqa_records ORDER BY 1"),
     "verified_rows": (verified_rows, None),
     "generation_prompts": (generation_prompts, None),
+    "title_examples": (
+        title_examples,
+        f"""WITH r AS (SELECT verify_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(rubric_verification.rubric, lambda i: i.title IS NOT NULL AND coalesce(lower({sql_strip('i.category')}) <> 'essential', true)), lambda i: {sql_strip('i.title')}))), '|') AS titles FROM verified_mcq WHERE len(rubric_verification.rubric) > 0),
+        k AS (SELECT titles, verify_id FROM r QUALIFY row_number() OVER (PARTITION BY titles ORDER BY verify_id) <= 3) SELECT titles, string_agg(verify_id::VARCHAR, ',' ORDER BY verify_id) AS examples FROM k GROUP BY 1""",
+    ),
+    "never_seen": (
+        never_seen,
+        rf"""WITH p AS (SELECT DISTINCT lower(regexp_replace(raw, '{WS}+', '', 'g')) AS k FROM (SELECT unnest(mini_rec.image_secondary_label) AS raw FROM curated_images)), l AS (SELECT secondary_label FROM category_targets UNION ALL SELECT 'no such label')
+        SELECT secondary_label FROM l WHERE lower(regexp_replace(secondary_label, '{WS}+', '', 'g')) NOT IN (SELECT k FROM p WHERE k IS NOT NULL)""",
+    ),
+    "label_whitelist": (
+        label_whitelist,
+        """WITH l AS (SELECT regexp_replace(lower(secondary_label), '[^a-z0-9]+', '', 'g') AS k, min(secondary_label) AS canonical FROM category_targets GROUP BY 1), x AS (SELECT regexp_replace(lower(unnest(mini_rec.image_secondary_label)), '[^a-z0-9]+', '', 'g') AS k FROM curated_images)
+        SELECT canonical, count(*) AS n FROM x LEFT JOIN (SELECT * FROM l WHERE k <> '') l USING (k) GROUP BY 1""",
+    ),
+    "lost_texts": (lost_texts, f"WITH {_MODEL} SELECT w.mcq_id, md5(g.raw_model_output) AS text_md5 FROM w JOIN generated_mcq g USING (mcq_id) WHERE j IS NULL AND g.raw_model_output IS NOT NULL ORDER BY 1 LIMIT 5"),
+    "build_trainset": (
+        build_trainset,
+        """WITH a AS (SELECT dataset_name, dataset_index, max(record_id) AS record_id FROM vqa_records GROUP BY 1, 2), b AS (SELECT article_accession_id, max(record_id) AS record_id FROM vqa_records GROUP BY 1),
+        m AS (SELECT g.mcq_id, coalesce(a.record_id, b.record_id) AS record_id, CASE WHEN a.record_id IS NOT NULL THEN 'first' ELSE 'second' END AS matched_by FROM generated_mcq g LEFT JOIN a USING (dataset_name, dataset_index) LEFT JOIN b USING (article_accession_id) WHERE g.dataset_name IS NOT NULL AND g.dataset_index IS NOT NULL)
+        SELECT mcq_id, m.record_id, coalesce(hash, '') AS hash, len(images)::INT AS images, matched_by FROM m JOIN vqa_records r ON r.record_id = m.record_id WHERE len(images) > 0""",
+    ),
+    "fitted_sizes": (
+        fitted_sizes,
+        """WITH s AS (SELECT row_id, mini_rec.image_size[1] AS w, mini_rec.image_size[2] AS h FROM curated_images), f AS (SELECT *, greatest(1.0::DOUBLE, 300.0::DOUBLE / least(w, h)) AS k FROM s WHERE w > 0 AND h > 0)
+        SELECT row_id, CASE WHEN least(w, h) >= 300 THEN w || 'x' || h END AS drop, greatest(w, 300) || 'x' || greatest(h, 300) AS pad, ceil(round(w * k, 6))::INT || 'x' || ceil(round(h * k, 6))::INT AS resize FROM f""",
+    ),
+    "loose_grades": (
+        loose_grades,
+        f"WITH {_GRADED} SELECT record_id, place, coalesce(lower({sql_strip('p')}) IN (lower({sql_strip(chr(34) + 'answer_label' + chr(34) + ' || ' + repr('. ') + ' || answer')}), lower({sql_strip('answer_label')}), lower({sql_strip('answer')})) OR contains(lower(p), lower(answer)), false) AS is_correct FROM said",
+    ),
     "type_answers": (type_answers, "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN trim(event_type) ELSE 'Unknown' END AS kind FROM events"),
     "modality_answers": (modality_answers, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ct slice' WHEN 1 THEN 'Other' END AS modality, event_id % 3 = 2 AS parse_error FROM events"),
 }

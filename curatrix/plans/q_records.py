@@ -369,6 +369,10 @@ def _chat_sql(style: str) -> str:
     nl = "' || chr(10) || '"
     if style == "qwen":
         return f"'<|im_start|>system{nl}You are a helpful assistant.<|im_end|>{nl}<|im_start|>user{nl}' || CASE WHEN {n} > 0 THEN '<|vision_start|>' || repeat('<|image_pad|>', {n}) || '<|vision_end|>' ELSE '' END || {p} || '<|im_end|>{nl}<|im_start|>assistant{nl}'"
+    if style == "glm":
+        return f"'[gMASK]<sop><|user|>{nl}' || repeat('<|begin_of_image|><|image|><|end_of_image|>', {n}) || {p} || '<|assistant|>{nl}'"
+    if style == "gemma":
+        return f"'<bos><start_of_turn>user{nl}' || repeat('<start_of_image>', {n}) || {p} || '<end_of_turn>{nl}<start_of_turn>model{nl}'"
     return f"repeat('<image>' || chr(10), {n}) || {p}"
 
 
@@ -465,6 +469,8 @@ Q = {
     "export_rl": (export_rl, f"SELECT 'curatrix/mcq' AS data_source, 'medical_mcq' AS ability, md5(repeat('<image>', len(coalesce(images, []))) || {_prompt_sql('')}) AS prompt_md5, 'rule' AS style, answer AS ground_truth, record_id FROM vqa_records WHERE split = 'train' AND {_ISMAP}"),
     "export_sft": (export_sft, f"SELECT record_id, md5({_prompt_sql('sorted')}) AS prompt_md5, md5('<think> ' || {sql_strip('reasoning')} || ' </think>' || chr(10) || '<answer> ' || {sql_strip('answer_label')} || ' </answer>') AS response_md5 FROM vqa_records WHERE {_ISMAP} AND coalesce({sql_strip('reasoning')}, '') <> ''"),
     "eval_prompts_plain": (eval_prompts("plain"), f"SELECT record_id, md5({_chat_sql('plain')}) AS prompt_md5 FROM vqa_records WHERE {_ISMAP}"),
+    "eval_prompts_glm": (eval_prompts("glm"), f"SELECT record_id, md5({_chat_sql('glm')}) AS prompt_md5 FROM vqa_records WHERE {_ISMAP}"),
+    "eval_prompts_gemma": (eval_prompts("gemma"), f"SELECT record_id, md5({_chat_sql('gemma')}) AS prompt_md5 FROM vqa_records WHERE {_ISMAP}"),
     "eval_prompts_qwen": (eval_prompts("qwen"), f"SELECT record_id, md5({_chat_sql('qwen')}) AS prompt_md5 FROM vqa_records WHERE {_ISMAP}"),
     "prompt_parse": (
         prompt_parse,

@@ -131,6 +131,22 @@ def perceptual_bits(grey: np.ndarray, side: int = 32, low: int = 8) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+@F.pandas_udf(T.BinaryType())
+def bytes_or_file(data: pd.Series, path: pd.Series) -> pd.Series:
+    """A picture's bytes, else the content of the file its path names on a mounted folder; null if it cannot be read."""
+
+    def load(b, p):
+        if b:
+            return b
+        try:
+            with open(p.removeprefix("file://"), "rb") as f:
+                return f.read() or None
+        except (OSError, AttributeError, ValueError):
+            return None
+
+    return pd.Series([load(b, p) for b, p in zip(data, path)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def pixel_md5(data: pd.Series) -> pd.Series:
     """MD5 of a picture's size and pixels; null if it cannot be decoded."""

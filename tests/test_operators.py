@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from curatrix.functions import prompts, records
 from curatrix.functions.records import options_map
 from curatrix.operators import analysis, balance, curation, evaluation, exports, filters, knn, merging, neardup, rubric
+from curatrix.plans import stages
 from curatrix.sources import images, readers, sinks
 from curatrix.streaming import resume
 
@@ -343,3 +345,87 @@ def test_two_key_fallback(spark):
     right = spark.createDataFrame([(1, "q", "one", 0), (5, "y", "two", 1), (1, "x", "newer", 2)], "a int, b string, f string, o int")
     got = {r["b"]: (r["matched_by"], r["f"]) for r in merging.attach_two_keys(left, right, ["a"], ["b"], ["f"], ["o"]).collect()}
     assert got == {"x": ("first", "newer"), "y": ("second", "two"), "z": (None, None)}
+
+
+def test_lines_are_numbered_and_a_missing_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\nbroken\n{"x": 2}\n{"x": 3}\n')
+    (tmp_path / "b.jsonl").write_text('{"x": 9}\n')
+    got = readers.numbered(readers.json_lines(spark, str(tmp_path))).collect()
+    assert sorted((r["source_file"][-7:], r["line_no"], r["line"]) for r in got) == [("a.jsonl", 1, '{"x": 1}'), ("a.jsonl", 2, '{"x": 2}'), ("a.jsonl", 3, '{"x": 3}'), ("b.jsonl", 1, '{"x": 9}')]
+    assert readers.one_json_lines(spark, str(tmp_path / "b.jsonl")).count() == 1
+    for path in (tmp_path / "none.jsonl", tmp_path):
+        with pytest.raises(FileNotFoundError):
+            readers.one_json_lines(spark, str(path))
+
+
+def test_shards_are_concatenated_by_name(spark, tmp_path):
+    for name, lines in (("dp_1.jsonl", "c\nd\n"), ("dp_0.jsonl", "a\nb\n"), ("other.jsonl", "x\n")):
+        (tmp_path / name).write_text(lines)
+    assert [r["line"] for r in sinks.concatenated(spark, str(tmp_path)).collect()] == ["a", "b", "c", "d"]
+
+
+def test_conflicts_may_be_an_error(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 3)], "k int, label string, at int")
+    assert {(r["k"], r["label"]) for r in merging.resolve(df, "k", "label", ["at"], "none").collect()} == {(1, "a"), (2, "b")}
+    with pytest.raises(ValueError):
+        merging.resolve(df.unionByName(spark.createDataFrame([(2, "c", 4)], df.schema)), "k", "label", ["at"], "none")
+
+
+def test_head_needs_enough_rows(spark):
+    df = spark.range(5)
+    assert sorted(r["id"] for r in balance.head(df, "id", 3).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        balance.head(df, "id", 6)
+
+
+def test_pictures_are_read_from_paths(spark, tmp_path):
+    (tmp_path / "p.png").write_bytes(b"content")
+    rows = [(b"own", str(tmp_path / "p.png")), (None, f"file://{tmp_path}/p.png"), (b"", str(tmp_path / "p.png")), (None, str(tmp_path / "none")), (None, None)]
+    got = spark.createDataFrame(rows, "b binary, p string").select(images.bytes_or_file("b", "p").alias("x")).collect()
+    assert [None if r["x"] is None else bytes(r["x"]) for r in got] == [b"own", b"content", b"content", None, None]
+
+
+def test_folded_signatures_ignore_width_case_and_order(spark):
+    rows = [("Ｗhat  IS it?", '{"A": "ﬁne", "B": "Left"}'), ("what is it?", '{"B": "fine", "A": " left "}'), ("what is it?", '{"A": "fine", "B": "right"}')]
+    df = spark.createDataFrame(rows, "q string, o string").select(records.folded_signature(F.col("q"), records.options_map(F.col("o"))).alias("s"))
+    a, b, c = (r["s"] for r in df.collect())
+    assert a == b != c
+
+
+def test_trainset_drops_rows_without_a_match_or_a_picture(spark):
+    left = spark.createDataFrame([(1, 10, "x"), (2, 11, "y"), (3, None, "x"), (4, 12, "none"), (5, 13, "z")], "row int, i int, c string")
+    right = spark.createDataFrame([(10, "x", "h", ["p"], 1), (99, "y", None, ["p"], 2), (98, "z", "h", None, 3)], "i int, c string, hash string, images array<string>, at int")
+    got = merging.trainset(left, right, ["i"], ["c"], ["hash", "images"], ["at"]).collect()
+    assert sorted((r["row"], r["hash"], r["matched_by"]) for r in got) == [(1, "h", "first"), (2, "", "second")]
+    with pytest.raises(ValueError):
+        merging.trainset(left.limit(0), right, ["i"], ["c"], ["hash", "images"], ["at"])
+
+
+def test_rows_without_a_pair_get_an_error(spark):
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "mcq_id int")
+    done = spark.createDataFrame([(1, '{"rubric": [{"title": "t", "weight": 2, "score": 1}]}'), (2, "no json")], "mcq_id int, raw_model_output string")
+    got = {r["mcq_id"]: (r["error"], r["rubric"] and r["rubric"][0]["score"]) for r in prompts.verification_rows(rows, done).collect()}
+    assert got == {1: (None, 1), 2: ("parse_error", None), 3: ("missing_mcq", None)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def __init__(self, master):
+            self.master = master
+
+        def get(self, name, default=None):
+            return self.master if name == "spark.master" else default
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    assert stages.shared_folder(Session("local[4]")).endswith("curatrix-checkpoints")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            stages.shared_folder(Session(master))
+
+
+def test_signature_remainders():
+    x = np.random.default_rng(0).integers(0, 2**62, 5000)
+    assert (neardup._modulo(x) == x % neardup.PRIME).all() and neardup._modulo(np.array([neardup.PRIME, 2 * neardup.PRIME, 0])).tolist() == [0, 0, 0]
