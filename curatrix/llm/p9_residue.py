@@ -41,9 +41,9 @@ from curatrix.operators.balance import ordinals
 from curatrix.plans.stages import keep_keys, materialize
 
 #: Training segments of each kind at most, hashed features, steps and strength of regularisation.
-SAMPLE, BITS, STEPS, RIDGE = 12_000, 18, 120, 1e-6
+SAMPLE, BITS, STEPS, RIDGE = 10_000, 18, 100, 1e-6
 #: Score from which a segment counts.
-THRESHOLD = 0.9
+THRESHOLD = 0.95
 #: Unlabelled training segments that a fit on the other half scores above this are taken out before the last fit.
 DOUBT = 0.3
 #: Texts scored at once.
@@ -92,7 +92,7 @@ _KEYS = frozenset(_BY_WORD) | _BARE
 # What people type to fill a field.
 _TYPED = frozenset("asdf qwerty blah bla foo bar baz xxx test lorem ipsum".split())
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_CODE = re.compile(r"\b[45]\d\d\b")
+_CODES = frozenset(map(str, range(400, 600)))
 
 
 def segments(text: str | None) -> list[str]:
@@ -139,7 +139,7 @@ def kind_of(segment: str) -> int:
         line = f"^ {' '.join(_WORD.findall(bare(segment).lower()))} "
         if any(phrase in line for k in keys for phrase in _BY_WORD.get(k, ())):
             return 2
-    code = bool(_CODE.search(segment))
+    code = not _CODES.isdisjoint(words)
     if code and _STATUS.search(bare(segment).lower()):
         return 2
     return int(hint or code or bool(keys))
