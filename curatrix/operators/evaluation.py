@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.binding import let
-from curatrix.functions.parsing import answer_last, grade, predicted_letter
+from curatrix.functions.parsing import answer_last, grade, letter_among, prepared_options
 
 
 def graded(outputs: Column, answer: Column, label: Column, options: Column | None = None, extract=answer_last) -> Column:
     """array<struct<output_text, pred_letter, is_correct>> of an array of output texts."""
 
-    def one(text: Column, said: Column) -> Column:
-        letter = predicted_letter(said, options) if options is not None else F.lit(None).cast("string")
+    def one(text: Column, said: Column, prepared: Column | None) -> Column:
+        letter = letter_among(said, prepared) if prepared is not None else F.lit(None).cast("string")
         return F.struct(text.alias("output_text"), F.coalesce(letter, said).alias("pred_letter"), grade(said, answer, label).alias("is_correct"))
 
-    return F.transform(outputs, lambda text: let(extract(text), lambda said: one(text, said)))
+    every = lambda prepared: F.transform(outputs, lambda text: let(extract(text), lambda said: one(text, said, prepared)))
+    return every(None) if options is None else let(prepared_options(options), every)
 
 
 def majority(values: Column) -> Column:
