@@ -14,6 +14,8 @@ from curatrix.functions.text import levenshtein_similarity, normalize_text
 from curatrix.plans.stages import BROADCAST_ROWS, materialize, small_side
 
 PRIME = 2_147_483_647
+#: Texts of one band in a part of the join that pairs them.
+BAND_ROWS = 4096
 
 
 def permutations(n: int, seed: int = 11) -> list[tuple[int, int]]:
@@ -119,6 +121,16 @@ def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return hashed.groupBy("_h").agg(F.min(key).alias(key), F.min_by(text, key).alias(text), F.count("*").alias("copies")).select(key, text, "copies")
 
 
+def banded_pairs(hashes: DataFrame, key: str) -> DataFrame:
+    """Distinct pairs (id_a < id_b) that share a band. Bands of one text are dropped before the join, and a band that very
+    many texts share is spread: each of them is in one part and meets all parts."""
+    shared = hashes.groupBy("band", "hash").agg(F.count("*").alias("_n")).where("_n > 1").select("band", "hash", F.ceil(F.col("_n") / BAND_ROWS).cast("int").alias("_parts"))
+    held = hashes.join(shared, ["band", "hash"])
+    a = held.select(F.col(key).alias("id_a"), "band", "hash", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"))
+    b = held.select(F.col(key).alias("id_b"), "band", "hash", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return a.join(b, ["band", "hash", "_part"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, n: int = 13, threshold: float = 0.8, perms: int = 128, least: float = 0.92) -> DataFrame:
     """Pairs (id_a < id_b, levenshtein_sim) of distinct normalised texts that share a MinHash band and whose edit
     similarity is at least ``least``. Copies are represented by their least key."""
@@ -126,8 +138,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n: int = 13, threshold:
     texts = materialize(distinct_texts(df.select(key, normalize_text(F.col(text)).alias("norm")), key, "norm").drop("copies"), "texts")
     # Both sides of the join read the signatures, which are the costly step.
     hashes = materialize(band_hashes(texts, key, "norm", n, bands, rows, perms), "bands")
-    a, b = (hashes.select(F.col(key).alias(f"id_{s}"), "band", "hash") for s in "ab")
-    candidates = a.join(b, ["band", "hash"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    candidates = banded_pairs(hashes, key)
     ta, tb = (texts.select(F.col(key).alias(f"id_{s}"), F.col("norm").alias(f"t{s}")) for s in "ab")
     similarity = levenshtein_similarity(F.col("ta"), F.col("tb"), least)
     return candidates.join(ta, "id_a").join(tb, "id_b").select("id_a", "id_b", F.round(similarity, 6).alias("levenshtein_sim")).where("levenshtein_sim is not null")

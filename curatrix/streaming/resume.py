@@ -23,7 +23,10 @@ def run_available(spark: SparkSession, source: str, schema: str, target: str, ch
         rows = batch
         if key is not None:
             known = spark.read.schema(target_schema).parquet(target) if _exists(spark, target) else None
-            rows = not_yet(batch, known, key) if known is not None else batch
+            if known is not None:
+                # Of the target only the keys are read, once a batch, and cut to those of the batch.
+                mine = batch.select(key).distinct()
+                rows = batch.join(known.select(key).join(mine, key, "left_semi").distinct(), key, "left_anti")
         work(rows).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)

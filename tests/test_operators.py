@@ -429,3 +429,10 @@ def test_a_cluster_needs_a_shared_folder():
 def test_signature_remainders():
     x = np.random.default_rng(0).integers(0, 2**62, 5000)
     assert (neardup._modulo(x) == x % neardup.PRIME).all() and neardup._modulo(np.array([neardup.PRIME, 2 * neardup.PRIME, 0])).tolist() == [0, 0, 0]
+
+
+def test_bands_of_many_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BAND_ROWS", 3)
+    rows = [(i, 0, "hot") for i in range(11)] + [(i, 1, f"own{i}") for i in range(11)] + [(20, 0, "x"), (21, 0, "x")]
+    got = [tuple(r) for r in neardup.banded_pairs(spark.createDataFrame(rows, "k long, band int, hash string"), "k").collect()]
+    assert sorted(got) == [(i, j) for i in range(11) for j in range(i + 1, 11)] + [(20, 21)]
