@@ -31,8 +31,8 @@ CELLS_A_RECORD, LEAST_BITS, MOST_BITS = 4, 16, 24
 CHUNK = 1 << 14
 #: Postings a word may have in one shard, as the indexed side and as the asking side; a word that more records post is
 #: split into a grid of shards, so a shard is bounded on both sides.
-SHARD_ROWS = 400_000
-ASKING_ROWS = 400_000
+SHARD_ROWS = 1_000_000
+ASKING_ROWS = 1_000_000
 #: Postings one task of the shard stage reads.
 TASK_ROWS = 400_000
 
