@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark import TaskContext
@@ -346,6 +347,35 @@ def loose_grades(spark, d):
     return o.select("record_id", "place", parsing.grade(parsing.answer_last(F.col("t")), F.col("answer"), F.col("answer_label"), loose=True).alias("is_correct"))
 
 
+def normalized_vqa(spark, d):
+    """Generated pairs with the options A to E, and pictures of records cut to two."""
+    v = records.normalize_vqa(F.col("generated_vqa"))
+    return table(spark, d, "generated_mcq").select("mcq_id", v.alias("v")).select("mcq_id", F.col("v").isNull().alias("none"), F.md5("v.question").alias("question_md5"), F.md5(F.concat_ws("|", *(F.coalesce(f"v.options.{x}", F.lit("-")) for x in "ABCDE"))).alias("options_md5"), F.md5("v.answer").alias("answer_md5"))
+
+
+def first_pictures(spark, d):
+    return table(spark, d, "vqa_records").select("record_id", F.transform(records.first_images(F.col("images"), 2), lambda x: x["path"]).alias("p")).select("record_id", F.size("p").alias("n"), F.array_join("p", ",", "-").alias("paths"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _generation_sql(letters: str) -> str:
+    """The template with the captions in place of its marks, the other marks being filled already."""
+    options = "{" + ", ".join(f'"{x}": "..."' for x in letters) + "}"
+    text = prompts.GENERATE.replace("{{options}}", options).replace("{count}", str(len(letters))).replace("{letters}", ", ".join(letters)).replace("{contexts}", "")
+    before, after = text.split("{captions}")
+    return f"{_quoted(before)} || block || {_quoted(after)}"
+
+
+_BLOCK = f"CASE WHEN len(coalesce(caption, [])) = 0 THEN 'N/A' ELSE array_to_string(list_transform(caption, lambda x, i: '[Image ' || i || '] ' || coalesce(nullif({sql_strip('x')}, ''), '(empty)')), chr(10)) END"
+_ASKED = "coalesce(generated_vqa.question IS NOT NULL AND generated_vqa.options IS NOT NULL AND generated_vqa.answer IN ('A', 'B', 'C', 'D', 'E'), false)"
+_PROMPT_LENGTH = (
+    f"{len(re.sub(r'{(caption|question|options|answer)}', '', prompts.VERIFY))} + length(coalesce(nullif({sql_strip('caption[1]')}, ''), 'N/A')) + length(coalesce(generated_vqa.question, '')) + length(coalesce(generated_vqa.answer, ''))"
+    + " + length(concat_ws(chr(10), " + ", ".join(f"'{x}. ' || generated_vqa.options.{x}" for x in "ABCDE") + "))"
+)
+
 _BENCH_PAIRS = "p AS (SELECT a.item_id AS a, b.item_id AS b FROM benchmark_items a JOIN benchmark_items b USING (dataset_name) WHERE a.item_id <> b.item_id)"
 _MINI = "m AS (SELECT arg_min(mini_rec, row_id) AS r FROM curated_images WHERE mini_rec.image_id IS NOT NULL GROUP BY mini_rec.image_id)"
 _SQL_EVENTS = "SELECT event_id, user_id, event_type, value, props FROM events"
@@ -389,8 +419,16 @@ Q = {
     "conflict_labels": (conflict_labels, "SELECT article_accession_id, count(DISTINCT answer_label) AS labels FROM vqa_records GROUP BY 1 HAVING count(DISTINCT answer_label) > 1"),
     "first_rows": (first_rows, "SELECT record_id, dataset_name FROM vqa_records ORDER BY record_id LIMIT 50"),
     "distinct_values": (distinct_values, "SELECT DISTINCT dataset_name FROM vqa_records ORDER BY 1"),
-    "verified_rows": (verified_rows, None),
-    "generation_prompts": (generation_prompts, None),
+    "verified_rows": (
+        verified_rows,
+        f"SELECT mcq_id, CASE WHEN NOT {_ASKED} THEN 'missing_mcq' END AS error, CASE WHEN {_ASKED} THEN 1 END AS items, CASE WHEN {_ASKED} THEN (({_PROMPT_LENGTH}) % 6)::INT END AS score FROM generated_mcq",
+    ),
+    "generation_prompts": (generation_prompts, f"WITH b AS (SELECT mcq_id, {_BLOCK} AS block FROM generated_mcq) SELECT mcq_id, md5({_generation_sql('ABCDE')}) AS five_md5, md5({_generation_sql('ABCD')}) AS four_md5 FROM b"),
+    "normalized_vqa": (
+        normalized_vqa,
+        "SELECT mcq_id, generated_vqa IS NULL AS none, md5(generated_vqa.question) AS question_md5, md5(concat_ws('|', " + ", ".join(f"coalesce(generated_vqa.options.{x}, '-')" for x in "ABCDE") + ")) AS options_md5, md5(generated_vqa.answer) AS answer_md5 FROM generated_mcq",
+    ),
+    "first_pictures": (first_pictures, "SELECT record_id, len(images[1:2])::INT AS n, array_to_string(list_transform(images[1:2], lambda x: coalesce(x.path, '-')), ',') AS paths FROM vqa_records"),
     "title_examples": (
         title_examples,
         f"""WITH r AS (SELECT verify_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(rubric_verification.rubric, lambda i: i.title IS NOT NULL AND coalesce(lower({sql_strip('i.category')}) <> 'essential', true)), lambda i: {sql_strip('i.title')}))), '|') AS titles FROM verified_mcq WHERE len(rubric_verification.rubric) > 0),
