@@ -7,8 +7,10 @@ any clause is empty.
 
 The field is trained here on weak labels from a bounded sample (``SAMPLE`` pairs, chosen by hash): the other options of
 a record are complete clauses in its language; cut short they are unfinished; put beside a question of another record
-in another language they are foreign; pieces of the question are echoes; refusals are composed from fixed cues. Every
-pair is tagged; nothing is shuffled but the sample.
+in another language they are foreign, as are made-up ones (function words of another language between content words, or
+letters of another script); pieces of the question are echoes; refusals are composed from general wording, with words of
+other answers as what is refused. The field's tags alone decide; of the kinds only ``empty`` is a rule. Every pair is
+tagged; nothing is shuffled but the sample.
 
 The answer is the option its letter names (``B``, ``(b)``, ``B.``, ``Option B``, ``Answer: B``), the text after a letter,
 or the text itself.
