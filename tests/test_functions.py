@@ -187,3 +187,25 @@ def test_chat_layouts(spark):
     assert "<|image_pad|><|image_pad|>" in run(df, records.chat_prompt(F.col("x"), F.lit(2), "qwen"))[0]
     assert run(df, records.chat_prompt(F.col("x"), F.lit(0), "qwen"))[0].count("vision") == 0
     assert run(df, records.chat_prompt(F.col("x"), F.lit(1)))[0] == "<image>\nhi"
+
+
+def test_letter_ladder(spark):
+    """Each step of the ladder in turn, and that a surer step goes first."""
+    options = {"A": "left kidney", "B": "left kidney stone", "C": "liver"}
+    cases = [
+        ("<think>answer: D</think> <answer> b) stone</answer>", "B"), ("The final answer is c.", "C"), ("Correct answer: (B)", "B"), ("My answer should be a", "A"), ("answer a question about D", "D"), ("I take option e here", "E"),
+        ("The best one of these is D, I think", "D"), ("It shows a Left Kidney Stone.", "B"), ("It may be the spleen. D", "D"), ("nothing found", "nothing found"), ("Option A, but the final answer is B", "B"),
+        ("<|begin_of_box|>C<|end_of_box|> answer: A", "C"), ("Therefore, we choose B", "B"),
+    ]
+    rows = [(i, t, options) for i, (t, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, t string, o map<string,string>").select("i", parsing.answer_letter(F.col("t"), F.col("o")).alias("x"))
+    got = {r["i"]: r["x"] for r in df.collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(cases)} == dict(cases)
+
+
+def test_question_types_and_raw_labels(spark):
+    df = spark.createDataFrame([('{"Question Type": " Finding ", "question_type": "x"}',), ('{"question_type": "y"}',), ('{"Question Type": " "}',), (None,)], "j string").select(parsing.question_type(F.col("j")).alias("x"))
+    assert [r["x"] for r in df.collect()] == ["Finding", "y", "Unknown", "Unknown"]
+    label, parsed = parsing.raw_label(F.col("t"), ("image_modality", "organ"))
+    df = spark.createDataFrame([('{"ORGAN": "lung"}',), ("organ = 'liver'",), ("nothing",)], "t string").select(label.alias("x"), parsed.alias("p"))
+    assert [(r["x"], r["p"]) for r in df.collect()] == [("lung", True), ("liver", False), (None, False)]
