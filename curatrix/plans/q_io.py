@@ -14,20 +14,12 @@ from curatrix.operators import analysis, balance, evaluation, merging, neardup,
 from curatrix.plans.q_eval import _GRADED, _graded, _outputs
 from curatrix.plans.q_records import _MODEL, _REBALANCED
 from curatrix.plans.q_text import WS, sql_strip
-from curatrix.plans.stages import shared_folder
+from curatrix.plans.stages import temporary_path
 from curatrix.plans.tables import table
 from curatrix.sources import readers, sinks
 from curatrix.streaming.resume import model_step
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, removed with the application."""
-    path = f"{shared_folder(spark)}/curatrix/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def _events(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props")
 
@@ -36,21 +28,21 @@ EVENT = "event_id long, user_id long, event_type string, value double, props str
 
 
 def jsonl_round_trip(spark, d):
-    path = folder(spark, "jsonl")
+    path = temporary_path(spark, "jsonl")
     sinks.json_lines(_events(spark, d), path)
     return readers.json_records(spark, path, EVENT, glob="*.json").select("event_id", "user_id", "event_type", "value", "props")
 
 
 def jsonl_numbers(spark, d):
     """Lines of one file with their numbers; events are written in order, so the number follows the id."""
-    path = folder(spark, "lines")
+    path = temporary_path(spark, "lines")
     table(spark, d, "region").select("r_regionkey", "r_name").coalesce(1).orderBy("r_regionkey").write.json(path)
     lines = readers.numbered(readers.json_lines(spark, path, glob="*.json"))
     return lines.select("line_no", F.get_json_object("line", "$.r_name").alias("r_name"))
 
 
 def csv_round_trip(spark, d):
-    path = folder(spark, "csv")
+    path = temporary_path(spark, "csv")
     sinks.csv(_events(spark, d), path)
     return spark.read.option("header", True).option("escape", '"').schema(EVENT).csv(path)
 
@@ -59,7 +51,7 @@ def parquet_codecs(spark, d):
     """The same rows through four codecs, with and without dictionaries: rows and sums of each."""
     out = None
     for codec, dictionary in (("zstd", True), ("snappy", False), ("gzip", True), ("none", False)):
-        path = folder(spark, codec)
+        path = temporary_path(spark, codec)
         sinks.parquet(_events(spark, d), path, codec, dictionary=dictionary, block_bytes=1 << 20)
         one = spark.read.parquet(path).agg(F.lit(codec).alias("codec"), F.count("*").alias("n"), F.sum("event_id").alias("ids"))
         out = one if out is None else out.unionByName(one)
@@ -67,7 +59,7 @@ def parquet_codecs(spark, d):
 
 
 def json_array_scan(spark, d):
-    path = folder(spark, "array")
+    path = temporary_path(spark, "array")
     rows = table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))
     rows.coalesce(1).write.text(path)
     return readers.json_array(spark, path, "n_nationkey long, n_name string")
@@ -75,7 +67,7 @@ def json_array_scan(spark, d):
 
 def sources_apart(spark, d):
     """Rows of two input files written to a folder each, and counted by folder."""
-    base, path = folder(spark, "inputs"), folder(spark, "apart")
+    base, path = temporary_path(spark, "inputs"), temporary_path(spark, "apart")
     for name, kind in (("clicks", "click"), ("errors", "error")):
         _events(spark, d).where(F.col("event_type") == kind).select("event_id").coalesce(1).write.parquet(f"{base}/{name}")
     rows = spark.read.option("recursiveFileLookup", "true").parquet(base).select("event_id", F.regexp_replace(F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1), "$", ".parquet").alias("source_file"))
@@ -84,14 +76,14 @@ def sources_apart(spark, d):
 
 
 def sharded_files(spark, d):
-    path = folder(spark, "shards")
+    path = temporary_path(spark, "shards")
     sinks.sharded(table(spark, d, "orders").select("o_orderkey"), path, "o_orderkey", 1000)
     return spark.read.parquet(path).groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
 def exact_schema(spark, d):
     """A single file whose columns have the types asked for, nested ones included."""
-    path = folder(spark, "exact")
+    path = temporary_path(spark, "exact")
     small = table(spark, d, "category_targets").select("secondary_label", "target_permille", F.struct("primary_label", "min_rows").alias("detail"))
     sinks.one_parquet(small, path, "secondary_label string, target_permille int, detail struct<primary_label:string,min_rows:int>")
     read = spark.read.parquet(path)
@@ -100,21 +92,21 @@ def exact_schema(spark, d):
 
 def filled_columns(spark, d):
     """Two files of different columns read into the wanted ones."""
-    base = folder(spark, "filled")
+    base = temporary_path(spark, "filled")
     table(spark, d, "region").select("r_regionkey", "r_name").write.parquet(f"{base}/a")
     table(spark, d, "region").select((F.col("r_regionkey") + 100).alias("r_regionkey"), F.lit("x").alias("mark")).write.parquet(f"{base}/b")
     return readers.parquet_filled(spark, f"{base}/a,{base}/b", {"r_regionkey": F.lit(-1), "r_name": F.lit("?"), "mark": F.lit("none"), "absent": F.lit(7)})
 
 
 def run_arguments(spark, d):
-    path = folder(spark, "run")
+    path = temporary_path(spark, "run")
     sinks.provenance(table(spark, d, "region"), path, {"threshold": 0.8, "name": "region", "seed": 3})
     return spark.read.text(path).select(F.get_json_object("value", "$.threshold").alias("threshold"), F.get_json_object("value", "$.name").alias("name"))
 
 
 def merged_results(spark, d):
     """Result files of models, one folder each, read as one table."""
-    base = folder(spark, "results")
+    base = temporary_path(spark, "results")
     r = table(spark, d, "vqa_records").select("record_id", "dataset_name", "split")
     for model in ("train", "validation", "test"):
         r.where(F.col("split") == model).select("record_id", "dataset_name").coalesce(1).write.json(f"{base}/{model}")
@@ -124,7 +116,7 @@ def merged_results(spark, d):
 
 def stopword_counts(spark, d):
     """Words that are left once the words of a file are taken out."""
-    path = folder(spark, "stop")
+    path = temporary_path(spark, "stop")
     spark.createDataFrame([(" The",), ("of",), ("",), ("AND",), ("of",)], "value string").coalesce(1).write.text(path)
     words = F.explode(text.kept_tokens(F.col("text"), readers.stopwords(spark, path)))
     return table(spark, d, "benchmark_items").select("item_id", words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -132,7 +124,7 @@ def stopword_counts(spark, d):
 
 def shard_concatenation(spark, d):
     """Lines of rank shards as one list, and whether each is where its id says."""
-    base = folder(spark, "ranks")
+    base = temporary_path(spark, "ranks")
     ranked = balance.rank_split(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 4)
     for rank in range(4):
         path = f"{base}/part{rank}"
@@ -151,7 +143,7 @@ def example_rows(spark, d):
 
 def _tars(spark, d) -> str:
     """Archives of curated images, each with a JSON member and a picture an image, one archive for each partition."""
-    path = folder(spark, "tars")
+    path = temporary_path(spark, "tars")
     where = path.removeprefix("file://")
     m = F.col("mini_rec")
     rows = table(spark, d, "curated_images").where(m["image_id"].isNotNull()).groupBy(m["image_id"].alias("key")).agg(F.min_by(F.struct("row_id", "mini_rec"), "row_id").alias("r"))
@@ -204,7 +196,7 @@ def archive_members(spark, d):
 
 
 def read_by_ending(spark, d):
-    base = folder(spark, "ending")
+    base = temporary_path(spark, "ending")
     table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).write.json(f"{base}/rows.json")
     table(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).write.parquet(f"{base}/rows.parquet")
     a, b = (readers.read_any(spark, f"{base}/rows.{x}").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.lit(readers.reader_for(f"rows.{x}")).alias("reader")) for x in ("json", "parquet"))

@@ -302,12 +302,10 @@ def image_meta(spark, d):
 
 def resume_stream(spark, d):
     """Events copied by a stream of available files, run twice over the same checkpoint: the second run adds nothing."""
-    import uuid
-
-    from curatrix.plans.stages import shared_folder
+    from curatrix.plans.stages import temporary_path
     from curatrix.streaming.resume import run_available
 
-    base = f"{shared_folder(spark)}/curatrix/stream-{uuid.uuid4().hex}"
+    base = temporary_path(spark, "stream")
     source, shape = f"{base}/in", "event_id long, user_id long"
     table(spark, d, "events").select("event_id", "user_id").write.parquet(source)
     for _ in range(2):

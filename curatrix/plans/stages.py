@@ -37,6 +37,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A path that does not exist yet in a new folder of the shared one, which is removed at the end of the application."""
+    base = f"{shared_folder(spark)}/curatrix/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{base}/data"
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its counted rows are within ``limit``; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
