@@ -16,8 +16,11 @@ Features of a segment: words, pairs and triples of tokens, with marks for its st
 tokens (capitals, small letters, digits, the punctuation itself) around punctuation; its length; whether it is the first
 or the only one of its text; whether it ends like a sentence (a title does not); how many of its words differ.
 
-Training rows are a bounded sample, at most ``SAMPLE`` segments of each kind (labelled, contrast, other), chosen by
-hash; scoring covers every segment of every text. Nothing is shuffled but the sample.
+Training rows are a bounded sample, at most ``SAMPLE`` distinct contrasts, ``SAMPLE`` other segments and ``LABELLED``
+labelled ones, chosen by hash, labelled ones evenly over phrases, status codes, placeholder styles and the like; it does not
+thin out with the number of texts. A label with more than ``EVEN`` segments in it weighs as one with ``EVEN``, so that
+sentences with placeholders, which grow with the texts, do not outweigh phrases, which do not. Scoring covers every
+segment of every text. Nothing is shuffled but the sample.
 
 Cases: null, empty and blank texts hold nothing; texts in other languages, markup, mathematical braces and tokenizer
 marks are ordinary; a source may be null; repeated texts give a row each; if the sample has no segment of one label,
@@ -28,24 +31,29 @@ ignored; needed are doc_id, text and source.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.operators.balance import ordinals
 from curatrix.plans.stages import keep_keys, materialize
 
-#: Training segments of each kind at most, hashed features, steps and strength of regularisation.
-SAMPLE, BITS, STEPS, RIDGE = 10_000, 18, 100, 1e-6
+#: Training segments of each unlabelled kind and labelled ones at most, hashed features, steps and strength of regularisation.
+SAMPLE, LABELLED, BITS, STEPS, RIDGE = 10_000, 20_000, 18, 100, 1e-6
 #: Score from which a segment counts.
 THRESHOLD = 0.95
 #: Unlabelled training segments that a fit on the other half scores above this are taken out before the last fit.
 DOUBT = 0.3
+#: Labelled segments of so many words at most are sampled apart from longer ones of the same label.
+SHORT = 6
+#: Training segments of one label weigh as so many together, however many more they are.
+EVEN = 100
 #: Texts scored at once.
 BLOCK = 400
 
@@ -55,11 +63,11 @@ _LEAD = re.compile(r"^(?:[ \t>*]*(?:note|fig(?:ure|\.)?[ \t]*\d+)[ \t]*[.:][ \t]
 _MARKS = re.compile(r"<\|\w+\|>")
 _TOKEN = re.compile(r"\n|[^\W\d_]+|\d+|_+|[^\w\s]")
 
-# Placeholder syntax of common template languages and of forms.
+# Placeholder syntax of common template languages and of forms, a group for each.
 _FIELD = re.compile(
-    r"""(?<![_^\\$\w])\{[ ]?[A-Za-z][A-Za-z_ ]{2,30}\}(?![$\w]) | \{\{[^{}\n]{1,40}\}\} | \{%[^{}\n]{1,40}%\} | \$\{[^{}\n]{1,40}\} | <%=?[^<>\n]{1,40}%> | %\(\w{1,40}\)[sdf]
-    | \[\[[^\[\]\n]{1,40}\]\] | <<[^<>\n]{1,40}>> | «[^«»\n]{1,40}» | @@\w{1,40}@@ | __[A-Z][A-Z_]{1,40}__ | \#[A-Z][A-Z_]{2,40}\# | [\[<](?:insert|enter|your|add)[ _][^\]>\n]{1,40}[\]>] | [\[<][^\[\]<>\n]{0,40}\b(?:goes[ ]here|fill[ ]in)[\]>]
-    | \b(?:TODO|FIXME)\b | \bTBD\b | \[object[ ]Object\] | \bundefined[ ]undefined\b | \bXX+-(?:year|day|month)""",
+    r"""((?<![_^\\$\w])\{[ ]?[A-Za-z][A-Za-z_ ]{2,30}\}(?![$\w])) | (\{\{[^{}\n]{1,40}\}\}) | (\{%[^{}\n]{1,40}%\}) | (\$\{[^{}\n]{1,40}\}) | (<%=?[^<>\n]{1,40}%>) | (%\(\w{1,40}\)[sdf])
+    | (\[\[[^\[\]\n]{1,40}\]\]) | (<<[^<>\n]{1,40}>>) | («[^«»\n]{1,40}») | (@@\w{1,40}@@) | (__[A-Z][A-Z_]{1,40}__) | (\#[A-Z][A-Z_]{2,40}\#) | ([\[<](?:insert|enter|your|add)[ _][^\]>\n]{1,40}[\]>]) | ([\[<][^\[\]<>\n]{0,40}\b(?:goes[ ]here|fill[ ]in)[\]>])
+    | (\b(?:TODO|FIXME)\b) | (\bTBD\b) | (\[object[ ]Object\]) | (\bundefined[ ]undefined\b) | (\bXX+-(?:year|day|month))""",
     re.X | re.I,
 )
 _FIELD_HINT = re.compile(r"[{\[<@%«#_]")
@@ -123,26 +131,31 @@ def _filler(words: list[str]) -> bool:
     return kinds <= 2 and len(words) >= 2 * kinds and words[0].isalpha() or not _TYPED.isdisjoint(words) and sum(w in _TYPED for w in words) >= 0.6 * len(words)
 
 
-def kind_of(segment: str) -> int:
-    """2: weakly labelled (response status, general phrase, placeholder syntax or plain filler); 1: a contrast, which
-    holds what a label starts from; 0: another segment."""
+def sort_of(segment: str) -> tuple[int, str]:
+    """(kind, what a label rests on). Kind 2: weakly labelled (response status, general phrase, placeholder syntax or plain
+    filler); 1: a contrast, which holds what a label starts from; 0: another segment."""
     words = _WORD.findall(segment.lower())
+    size = "short" if len(words) <= SHORT else "long"
     if _filler(words):
-        return 2
+        return 2, f"{size} filler"
     keys = _KEYS.intersection(words)
     hint = bool(_FIELD_HINT.search(segment))
-    if (hint or not _BARE.isdisjoint(keys)) and _FIELD.search(segment):
-        return 2
+    if (hint or not _BARE.isdisjoint(keys)) and (field := _FIELD.search(segment)):
+        return 2, f"{size} field {field.lastindex}"
     if ('"' in segment or ":" in segment) and _RAW.search(segment):
-        return 2
+        return 2, f"{size} raw"
     if keys:
         line = f"^ {' '.join(_WORD.findall(bare(segment).lower()))} "
-        if any(phrase in line for k in keys for phrase in _BY_WORD.get(k, ())):
-            return 2
-    code = not _CODES.isdisjoint(words)
-    if code and _STATUS.search(bare(segment).lower()):
-        return 2
-    return int(hint or code or bool(keys))
+        if said := [phrase for k in keys for phrase in _BY_WORD.get(k, ()) if phrase in line]:
+            return 2, f"{size} phrase {min(said)}"
+    codes = _CODES.intersection(words)
+    if codes and _STATUS.search(bare(segment).lower()):
+        return 2, f"{size} status {min(codes)}"
+    return int(hint or bool(codes) or bool(keys)), ""
+
+
+def kind_of(segment: str) -> int:
+    return sort_of(segment)[0]
 
 
 def weak_label(segment: str) -> bool:
@@ -243,12 +256,14 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(rows: list[tuple[str, bool, bool]], labels: list[bool], steps: int = STEPS, ridge: float = RIDGE) -> Linear:
-    """Logistic regression with an L2 penalty, the labels together weighted 3 to 7, by Adam on the whole sample."""
+def fit(rows: list[tuple[str, bool, bool]], labels: list[bool], steps: int = STEPS, ridge: float = RIDGE, share: np.ndarray | float = 1.0) -> Linear:
+    """Logistic regression with an L2 penalty, the labels together weighted 3 to 7, by Adam on the whole sample. ``share``
+    says how the rows of a label divide its weight."""
     owner, feature = features(rows, _Ids())
     used, column = np.unique(feature, return_inverse=True)
     y = np.array(labels, float)
-    weight = np.where(y > 0, 0.3 / max(1, y.sum()), 0.7 / max(1, (1 - y).sum()))
+    yes, no = y * share, (1 - y) * share
+    weight = 0.3 * yes / max(1e-9, yes.sum()) + 0.7 * no / max(1e-9, no.sum())
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -275,64 +290,87 @@ def stripped(rows: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]
 def fit_cleaned(positive: list, other: list) -> Linear:
     """Fit on labelled and unlabelled rows without those unlabelled ones that a fit on the other half doubts."""
     ids, kept, content = _Ids(), [], stripped(positive)
+    labels = [sort_of(s)[1] for s, _, _ in positive]
+    count = Counter(labels)
+    even = np.array([EVEN / max(EVEN, count[name]) for name in labels])
+    share = lambda rest: np.concatenate([even, np.ones(len(rest))])
     for own, rest in ((other[::2], other[1::2]), (other[1::2], other[::2])):
         rest = rest + content
-        model = fit(positive + rest, [True] * len(positive) + [False] * len(rest), STEPS // 2)
+        model = fit(positive + rest, [True] * len(positive) + [False] * len(rest), STEPS // 2, share=share(rest))
         kept += [r for r, p in zip(own, model.score(own, ids) if own else ()) if p < DOUBT]
     kept += content
-    return fit(positive + kept, [True] * len(positive) + [False] * len(kept))
-
-
-def _labelled(limits: list[int]) -> Callable:
-    return lambda batches: _label(batches, list(limits))
-
-
-def _label(batches: Iterator[pa.RecordBatch], limit: list[int]) -> Iterator[pa.RecordBatch]:
-    """Segments of a batch with their kinds; at most ``SAMPLE`` of each kind a task, those of the least hash, and none
-    above the limits."""
-    held: list[list] = [[], [], []]
-    seen: list[set] = [set(), set(), set()]
-
-    def thin(kind: int) -> None:
-        held[kind].sort()
-        del held[kind][SAMPLE:]
-        seen[kind] = {h for h, *_ in held[kind]}
-
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            parts = segments(text)
-            for k, s in enumerate(parts):
-                h = xxhash.xxh3_64_intdigest(s)
-                if h >= max(limit):
-                    continue
-                kind = kind_of(s)
-                if h >= limit[kind] or h in seen[kind]:
-                    continue
-                seen[kind].add(h)
-                held[kind].append((h, s, k == 0, len(parts) == 1))
-                if len(held[kind]) > 2 * SAMPLE:
-                    thin(kind)
-                    limit[kind] = held[kind][-1][0]
-    for kind, rows in enumerate(held):
-        thin(kind)
-        for at in range(0, len(rows), 2000):
-            h, s, first, only = zip(*rows[at : at + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array([x - (1 << 63) for x in h], pa.int64()), pa.array(s, pa.string()), pa.array(first), pa.array(only), pa.array([kind] * len(h), pa.int32())], ["hash", "segment", "first", "only", "kind"])
-
-
-def training_sample(documents: DataFrame, size: int = SAMPLE) -> dict[int, list]:
-    """At most ``size`` distinct segments of each kind, those whose hash is least, from one pass over all texts."""
-    # Hash limits that are expected to leave several times ``size`` segments of each kind: texts have a segment or more,
-    # one in a hundred is taken to hold a labelled one and one in two a contrast. They keep what tasks send in
-    # proportion to the sample.
-    texts = max(1, documents.count())
-    limits = [int(min(1.0, share * size / texts) * (1 << 64)) for share in (1.5, 8.0, 400.0)]
-    rows = documents.select("text").mapInArrow(_labelled(limits), "hash long, segment string, first boolean, only boolean, kind int")
+    return fit(positive + kept, [True] * len(positive) + [False] * len(kept), share=share(kept))
+
+
+def _level(counts: list[int], size: int) -> int:
+    """The least level at which ``counts``, none taken above it, reach ``size``; the greatest count if they do not."""
+    low, high = 1, max(counts, default=1)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(min(c, mid) for c in counts) >= size else (mid + 1, high)
+    return low
+
+
+def _labelled(sizes: list[int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct segments of a task with their kinds and labels: of each kind those of least hash, as many of each label
+        as reach the kind's size together. What a task leaves out is not in the sample of all texts either: a label has no
+        more segments in a task than in all, so the level of a task is not below that of all."""
+        held: list[dict[str, dict[int, tuple]]] = [{}, {}, {}]
+        limit: dict[tuple[int, str], int] = {}
+        count = [0, 0, 0]
+
+        def thin(kind: int) -> None:
+            level = _level([len(rows) for rows in held[kind].values()], sizes[kind])
+            for name, rows in held[kind].items():
+                if len(rows) > level:
+                    held[kind][name] = {h: rows[h] for h in sorted(rows)[:level]}
+                    limit[kind, name] = max(held[kind][name])
+            count[kind] = sum(map(len, held[kind].values()))
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                parts = segments(text)
+                for k, s in enumerate(parts):
+                    kind, name = sort_of(s)
+                    h = xxhash.xxh3_64_intdigest(s)
+                    if h > limit.get((kind, name), h):
+                        continue
+                    rows = held[kind].setdefault(name, {})
+                    row = k == 0, len(parts) == 1, s
+                    if h in rows:
+                        # The place of a repeated segment is not left to the order of the texts.
+                        rows[h] = max(rows[h], row)
+                        continue
+                    rows[h] = row
+                    count[kind] += 1
+                    if count[kind] > 2 * sizes[kind] + len(held[kind]):
+                        thin(kind)
+        for kind in (0, 1, 2):
+            thin(kind)
+            rows = [(h - (1 << 63), *row, name) for name, part in held[kind].items() for h, row in part.items()]
+            for at in range(0, len(rows), 2000):
+                h, first, only, s, name = zip(*rows[at : at + 2000])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s, pa.string()), pa.array(first), pa.array(only), pa.array([kind] * len(h), pa.int32()), pa.array(name, pa.string())], ["hash", "segment", "first", "only", "kind", "label"])
+
+    return run
+
+
+def training_sample(documents: DataFrame, size: int = SAMPLE, labelled: int = LABELLED) -> dict[int, list]:
+    """At most ``size`` distinct segments of each unlabelled kind and ``labelled`` labelled ones from one pass over all
+    texts: those whose hash is least, of labelled ones as many of each label as there is room for, so that a label of few
+    segments stays beside one of very many. The sample follows from the set of segments alone, not from the number of
+    texts or of their copies."""
+    sizes = [size, size, labelled]
+    rows = documents.select("text").mapInArrow(_labelled(sizes), "hash long, segment string, first boolean, only boolean, kind int, label string")
     rows = materialize(rows, "residue-sample")
     out = {}
     for kind in (0, 1, 2):
-        found = rows.where(F.col("kind") == kind).dropDuplicates(["hash"]).orderBy("hash").limit(size).collect()
-        out[kind] = [(r["segment"], r["first"], r["only"]) for r in found]
+        found = rows.where(F.col("kind") == kind).groupBy("label", "hash").agg(F.max(F.struct("first", "only", "segment")).alias("row"))
+        if kind == 2:
+            found = found.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("hash"))).where(F.col("rank") <= labelled)
+        found = found.orderBy(*(("rank", "hash") if kind == 2 else ("hash",))).limit(sizes[kind]).select("hash", "row.*").collect()
+        out[kind] = [(r["segment"], r["first"], r["only"]) for r in sorted(found, key=lambda r: r["hash"])]
     return out
 
 
